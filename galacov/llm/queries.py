@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup, toxicity
+from . import exact_dedup, mixing, near_dedup, sentencepiece_codec, token_codec, toxicity
 from .common import table
 
 SQL: dict[str, str] = {}
 
 
+def op1_token_binary(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_codec.round_trip(table(spark, sf_dir, "documents"), path)
+
+
+def op2_sentencepiece(spark, sf_dir):
+    """Digests of the ids and of the text decoded from them; n_ids, ids_crc32, round_trip, parity."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), path)
+
+
 def op4_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+SQL["op5_mixing"] = mixing.SQL
+
+
 def op7_exact_dedup(spark, sf_dir):
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -38,4 +57,4 @@ def op8_toxicity(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op7_exact_dedup, op8_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_binary, op2_sentencepiece, op4_minhash_near_dedup, op5_mixing, op7_exact_dedup, op8_toxicity)}

@@ -161,8 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([rows[i] for i in kept], y[kept].astype(float))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, score (0 to 1) and the columns in carry, for each row of docs."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
+          out: str = "score") -> DataFrame:
+    """id_col, the columns in carry and out (the score, 0 to 1), for each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear, model.factors))  # SLOTS x (FACTORS + 1) floats, whatever the input
 
     def run(batches):
@@ -170,9 +171,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in batches:
             x = b.column(b.num_columns - 1)
             got = sigmoid(own.logits(x.flatten().to_numpy(zero_copy_only=False), x.offsets.to_numpy() - x.offsets[0].as_py()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=[*b.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=[*b.schema.names[:-1], out])
 
-    cols = [id_col, *carry]
+    cols = [F.col(f"`{c}`") for c in (id_col, *carry)]
     read = docs.select(*cols, terms_of(text_or_empty(text_col)).alias("__terms"))
     fields = ", ".join(f"`{c}` {t}" for c, t in read.dtypes[:-1])
-    return read.mapInArrow(run, f"{fields + ', ' if fields else ''}score double")
+    return read.mapInArrow(run, f"{fields}, `{out}` double")
