@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, sentencepiece_codec, token_codec, toxicity
+from . import exact_dedup, jpeg, mixing, near_dedup, sentencepiece_codec, token_codec, toxicity, warc
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -57,4 +57,13 @@ def op8_toxicity(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op2_sentencepiece, op4_minhash_near_dedup, op5_mixing, op7_exact_dedup, op8_toxicity)}
+def op9_jpeg_media(spark, sf_dir):
+    found = jpeg.media_columns(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op10_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_binary, op2_sentencepiece, op4_minhash_near_dedup, op5_mixing, op7_exact_dedup, op8_toxicity, op9_jpeg_media, op10_warc)}
