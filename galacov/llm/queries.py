@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jpeg, mixing, near_dedup, sentencepiece_codec, token_codec, toxicity, warc
+from . import exact_dedup, jpeg, licenses, mixing, near_dedup, sentencepiece_codec, token_codec, toxicity, warc
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -33,6 +33,13 @@ def op5_mixing(spark, sf_dir):
 SQL["op5_mixing"] = mixing.SQL
 
 
+def op6_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+SQL["op6_license_scan"] = licenses.sql()
+
+
 def op7_exact_dedup(spark, sf_dir):
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -66,4 +73,4 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op2_sentencepiece, op4_minhash_near_dedup, op5_mixing, op7_exact_dedup, op8_toxicity, op9_jpeg_media, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_binary, op2_sentencepiece, op4_minhash_near_dedup, op5_mixing, op6_license_scan, op7_exact_dedup, op8_toxicity, op9_jpeg_media, op10_warc)}
