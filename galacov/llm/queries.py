@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jpeg, licenses, mixing, near_dedup, sentencepiece_codec, token_codec, toxicity, warc
+from . import exact_dedup, jpeg, licenses, line_dedup, mixing, near_dedup, sentencepiece_codec, token_codec, toxicity, warc
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -22,6 +22,13 @@ def op2_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"), path)
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+SQL["op3_line_dedup"] = line_dedup.SQL
+
+
 def op4_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -73,4 +80,4 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_binary, op2_sentencepiece, op4_minhash_near_dedup, op5_mixing, op6_license_scan, op7_exact_dedup, op8_toxicity, op9_jpeg_media, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_token_binary, op2_sentencepiece, op3_line_dedup, op4_minhash_near_dedup, op5_mixing, op6_license_scan, op7_exact_dedup, op8_toxicity, op9_jpeg_media, op10_warc)}
