@@ -132,10 +132,15 @@ def accumulated(tuples: DataFrame, value: Column, max_l: int, phi: Callable[[Col
     from galacov.functions import geometry
 
     ls = list(range(0, max_l + 1, 2))
-    table = lambda r: F.element_at(F.array(*[F.lit(float(v)) for v in volumes]), F.col(r) + 1)
+
+    def volume(r: str) -> Column:
+        out = F.when(F.col(r) == 0, float(volumes[0]))
+        for i, v in enumerate(volumes[1:], 1):
+            out = out.when(F.col(r) == i, float(v))
+        return out
 
     def side(r: str, mu: str) -> Column:
-        f = phi(F.col(r), F.col(mu)) / table(r)
+        f = phi(F.col(r), F.col(mu)) / volume(r)
         return F.array(*[F.struct(F.lit(l).alias("l"), (f * geometry.legendre(l, F.col(mu)) * (2 * l + 1)).alias("f")) for l in ls])
 
     out = tuples.select(F.col("r_bin").alias("r_a"), F.col(second[0]).alias("r_b"), value.alias("v"), side("r_bin", "mu").alias("sa"), side(*second).alias("sb"))
