@@ -51,10 +51,10 @@ def inverted(points: DataFrame, w: str = "w") -> DataFrame:
 def balanced(points: DataFrame, w: str = "w") -> DataFrame:
     """Negative weights scaled so that all sum to 0; needs weights of both signs."""
     sums = points.agg(F.sum(F.when(F.col(w) > 0, F.col(w))).alias("__pos"), F.sum(F.when(F.col(w) < 0, F.col(w))).alias("__neg"))
-    both = F.col("__pos").isNotNull() & F.col("__neg").isNotNull()
-    scale = F.when(both, -F.col("__pos") / F.col("__neg")).otherwise(F.raise_error(F.lit("balancing needs weights of both signs")).cast("double"))
-    out = points.crossJoin(F.broadcast(sums)).withColumn("__s", scale)
-    return out.withColumn(w, F.when(F.col(w) < 0, F.col(w) * F.col("__s")).otherwise(F.col(w))).drop("__pos", "__neg", "__s")
+    out = points.crossJoin(F.broadcast(sums))
+    failed = F.raise_error(F.lit("balancing needs weights of both signs")).cast("double")
+    scaled = F.when(F.col("__pos").isNull() | F.col("__neg").isNull(), failed).when(F.col(w) < 0, F.col(w) * (-F.col("__pos") / F.col("__neg"))).otherwise(F.col(w))
+    return out.withColumn(w, scaled).drop("__pos", "__neg")
 
 
 def rescaled(points: DataFrame, factor: float, box: float = 1.0) -> DataFrame:
