@@ -83,3 +83,50 @@ def xi_interpolated(spark, sf_dir):
     p = fx.points(spark, sf_dir)
     met = pairs.pairs(p, p, fx.XI_CUT, same=True, ordered=False)
     return met.select("id1", "id2", xi_table().column(F.col("s"), F.col("mu")).alias("xi"))
+
+
+@query()
+def threepcf_sampled(spark, sf_dir):
+    """C3 to C6 from both topologies."""
+    from galacov.operators import sampler3
+
+    return sampler3.sample(fx.points(spark, sf_dir), fx.BINS, xi_table(), fx.XI_CUT, cell=20.0, max_l=1, draws=20, loops=4)
+
+
+@query()
+def threepcf_covariance(spark, sf_dir):
+    from galacov.operators import sampler3, triples
+
+    return triples.combined(sampler3.sample(fx.points(spark, sf_dir), fx.BINS, xi_table(), fx.XI_CUT, cell=20.0, max_l=1, draws=20, loops=4), 1.0)
+
+
+@query()
+def power_c2(spark, sf_dir):
+    from galacov.operators import power
+    from galacov.plans import term_queries as tq
+
+    return power.two_point_term(tq.parts(spark, sf_dir)[0], 40.0, [(0.05, 0.1), (0.1, 0.2)], 2)
+
+
+@query()
+def survey_correction_fit(spark, sf_dir):
+    """Fitted to counts of a whole catalog; its volume is the hull of its points."""
+    from galacov.operators import correction, pairs
+
+    p = fx.points(spark, sf_dir)
+    counts = pairs.count(p, None, pairs.Bins(fx.BINS.edges, n_mu=6)).withColumn("rr", F.col("wpairs") + 1)
+    d = correction.density(p, float(p.count()))
+    # The catalog is concentrated in its middle; the volume that its pairs fill is what makes the mean correction 1.
+    total = counts.agg(F.sum("rr")).first()[0]
+    edges = fx.BINS.edges
+    expected = sum(4 * np.pi / 3 * (hi**3 - lo**3) for lo, hi in edges) * (d["n"] * d["w"]) ** 2 * d["volume"]
+    d["volume"], d["n"] = d["volume"] * expected / total, d["n"] * total / expected
+    return correction.fitted(counts, pairs.Bins(edges, n_mu=6), d)
+
+
+@query()
+def hull_volume(spark, sf_dir):
+    from galacov.operators import correction
+
+    v = correction.hull_volume(correction.extremes(fx.points(spark, sf_dir)))
+    return spark.createDataFrame([(float(v),)], "volume double")
