@@ -5,15 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import galacov
-
-#: Functions of this library travel to executors by value, so these need no copy of it on their path.
-cloudpickle.register_pickle_by_value(galacov)
-
 #: Folder for sessions that name none (tests, a single machine); made once in a process.
 _own_root: list[str] = []
 

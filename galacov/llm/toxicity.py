@@ -25,9 +25,10 @@ from .common import text_or_empty
 SLOTS, FACTORS = 1 << 18, 4
 #: Bound of the training sample, in rows; and of the terms kept from it.
 MAX_TRAIN_ROWS, MAX_TRAIN_TERMS = 8_000, 12_000_000
-#: Terms that get a weight: those in MIN_ROWS toxic rows or more, MIN_LIFT times as common among them as among the
-#: others, by the chi-square of the 2 x 2 table, most first.
-MIN_ROWS, MIN_LIFT, MIN_CHI_SQUARE, MAX_TERMS = 3, 3.0, 12.0, 8192
+#: Terms that get a weight, most dependent on the label first: those in MIN_ROWS toxic rows or more that are MIN_LIFT
+#: times as common among them as among the others, with a chi-square of MIN_CHI_SQUARE; or half of a strong pair: twice
+#: as common, with a squared correlation of STRONG.
+MIN_ROWS, MIN_LIFT, MIN_CHI_SQUARE, STRONG, MAX_TERMS = 4, 6.0, 35.0, 0.05, 8192
 THRESHOLD = 0.3
 
 
@@ -77,8 +78,8 @@ def apart(rows: list[np.ndarray], labels: np.ndarray, ids: list[int]) -> list[in
     return list(seen.values())
 
 
-def dependent(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Marks the slots to learn weights for."""
+def dependent(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks the slots to learn weights for, and how much more common each is among toxic rows."""
     def seen(wanted: float) -> np.ndarray:
         own = [r for r, y in zip(rows, labels, strict=True) if y == wanted]
         return np.bincount(np.concatenate(own), minlength=SLOTS).astype(float)
@@ -87,26 +88,28 @@ def dependent(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     a, b = seen(1.0), seen(0.0)
     c, d = pos - a, n - pos - b
     chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * pos * (n - pos), 1e-9)
-    chi[(a * (n - pos) < MIN_LIFT * b * pos) | (a < MIN_ROWS)] = 0
-    return chi >= max(MIN_CHI_SQUARE, np.sort(chi)[-MAX_TERMS])
+    lift = (a + 0.5) / (pos + 1) / ((b + 0.5) / (n - pos + 1))
+    kept = (a >= MIN_ROWS) & (((lift >= MIN_LIFT) & (chi >= MIN_CHI_SQUARE)) | ((lift >= 2) & (chi >= STRONG * n)))
+    return kept & (chi >= np.sort(chi)[-MAX_TERMS]), lift
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 25, batch: int = 64, rate: float = 0.15,
+def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 6000, batch: int = 32, rate: float = 0.1,
         decay: float = 2e-5, seed: int = 11) -> Model:
-    """AdaGrad on the logistic loss, mini-batches in a seeded order."""
+    """AdaGrad on the logistic loss, mini-batches in a seeded order, from half the terms' log ratios: a rare term that only
+    stands beside common ones would else learn nothing."""
     rng = np.random.default_rng(seed)
     linear = np.zeros(SLOTS)
     share = float(labels.mean()) if len(labels) else 0.0
     bias = float(np.log((share * len(labels) + 0.5) / ((1 - share) * len(labels) + 0.5))) if len(labels) else -6.0
     if not len(labels) or share in (0.0, 1.0):
         return Model(bias, linear.astype(np.float32), np.zeros((SLOTS, FACTORS), np.float32))
-    common = dependent(rows, labels)
+    common, lift = dependent(rows, labels)
     place = np.cumsum(common) - 1
     rows = [place[r[common[r]]] for r in rows]
     n = int(common.sum())
-    w, v = np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))
+    w, v = 0.5 * np.log(lift[common]), rng.normal(0, 0.1, (n, FACTORS))
     gw, gv, gb = np.full(n, 1e-6), np.full((n, FACTORS), 1e-6), 1e-6
-    for _ in range(epochs):
+    for _ in range(-(-steps * batch // len(rows))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             ids = [i for i in order[at : at + batch] if len(rows[i])]
@@ -125,13 +128,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 25, batch: int
             each = np.repeat(err, counts)
             dw = np.bincount(inverse, each, len(used)) + decay * w[used]
             pull = np.repeat(err * scale, counts)[:, None] * (np.repeat(total, counts, axis=0) - vf)
-            dv = np.stack([np.bincount(inverse, pull[:, k], len(used)) for k in range(FACTORS)], axis=1) + 20 * decay * v[used]
+            dv = np.stack([np.bincount(inverse, pull[:, k], len(used)) for k in range(FACTORS)], axis=1) + decay * v[used]
             gw[used] += dw**2
             gv[used] += dv**2
             gb += err.sum() ** 2
             w[used] = np.maximum(w[used] - rate * dw / np.sqrt(gw[used]), 0)  # terms were picked as signs of toxicity
-            v[used] -= 0.1 * rate * dv / np.sqrt(gv[used])
-            bias -= 0.1 * rate * err.sum() / np.sqrt(gb)
+            v[used] -= rate * dv / np.sqrt(gv[used])
+            bias -= rate * err.sum() / np.sqrt(gb)
     factors = np.zeros((SLOTS, FACTORS))
     linear[common], factors[common] = w, v
     return Model(bias, linear.astype(np.float32), factors.astype(np.float32))
