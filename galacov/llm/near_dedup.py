@@ -10,13 +10,15 @@ is later than all parts' present winners (Ertl, "ProbMinHash", algorithm 1).
 
 Texts with the same words are one node, made by an aggregation that combines in the map tasks. A bucket holds the nodes
 that agree in a whole band. Links: two nodes that share a bucket and have J >= threshold. Classes: connected components.
-Not all pairs of a bucket are made. The first round compares each bucket's nodes with one leader of it; links found
-merge classes; then pairs are still open only between different classes of a bucket. Where a bucket's open pairs are few
-for its size (`band_open` or `rare_open` times its nodes) they are compared outright. The nodes of larger buckets, say texts of
-different kinds around one common passage, are dealt anew by their rare shingles: J is at most the share of u's weight on
-common shingles, so with all shingles in one order, rarest first, the first common one lies in the first 1 - threshold
-of either text's weight. Those buckets go through the same rounds, with more leaders where they are large. No pair
-between different classes of a bucket is left uncompared, so the classes are those of all pairs.
+Not all pairs of a bucket are made; 1 - J is a metric, which spares most of them. First each bucket's nodes are compared
+with one leader of it, and a node joins the star of the leader it is closest to, if that is a link. Then stars that share
+a bucket and not yet a class are compared by their centres. Two stars' members can link only if the centres' distance is
+at most 1 - threshold more than the members' own distances from them; only for such stars are members compared.
+Buckets whose stars have more open pairs than `band_open` times their number, say texts of different kinds around one
+common passage, are dealt anew by rare shingles: J is at most the share of u's weight on common shingles, so with all
+shingles in one order, rarest first, the first common one lies in the first 1 - threshold of either text's weight. Where
+even such a bucket has many open pairs, it is settled by rounds of LEADERS stars against all others of it. No pair between
+different classes of a bucket is left unexamined, so the classes are those of all pairs.
 
 Chance of missing a link of similarity s by banding: (1 - s^4)^24, below 4e-6 at 0.8.
 
@@ -31,17 +33,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, staged, text_or_empty
+from .common import staged, text_or_empty
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Open pairs for each node of a bucket that are compared outright, in buckets of bands and of rare shingles; leaders of a
-#: large bucket in one round.
-BAND_OPEN, RARE_OPEN, LEADERS = 4, 32, 8
+#: Open pairs for each star of a bucket that are compared outright, in buckets of bands and of rare shingles; stars of a
+#: larger bucket that meet all others in one round.
+BAND_OPEN, RARE_OPEN, LEADERS = 4, 512, 32
+#: Most nodes that are sent to all tasks to pick their texts; with more, texts are shuffled instead.
+SENT = 1_000_000
 #: Shingles that a worker handles at once.
 CHUNK = 1 << 19
-#: Texts whose shingles a worker remembers while it verifies.
-KNOWN = 256
 #: Entries of the table of shingle counts.
 SLOTS = 1 << 18
 
@@ -161,17 +163,22 @@ def similarity(words1: np.ndarray, words2: np.ndarray, k: int = SHINGLE) -> floa
 
 
 def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, node) for each id, node being the smallest id of those with the same words; and (node, words) once each."""
-    text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), word_hashes(text_or_empty(text_col)).alias("words"))
-    text = text.select("id", "words", F.xxhash64("words").alias("k1"), F.hash("words", F.lit(7)).alias("k2"), F.size("words").alias("k3"))
-    keys = staged(text.select("id", "k1", "k2", "k3").distinct(), "keys")
+    """(id, node) for each id, node being the smallest id of those with the same words; and (node, words) of all rows."""
+    text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), word_hashes(text_or_empty(text_col)).alias("words"))
+    keys = staged(text.select("id", F.xxhash64("words").alias("k1"), F.hash("words", F.lit(7)).alias("k2"), F.size("words").alias("k3")), "keys")
     first = keys.groupBy("k1", "k2", "k3").agg(F.min("id").alias("node"))
     member = keys.join(first, ["k1", "k2", "k3"]).groupBy("id").agg(F.min("node").alias("node"))
-    return staged(member, "member"), text.select(F.col("id").alias("node"), "words")
+    return staged(member, "member"), text.withColumnRenamed("id", "node")
+
+
+def picked(words: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The words of the given nodes (distinct), once each."""
+    few = nodes.limit(SENT + 1).count() <= SENT
+    return words.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def bands_of(words: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """(node, band key) for each node and band."""
+    """node, buckets: the keys of all bands of each node that has words."""
     def run(batches):
         for b in batches:
             flat, offsets = list_parts(b.column(1))
@@ -180,11 +187,11 @@ def bands_of(words: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                 h, text = shingles(flat[offsets[lo] : offsets[hi]], own, k)
                 h, text, weight = weighted(h, text)
                 keys = band_keys(signatures(h, text, weight, hi - lo, bands * rows), bands, rows)
-                some = np.diff(own) > 0
-                ids = b.column(0).slice(lo, hi - lo).filter(pa.array(some))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids.to_numpy(zero_copy_only=False), bands)), pa.array(keys[some].ravel())], names=["node", "bucket"])
+                some = pa.array(np.diff(own) > 0)
+                each = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(some), each.filter(some)], names=["node", "buckets"])
 
-    return words.mapInArrow(run, "node long, bucket long")
+    return words.mapInArrow(run, "node long, buckets array<long>")
 
 
 def rare_buckets(words: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -222,29 +229,45 @@ def rare_buckets(words: DataFrame, threshold: float, k: int) -> DataFrame:
     return words.mapInArrow(prefixes, "bucket long, node long")
 
 
-def verified(pairs: DataFrame, words: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold."""
+def similarities_of(x: np.ndarray, xo: np.ndarray, y: np.ndarray, yo: np.ndarray, k: int, floor: float) -> np.ndarray:
+    """Of texts x[i] and y[i], all rows at once. Exact where the similarity reaches the floor; below it the result may be
+    the upper bound that told so: the smaller share of weight on common shingles."""
+    n = len(xo) - 1
+    h1, t1, w1 = weighted(*shingles(x, xo, k))
+    h2, t2, w2 = weighted(*shingles(y, yo, k))
+    h, t, side = np.concatenate([h1, h2]), np.concatenate([t1, t2]), np.repeat([0, 1], [len(h1), len(h2)])
+    order = np.lexsort((side, h, t))
+    h, t = h[order], t[order]
+    at = np.flatnonzero((h[1:] == h[:-1]) & (t[1:] == t[:-1])) if len(h) else np.zeros(0, int)
+    one, two = order[at], order[at + 1] - len(h1)
+    row = t1[one]
+    total1, total2 = np.bincount(t1, w1, n), np.bincount(t2, w2, n)
+    size1, size2, common = np.bincount(t1, minlength=n), np.bincount(t2, minlength=n), np.bincount(row, minlength=n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plain = np.nan_to_num(common / (size1 + size2 - common))
+        bound = np.nan_to_num(np.minimum(np.bincount(row, w1[one], n) / total1, np.bincount(row, w2[two], n) / total2))
+    once = (total1 == size1) & (total2 == size2)
+    out = np.where(once, plain, bound)
+    ends1, ends2 = np.cumsum(size1), np.cumsum(size2)
+    for i in np.flatnonzero(~once & (bound >= floor)):
+        p, q = slice(ends1[i] - size1[i], ends1[i]), slice(ends2[i] - size2[i], ends2[i])
+        out[i] = probability_jaccard(h1[p], w1[p], h2[q], w2[q])
+    return out
+
+
+def similarities(pairs: DataFrame, words: DataFrame, k: int, floor: float) -> DataFrame:
+    """a, b, sim of the pairs (a, b); below the floor sim may be an upper bound."""
     def run(batches):
         for batch in batches:
             x, xo = list_parts(batch.column(2))
             y, yo = list_parts(batch.column(3))
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            known: dict = {}
-
-            def own(node, words, known=known):
-                if node not in known:
-                    if len(known) >= KNOWN:
-                        known.clear()
-                    h, _, c = weighted(*shingles(words, np.array([0, len(words)]), k))
-                    known[node] = (h, c)
-                return known[node]
-
-            mask = pa.array([probability_jaccard(*own(a[i], x[xo[i] : xo[i + 1]]), *own(b[i], y[yo[i] : yo[i + 1]])) >= threshold - 1e-12 for i in range(len(a))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            for lo, hi in chunks_of(xo + yo):
+                sim = similarities_of(x[xo[lo] : xo[hi]], xo[lo : hi + 1] - xo[lo], y[yo[lo] : yo[hi]], yo[lo : hi + 1] - yo[lo], k, floor)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
 
     left = words.select(F.col("node").alias("a"), F.col("words").alias("wa"))
     right = words.select(F.col("node").alias("b"), F.col("words").alias("wb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long, sim double")
 
 
 def components(links: DataFrame, name: str = "classes") -> DataFrame:
@@ -259,82 +282,110 @@ def components(links: DataFrame, name: str = "classes") -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
         step = staged(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-        rest = step.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-        chained = 0 if rest else step.join(step.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+        ends = step.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(step.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("n").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
         edges = step
-        if not rest and not chained:
+        if not ends.where("up > 1 or (up > 0 and down > 0)").limit(1).count():  # each node hangs on a root
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def scored(bucket: DataFrame) -> DataFrame:
-    """With score, how many others a node meets in its buckets: a text that the copies of a group were made from meets
-    most of them, and links to more of them than they do to each other."""
-    sizes = bucket.groupBy("bucket").agg(F.count("*").alias("n"))
-    scores = bucket.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("score"))
-    return bucket.join(scores, "node").select("bucket", "node", "score", F.lit(False).alias("led"))
+def rooted(nodes: DataFrame, classes: DataFrame, col: str = "node") -> DataFrame:
+    """nodes with root, the class of column col."""
+    known = classes.select(F.col("node").alias("__n"), "root")
+    return nodes.join(known, F.col(col) == F.col("__n"), "left").withColumn("root", F.coalesce("root", col)).drop("__n")
+
+
+def open_pairs(bucket: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """From (bucket, star, root): the pairs of stars of different classes, of buckets where they are few, and the buckets
+    where they are not."""
+    fresh = bucket.groupBy("bucket", "root").agg(F.count("*").alias("f"))
+    sizes = fresh.groupBy("bucket").agg(F.sum("f").alias("n"), F.sum(F.col("f") * F.col("f")).alias("ff"))
+    live = staged(sizes.where("n * n > ff").select("bucket", (F.expr("n * n - ff") > F.lit(2 * most) * F.col("n")).alias("large")), "live")
+    few = bucket.join(live.where("not large").select("bucket"), "bucket")
+    # Two stars that share many buckets meet in the first of these only. A star has no more buckets than bands or shingles.
+    own = few.groupBy("star").agg(F.collect_list("bucket").alias("all"))
+    few = few.join(own, "star")
+    x, y = few.alias("x"), few.alias("y")
+    first = F.expr("x.star < y.star and x.root != y.root and array_min(array_intersect(x.all, y.all)) = x.bucket")
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & first)
+    return met.select(F.col("x.star").alias("a"), F.col("y.star").alias("b")), live.where("large").select("bucket")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, band_open: int = BAND_OPEN, rare_open: int = RARE_OPEN) -> DataFrame:
     """One row for each id: id_col, class_id (smallest id of the class), class_size, kept."""
     member, text = nodes_of(docs, id_col, text_col)
-    reps = member.select("node").distinct()
-    once = text.join(reps, "node", "left_semi").dropDuplicates(["node"])
-    keys = staged(bands_of(once, bands, rows, k), "bands")
-    shared = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    bucket = staged(scored(keys.join(shared.select("bucket"), "bucket", "left_semi")), "buckets")
-    words = staged(text.join(bucket.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "words")
-    links = done = classes = None
-    turn = 0
-    while True:
-        if classes is None:
-            state = bucket.withColumn("root", F.col("node"))
-        else:
-            state = bucket.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        state = staged(state.select("bucket", "node", "score", "root", "led"), "state")
-        # Buckets of one class are settled, and a node that led has met all the others of its bucket.
-        fresh = state.where("not led").groupBy("bucket", "root").agg(F.count("*").alias("f"))
-        sizes = fresh.groupBy("bucket").agg(F.sum("f").alias("n"), F.sum(F.col("f") * F.col("f")).alias("ff"))
-        large = F.lit(True) if classes is None else F.expr("n * n - ff") > F.lit(2 * (band_open if turn < 2 else rare_open)) * F.col("n")
-        live = staged(sizes.where("n * n > ff").select("bucket", large.alias("large")), "live")
-        if not live.limit(1).count():
-            break
-        now = state.where("not led").join(live, "bucket").join(fresh, ["bucket", "root"])
-        few = now.where("not large")
-        outright = few.alias("x").join(few.alias("y"), "bucket").where("x.node < y.node and x.root != y.root")
-        pairs = outright.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        big = now.where("large" if turn != 1 else "false")
-        first = [F.max_by("node", F.struct("score", "node"))]
-        if classes is not None:  # nodes of a bucket's small classes meet the most that are open
-            first += [F.min_by("node", F.struct("f", F.xxhash64("node", F.lit(s)))) for s in range(LEADERS - 1)]
-        lead = big.groupBy("bucket").agg(F.array_distinct(F.array(*first)).alias("l")).select("bucket", F.explode("l").alias("leader"))
-        lead = staged(lead, "leaders")
-        met = big.join(lead, "bucket").where("node != leader")
-        if classes is not None:
-            met = met.join(state.select("bucket", F.col("node").alias("leader"), F.col("root").alias("its")), ["bucket", "leader"]).where("root != its")
-        pairs = pairs.unionByName(met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        new = staged(verified(pairs, words, threshold, k), "links")
-        links = new if links is None else links.unionByName(new)
-        done = pairs if done is None else done.unionByName(pairs)
+    reps = member.where("id = node").select("node")
+    keys = staged(bands_of(text, bands, rows, k).join(reps, "node", "left_semi").dropDuplicates(["node"]).select("node", F.explode("buckets").alias("bucket")), "bands")
+    sizes = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    bucket = staged(keys.join(sizes, "bucket"), "buckets")
+    words = staged(picked(text, bucket.select("node").distinct()), "words")
+
+    # Stars. A text that the copies of a group were made from meets most of them: it leads.
+    scores = bucket.groupBy("node").agg(F.sum("n").alias("score"))
+    lead = bucket.join(scores, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top"))
+    met = bucket.join(lead.select("bucket", F.col("top.node").alias("leader")), "bucket").where("node != leader")
+    met = staged(met.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "met")
+    known = staged(similarities(met, words, k, threshold - 1e-9), "sims")
+    near = 1 - threshold + 1e-9
+    links = known.where(F.col("sim") >= 1 - near)
+    own = links.groupBy("b").agg(F.max(F.struct("sim", (-F.col("a")).alias("a"))).alias("best"))
+    satellites = staged(own.select(F.col("b").alias("node"), (-F.col("best.a")).alias("star"), (1 - F.col("best.sim")).alias("d")), "stars")
+    alone = words.select("node").join(satellites, "node", "left_anti").select("node", F.col("node").alias("star"), F.lit(0.0).alias("d"))
+    stars = satellites.unionByName(alone)
+    classes = components(links)
+
+    # Centres of stars that share a bucket.
+    where_stars = rooted(bucket.join(stars, "node").select("bucket", "star").distinct(), classes, "star")
+    pairs, large = open_pairs(staged(where_stars, "held"), band_open)
+    crowd = staged(bucket.join(large, "bucket", "left_semi").select("node").distinct(), "crowd")
+    if crowd.limit(1).count():
+        dealt = staged(rare_buckets(picked(words, crowd), threshold, k), "rare")
+        shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        dealt = rooted(dealt.join(shared, "bucket").join(stars, "node").select("bucket", "star").distinct(), classes, "star")
+        dealt = staged(dealt, "held")
+        more, large = open_pairs(dealt, rare_open)
+        pairs = pairs.unionByName(more)
+        rest = staged(dealt.join(large, "bucket", "left_semi").select("bucket", "star"), "rest")
+        while rest.limit(1).count():
+            turn = rest.groupBy("bucket").agg(*[F.min_by("star", F.xxhash64("star", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
+            turn = staged(turn.select("bucket", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("leader")), "turn")
+            faced = rest.join(turn, "bucket").where("star != leader").select(F.least("star", "leader").alias("a"), F.greatest("star", "leader").alias("b")).distinct()
+            faced = staged(similarities(faced.join(known.select("a", "b"), ["a", "b"], "left_anti"), words, k, threshold - 1e-9), "sims")
+            known = known.unionByName(faced)
+            links = links.unionByName(faced.where(F.col("sim") >= 1 - near))
+            classes = components(links)
+            rest = rest.join(turn.select("bucket", F.col("leader").alias("star")), ["bucket", "star"], "left_anti")
+            more, large = open_pairs(staged(rooted(rest, classes, "star"), "held"), rare_open)
+            pairs = pairs.unionByName(more)
+            rest = staged(rest.join(large, "bucket", "left_semi"), "rest")
+    either = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = staged(pairs.distinct().join(either, ["a", "b"], "left_anti"), "pairs")
+    known = known.unionByName(staged(similarities(pairs, words, k, threshold - 1e-9), "sims"))
+    links = known.where(F.col("sim") >= 1 - near)
+    classes = components(links)
+
+    # Members of stars whose centres are close enough.
+    radius = satellites.groupBy("star").agg(F.max("d").alias("r"))
+    close = known.where(F.col("sim") < 1 - near).select("a", "b", (1 - F.col("sim")).alias("apart"))
+    for side in ("a", "b"):
+        close = close.join(radius.select(F.col("star").alias(side), F.col("r").alias(f"r{side}")), side, "left").fillna(0.0, [f"r{side}"])
+    close = close.where((F.col("ra") + F.col("rb") > 0) & (F.col("apart") <= F.lit(near) + F.col("ra") + F.col("rb")))
+    close = rooted(rooted(close, classes, "a").withColumnRenamed("root", "ka"), classes, "b").where("ka != root")
+    inside = lambda side: stars.select(F.col("star").alias(side), F.col("node").alias(f"n{side}"), F.col("d").alias(f"d{side}"))
+    spread = close.select("a", "b", "apart").join(inside("a"), "a").join(inside("b"), "b").where(F.col("apart") - F.col("da") - F.col("db") <= near)
+    spread = spread.where("da + db > 0").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+    spread = staged(spread, "spread")
+    if spread.limit(1).count():
+        links = links.unionByName(staged(similarities(spread, words, k, threshold - 1e-9).where(F.col("sim") >= 1 - near), "links"))
         classes = components(links)
-        rest = state.join(live.where("large").select("bucket"), "bucket", "left_semi")
-        led = lead.select("bucket", F.col("leader").alias("node"), F.lit(True).alias("now"))
-        rest = rest.join(led, ["bucket", "node"], "left").select("bucket", "node", "score", (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
-        turn += 1
-        if turn == 2:
-            open_words = words.join(rest.select("node").distinct(), "node", "left_semi")
-            rest = scored(staged(rare_buckets(open_words, threshold, k), "rare"))
-        bucket = staged(rest, "buckets")
-    whole = member.withColumn("root", F.col("node")) if classes is None else member.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    whole = staged(whole.select("id", "root"), "classes")
+
+    whole = staged(rooted(member, classes).select("id", "root"), "classes")
     sizes = whole.groupBy("root").agg(F.count("*").alias("class_size"))
-    known = whole.join(sizes, "root").select(F.col("id").alias(id_col), F.col("root").alias("class_id"), "class_size", (F.col("id") == F.col("root")).alias("kept"))
+    found = whole.join(sizes, "root").select(F.col("id").alias(id_col), F.col("root").alias("class_id"), "class_size", (F.col("id") == F.col("root")).alias("kept"))
     nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
-    return known.unionByName(nameless)
+    return found.unionByName(nameless)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
