@@ -166,7 +166,7 @@ def collapse_subsamples(spark, sf_dir):
     return rounded(cov.collapsed(raw(spark, sf_dir), 2), "value", digits=9)
 
 
-@query(f"""WITH {RAW}, n AS (SELECT max(subsample) + 1 AS n FROM raw WHERE term <> 'c2') SELECT term, subsample, "row", col, round(value, 9) AS value FROM raw WHERE term <> 'c2' UNION ALL SELECT term, (subsample + n.n)::INTEGER, "row", col, round(value, 6) FROM raw, n WHERE term <> 'c2'""")
+@query(f"""WITH {RAW}, n AS (SELECT max(subsample) + 1 AS n FROM raw WHERE term <> 'c2') SELECT term, subsample, "row", col, round(value, 9) AS value FROM raw WHERE term <> 'c2' UNION ALL SELECT term, (subsample + n.n)::INTEGER, "row", col, round(value, 9) FROM raw, n WHERE term <> 'c2'""")
 def concat_runs(spark, sf_dir):
     r = raw(spark, sf_dir)
     return rounded(cov.concatenated([r.where("term != 'c2'"), r]).select("term", "subsample", "row", "col", "value"), "value", digits=9)
