@@ -2,7 +2,7 @@
 
 A text's ASCII capitals are lowered and its words (runs of ASCII letters and digits and other characters beyond ASCII)
 are written with a space on each side, so a rule is a regular expression over words and a match's start, in words, is
-half the number of spaces before it. Rules are tried only on texts with any gate word, and each only where its own
+half the number of spaces before it. Rules are tried only on texts with any gate substring, and each only where its own
 keyword occurs. Detections are ordered by start, longest first, then by priority; one that lies inside an earlier one of
 the same or a higher priority is suppressed. All of this happens within the row: nothing is shuffled.
 
@@ -24,6 +24,8 @@ from .common import text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD, NOT_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before capitals are lowered.
+CASED_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Phrase and label of the base places.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Confidence of the priorities 1, 2 and 3, and of a base place.
@@ -55,7 +57,7 @@ def over_words(signature: str) -> str:
 FAMILIES = (
     ("mit", "mit", ("mit license|licence", "expat license|licence"), "mit"),
     ("mit-0", "attribution", ("mit no attribution license?",), "mit 0"),
-    ("apache-2.0", "apache", ("apache software? license|licence version|v? 2 0?", "apache 2 0? license|licence?", "asl 2 0"), "apache 2 0"),
+    ("apache-2.0", "apache", ("apache software? license|licence version|v? 2 0?", "apache 2 0? license|licence?"), "apache 2 0"),
     ("apache-1.1", "apache", ("apache software? license|licence version? 1 1",), "apache 1 1"),
     ("gpl-1.0", "public", ("gnu? general public license|licence version|v? 1",), "gpl 1 0"),
     ("gpl-2.0", "public", ("gnu? general public license|licence version|v? 2",), "gpl 2 0"),
@@ -107,7 +109,7 @@ FAMILIES = (
     ("postgresql", "postgresql", ("postgresql license|licence",), "postgresql"),
     ("ms-pl", "microsoft", ("microsoft public license|licence",), "ms pl"),
     ("ms-rl", "microsoft", ("microsoft reciprocal license|licence",), "ms rl"),
-    ("x11", "x11", ("x11 license|licence", "mit x11 license|licence?"), "x11"),
+    ("x11", "x11", ("x11 license|licence", "mit x11 license|licence"), "x11"),
     ("ncsa", "illinois", ("university of illinois ncsa open source license|licence",), "ncsa"),
     ("vim", "vim", ("vim license|licence",), "vim"),
     ("ruby", "ruby", ("ruby license|licence",), "ruby"),
@@ -118,6 +120,10 @@ FAMILIES = (
     ("upl-1.0", "universal", ("universal permissive license|licence version? 1? 0?",), "upl 1 0"),
     ("proprietary", "rights", ("all rights reserved",), "proprietary"),
 )
+#: Substrings of which every signature needs one; texts without any are not scanned.
+GATE = ("licen", "gpl", "apache", "creative", "cc", "wtfpl", "bsd", "clause", "unencumbered", "attribution", "rights", "hereby", "distribut", "endorse", "acknowledgement", "copyleft",
+        "foundation", "warrant", "domain", "proprietary", "reproduction", "copyright")
+
 # Hand-written clauses that name no licence.
 CLAUSES = (
     ("mit", "hereby", 2, "permission is hereby granted free of charge to any person obtaining a copy"),
@@ -157,9 +163,22 @@ def rules() -> list[Rule]:
     return out + [Rule(label, keyword, p, over_words(s)) for label, keyword, p, s in CLAUSES]
 
 
-def gate_words() -> list[str]:
-    """Every rule's keyword, and the words of the base phrases that gate them."""
-    return sorted({r.keyword for r in rules()} | {"license"})
+def gated(signature: str) -> bool:
+    """Whether some word that the signature cannot do without holds a gate substring, whichever way it is met."""
+    needed = [w.split("|") for w in signature.split() if w != "*" and not w.endswith("?")]
+    return any(all(any(g in x for g in GATE) for x in ways) for ways in needed)
+
+
+if not all(gated(n) for f in FAMILIES for n in f[2]) or not all(gated(c[3]) for c in CLAUSES) or not all(gated(p) for p, _ in BASE):
+    raise ValueError("a signature has no gate")
+
+
+def gate(text: Column) -> Column:
+    low = F.lower(text)
+    out = F.lit(False)
+    for g in GATE:
+        out = out | F.contains(low, F.lit(g))
+    return out
 
 
 def words_spaced(text: Column) -> Column:
@@ -191,9 +210,8 @@ def base_places(spaced: Column, phrase: str) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_words, n_base, first_word, last_word, base_labels, labels, score; and detections, those that stay."""
     all_rules = rules()
-    gate = "(?i)(?<![a-z0-9])(?:" + "|".join(gate_words()) + ")(?![a-z0-9])"
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = rows.select("id", F.regexp_count("text", F.lit(WORD.replace(r"\x60", r"\x40\x5B-\x60"))).cast("long").alias("n_words"), F.when(F.rlike("text", F.lit(gate)), words_spaced(F.col("text"))).alias("spaced"))
+    rows = rows.select("id", F.regexp_count("text", F.lit(CASED_WORD)).cast("long").alias("n_words"), F.when(gate(F.col("text")), words_spaced(F.col("text"))).alias("spaced"))
     for k, (phrase, _) in enumerate(BASE):
         rows = rows.withColumn(f"b{k}", base_places(F.col("spaced"), phrase))
     table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(r.keyword).alias("k"), F.lit(r.priority).alias("p"), F.lit(r.label).alias("l"), F.lit(r.pattern).alias("x")) for i, r in enumerate(all_rules)])
