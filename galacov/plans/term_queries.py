@@ -17,7 +17,7 @@ LEG = f"""{fx.pairs_sql('pr', 'pts', 'pts', B.r_min, B.r_max)}, {fx.binned_sql('
 leg AS (SELECT id1 AS i, id2 AS j, bin AS a, r_bin, mu, w1 AS wi, w2 AS wj, jack1 AS ji, jack2 AS jj, {XI} AS xi FROM bp), lnk AS (SELECT id1 AS i, id2 AS k, {XI} AS x FROM lk0),
 rb AS (SELECT bin, sum(w1 * w2) / {fx.NORM ** 2} AS rr FROM bp GROUP BY bin)"""
 TRI = "tri AS (SELECT p.a, q.a AS b, p.r_bin, q.r_bin AS r_b, p.mu, q.mu AS mu_b, p.wi, p.wj, q.wj AS wk, p.ji, p.jj, q.jj AS jk, x FROM leg p JOIN lnk ON p.i = lnk.i JOIN leg q ON q.i = p.j AND q.j = lnk.k WHERE p.i <> lnk.k)"
-QUAD = """quad AS (SELECT p.a, q.a AS b, p.wi, p.wj, q.wi AS wk, q.wj AS wl, p.ji, p.jj, q.ji AS jk, q.jj AS jl, u.x, v.x AS y
+QUAD = """quad AS (SELECT p.a, q.a AS b, p.r_bin, q.r_bin AS r_b, p.mu, q.mu AS mu_b, p.wi, p.wj, q.wi AS wk, q.wj AS wl, p.ji, p.jj, q.ji AS jk, q.jj AS jl, u.x, v.x AS y
   FROM leg p JOIN lnk u ON p.i = u.i JOIN lnk v ON p.j = v.i JOIN leg q ON q.i = u.k AND q.j = v.k WHERE u.k <> p.j AND v.k <> p.i AND v.k <> u.k)"""
 DIV = lambda n, a="t.a", b="t.b": f"/ ({fx.NORM ** n} * x.rr * y.rr)"
 JOINED = "JOIN rb x ON t.a = x.bin JOIN rb y ON t.b = y.bin"
@@ -141,6 +141,19 @@ def c3_legendre_accumulated(spark, sf_dir):
     return rounded(terms.accumulated(terms.triples(leg, link), v, 4, phi, volumes()).withColumn("value", F.col("value") * 1e6), "value")
 
 
+@query(f"WITH {fx.PTS}, {LEG}, {QUAD} {_acc('quad', '2 * wi * wj * wk * wl * x * y', 'r_b', 'mu_b')}")
+def c4_legendre_accumulated(spark, sf_dir):
+    leg, link, _ = parts(spark, sf_dir)
+    v = 2 * F.col("w_i") * F.col("w_j") * F.col("w_k") * F.col("w_l") * F.col("x") * F.col("y")
+    return rounded(terms.accumulated(terms.quads(leg, link), v, 4, phi, volumes()).withColumn("value", F.col("value") * 1e6), "value")
+
+
+@query(f"WITH {fx.PTS}, {LEG}, {QUAD}, {FAC}, t AS (SELECT a, b, 2 * sum(wi * wj * wk * wl * x * y) AS v FROM quad GROUP BY a, b) {_projected('t')}")
+def c4_legendre_projected(spark, sf_dir):
+    leg, link, _ = parts(spark, sf_dir)
+    return rounded(terms.projected(terms.c4(leg, link), multipoles.mu_factors(spark, B.n_mu, 4), B.n_mu), "value")
+
+
 @query(f"WITH {fx.PTS}, {LEG} SELECT i, j, round({PHI_SQL.format(m='mu')}, 9) AS phi FROM leg")
 def survey_correction_eval(spark, sf_dir):
     return rounded(parts(spark, sf_dir)[0].select("i", "j", phi(F.col("r_bin"), F.col("mu")).alias("phi")), "phi", digits=9)
