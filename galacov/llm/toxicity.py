@@ -38,18 +38,31 @@ class Model:
     linear: np.ndarray
     factors: np.ndarray
 
-    def logits(self, terms: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Of rows whose terms are terms[offsets[i]:offsets[i+1]]."""
+    def logits(self, terms: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+        """Of rows whose terms are terms[offsets[i]:offsets[i+1]], about `most` terms at a time; terms without a weight
+        don't count."""
+        used = (self.linear != 0) | (self.factors != 0).any(axis=1)
+        out = np.full(len(offsets) - 1, self.bias)
+        at = 0
+        while at < len(out):
+            to = min(max(int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1, at + 1), len(out))
+            own = terms[offsets[at] : offsets[to]]
+            kept = used[own]
+            ends = np.concatenate([[0], np.cumsum(kept)])[offsets[at : to + 1] - offsets[at]]
+            out[at:to] += self._above_bias(own[kept], ends)
+            at = to
+        return out
+
+    def _above_bias(self, terms: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         counts = np.diff(offsets)
-        out = np.full(len(counts), self.bias)
+        out = np.zeros(len(counts))
         has = counts > 0
         if has.any():
             starts = offsets[:-1][has]
-            scale = 1.0 / np.sqrt(counts[has])
             out[has] += np.add.reduceat(self.linear[terms], starts, dtype=np.float64)
-            v = self.factors[terms]
-            both = np.add.reduceat(v, starts, axis=0, dtype=np.float64) ** 2 - np.add.reduceat(v * v, starts, axis=0, dtype=np.float64)
-            out[has] += 0.5 * both.sum(axis=1) * scale
+            v = self.factors[terms].astype(np.float64)
+            both = np.add.reduceat(v, starts, axis=0) ** 2 - np.add.reduceat(v * v, starts, axis=0)
+            out[has] += 0.5 * both.sum(axis=1) / np.sqrt(counts[has])
         return out
 
 
@@ -166,17 +179,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (),
           out: str = "score") -> DataFrame:
-    """id_col, the columns in carry and out (the score, 0 to 1), for each row of docs."""
+    """id_col, the columns in carry and out (the score, 0 to 1), for each row of docs. Only terms go to Python."""
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear, model.factors))  # SLOTS x (FACTORS + 1) floats, whatever the input
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def scored(x: pa.Array) -> pa.Array:
         own = Model(*sent.value)
-        for b in batches:
-            x = b.column(b.num_columns - 1)
-            got = sigmoid(own.logits(x.flatten().to_numpy(zero_copy_only=False), x.offsets.to_numpy() - x.offsets[0].as_py()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(got, pa.float64())], names=[*b.schema.names[:-1], out])
-
-    cols = [F.col(f"`{c}`") for c in (id_col, *carry)]
-    read = docs.select(*cols, terms_of(text_or_empty(text_col)).alias("__terms"))
-    fields = ", ".join(f"`{c}` {t}" for c, t in read.dtypes[:-1])
-    return read.mapInArrow(run, f"{fields}, `{out}` double")
+        offsets = x.offsets.to_numpy()
+        return pa.array(sigmoid(own.logits(x.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0])), pa.float64())
+
+    return docs.select(*[F.col(f"`{c}`") for c in (id_col, *carry)], scored(terms_of(text_or_empty(text_col))).alias(out))
