@@ -352,6 +352,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             turn = rest.groupBy("bucket").agg(*[F.min_by("star", F.xxhash64("star", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
             turn = staged(turn.select("bucket", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("leader")), "turn")
             faced = rest.join(turn, "bucket").where("star != leader").select(F.least("star", "leader").alias("a"), F.greatest("star", "leader").alias("b")).distinct()
+            faced = staged(faced, "faced")
+            pairs = pairs.unionByName(faced)
             faced = staged(similarities(faced.join(known.select("a", "b"), ["a", "b"], "left_anti"), words, k, threshold - 1e-9), "sims")
             known = known.unionByName(faced)
             links = links.unionByName(faced.where(F.col("sim") >= 1 - near))
@@ -361,13 +363,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pairs = pairs.unionByName(more)
             rest = staged(rest.join(large, "bucket", "left_semi"), "rest")
     either = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = staged(pairs.distinct().join(either, ["a", "b"], "left_anti"), "pairs")
-    known = known.unionByName(staged(similarities(pairs, words, k, threshold - 1e-9), "sims"))
+    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    fresh = staged(pairs.join(either, ["a", "b"], "left_anti"), "fresh")
+    known = known.unionByName(staged(similarities(fresh, words, k, threshold - 1e-9), "sims"))
     links = known.where(F.col("sim") >= 1 - near)
     classes = components(links)
 
     # Members of stars whose centres are close enough.
     radius = satellites.groupBy("star").agg(F.max("d").alias("r"))
+    # Every link's stars share a bucket and so are among the pairs, whether a leader's comparison or this one measured them.
+    known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").join(pairs, ["a", "b"], "left_semi")
     close = known.where(F.col("sim") < 1 - near).select("a", "b", (1 - F.col("sim")).alias("apart"))
     for side in ("a", "b"):
         close = close.join(radius.select(F.col("star").alias(side), F.col("r").alias(f"r{side}")), side, "left").fillna(0.0, [f"r{side}"])
