@@ -7,8 +7,9 @@ each document), `ids` (the documents) and `checkpoints` (the bit offset of every
 checkpoints of many blocks side by side: one look into a table of 2^max_bits entries gives each lane its next id.
 
 Encoding goes by words between ASCII white space, which the tokenizer's own rules drop and never join over: each
-distinct word is encoded by the library once and kept, up to KEPT words in a process. `by_words=False` hands whole texts
-to the library; a test compares both.
+distinct word is encoded by the library once and kept, up to KEPT words in a process. This holds for tokenizers of that
+kind (NFC, lower case, pieces at white space, byte letters); `by_words=False` hands whole texts to the library, for any
+other. A test compares both.
 
 A document's `start` is the number of ids before it: ranges of ids are shards, shards' totals give their offsets, and a
 block's offset follows inside its shard, so no task sees more than one shard.
@@ -19,8 +20,12 @@ their ids' bytes. An empty table gives no rows (and no code). Only id and text a
 
 from __future__ import annotations
 
-import re
+import gc
+import itertools
+import sys
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,7 @@ from .common import fresh_dir, staged, text_or_empty
 
 MAX_BITS, STRIDE = 18, 128
 #: Ids of a block, about; words that a process keeps.
-BLOCK, KEPT = 1 << 18, 400_000
+BLOCK, KEPT = 1 << 18, 1_200_000
 END_ID = 2
 
 
@@ -137,38 +142,85 @@ def unpack(payloads: list[bytes], checkpoints: list[np.ndarray], totals: list[in
 
 
 # ---- texts to ids ----------------------------------------------------------------------------------------------------
-#: A full stop or comma between an ASCII letter or digit and white space is a word of its own to the tokenizer's rules.
-_STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \t-\r]|$)")
-
-
-def words_of(text: str) -> list[bytes]:
-    """Pieces of text at ASCII white space. ASCII letters are lowered only where the text is all ASCII, since
-    normalisation may join other characters with their neighbours first."""
-    raw = text.encode("utf-8", "surrogatepass")
-    return _STOP.sub(rb" \1", raw.lower()).split() if text.isascii() else raw.split()
+#: Ends that stand alone for the tokenizer's rules when they follow letters and precede white space.
+STOPS = (ord("."), ord(","))
+if sys.byteorder != "little":
+    raise ImportError("ids are written as little-endian integers")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it is visible in Latin-1, else
+    the next of those from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_BYTES = byte_letters()
+
+
+class Words:
+    """Ids of words, each worked out once. A word of letters only is one piece to the tokenizer's rules, and goes to its
+    model as lower-case byte letters; any other goes through the whole tokenizer."""
+
+    def __init__(self, data: bytes):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_str(data.decode())
+        self.model = Tokenizer(self.whole.model)
+        self.kept: dict[bytes, bytes] = {}
+
+    def core(self, word: bytes) -> str | None:
+        """Lower-case byte letters of a word that is letters only, else None."""
+        if word.isascii():
+            return word.lower().decode() if word.isalpha() else None
+        text = word.decode("utf-8", "surrogatepass")
+        if "\u03a3" in text or not unicodedata.is_normalized("NFC", text):  # capital sigma's small form depends on its place
+            return None
+        low = text.lower()
+        return low.encode().decode("latin-1").translate(_BYTES) if low.isalpha() and text.isalpha() else None
+
+    def learn(self, new: list[bytes], kind: str) -> None:
+        cores, plain, others = [], [], []
+        code = {"<u2": "H", "<u4": "I"}[kind]  # of this machine's byte order, little-endian
+        for w in new:
+            c = self.core(w)
+            if c is not None:
+                cores.append(c)
+                plain.append((w, b""))
+            elif len(w) > 1 and w[-1] in STOPS and (c := self.core(w[:-1])) is not None:
+                cores.append(c)
+                plain.append((w, w[-1:]))
+            else:
+                others.append(w)
+        ends = {e: np.array(self.whole.encode(e.decode(), add_special_tokens=False).ids, dtype=kind).tobytes() for e in (b".", b",")} | {b"": b""}
+        for (w, e), got in zip(plain, self.model.encode_batch_fast(cores, add_special_tokens=False), strict=True):
+            self.kept[w] = array(code, got.ids).tobytes() + ends[e]
+        for w, got in zip(others, self.whole.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in others], add_special_tokens=False), strict=True):
+            self.kept[w] = array(code, got.ids).tobytes()
 
 
-def encode_texts(tokenizer, texts: list[str], kept: dict[bytes, bytes], by_words: bool = True, kind: str = "<u4") -> list[bytes]:
+def encode_texts(words: Words, texts: list[str], by_words: bool = True, kind: str = "<u4") -> list[bytes]:
     """Ids of each text as little-endian unsigned integers of type `kind`."""
     if not by_words:
-        return [np.array(e.ids, dtype=kind).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    split = [words_of(t) for t in texts]
-    new = list({w for s in split for w in s if w not in kept})
-    if len(kept) + len(new) > KEPT:
-        kept.clear()
-        new = list({w for s in split for w in s})
-    for w, e in zip(new, tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False), strict=True):
-        kept[w] = np.array(e.ids, dtype=kind).tobytes()
-    return [b"".join([kept[w] for w in s]) for s in split]
-
-
-def loaded(data: bytes):
+        return [np.array(e.ids, dtype=kind).tobytes() for e in words.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+    distinct = set(itertools.chain.from_iterable(split))
+    new = distinct.difference(words.kept)
+    if len(words.kept) + len(new) > KEPT:
+        words.kept.clear()
+        new = distinct
+    words.learn(list(new), kind)
+    return [b"".join(map(words.kept.__getitem__, s)) for s in split]
+
+
+def loaded(data: bytes) -> Words:
     """The tokenizer and its words for this process; kept in a module that outlives the task."""
     import tokenizers
 
     models = tokenizers.__dict__.setdefault("_galacov_words", {})
     if hash(data) not in models:
-        models[hash(data)] = (tokenizers.Tokenizer.from_str(data.decode()), {})
+        models[hash(data)] = Words(data)
     return models[hash(data)]
 
 
@@ -186,12 +238,13 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         sent = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary file
 
     def run(batches):
-        tokenizer, kept = loaded(sent.value)
+        words = loaded(sent.value)
+        gc.disable()  # half a million short-lived results a batch, none of them in cycles
         end = np.array([end_id], kind).tobytes()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                got = encode_texts(tokenizer, part.column(1).to_pylist(), kept, by_words, kind)
+                got = encode_texts(words, part.column(1).to_pylist(), by_words, kind)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g + end for g in got], pa.binary())], names=["id", "raw"])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
