@@ -36,7 +36,7 @@ from .common import fresh_dir, staged, text_or_empty
 
 MAX_BITS, STRIDE = 18, 128
 #: Ids of a block, about; words that a process keeps.
-BLOCK, KEPT = 1 << 18, 1_200_000
+BLOCK, KEPT = 1 << 18, 1_000_000
 END_ID = 2
 
 
