@@ -29,7 +29,9 @@ from .common import text_or_empty
 #: Blocks of a row, the most rows of blocks in an image and the most blocks in a row.
 WIDTH, MOST_ROWS, MOST_BLOCKS = 64, 8191, 8128
 #: Restart intervals that are decoded side by side; bytes of payload that are encoded at once.
-LANES, CHUNK = 1 << 15, 1 << 20
+LANES, CHUNK = 1 << 14, 1 << 20
+#: Rows of a batch that are held as Python objects at once.
+SLICE = 256
 
 # Code lengths of our two Huffman tables. DC: categories 0 to 8, AC: the end of a block alone.
 DC_BITS = (0, 1, 5, 1, 1, 1)
@@ -244,7 +246,7 @@ def dc_values(images: list[Image]) -> list[np.ndarray]:
             step = images[i].interval or units
             if len(images[i].data) != -(-units // step):
                 raise ValueError("restart intervals are missing")
-            out[i] = np.zeros(units * n, np.int64)
+            out[i] = np.zeros(units * n, np.int32)
             for k, d in enumerate(images[i].data):
                 lanes.append(d)
                 where.append((i, k * step * n, min(step, units - k * step) * n))
@@ -351,24 +353,26 @@ def feature(parts: list[np.ndarray]) -> str:
     return ",".join(f"{8 * p.shape[1]}x{8 * p.shape[0]}" for p in parts) + f";{bits};{crc:08x}"
 
 
+def payload_of(raw: bytes) -> bytes:
+    """Zero bytes up to a positive multiple of WIDTH."""
+    return raw + bytes(-len(raw) % WIDTH if raw else WIDTH)
+
+
 def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, media (the stored stream)."""
+    """id_col, n_bytes, media (the stored stream)."""
     def run(batches):
         for b in batches:
-            at = 0
-            while at < b.num_rows:
-                part = b.slice(at, 1024)
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
                 raw = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
-                payloads = [r + bytes(-len(r) % WIDTH if r else WIDTH) for r in raw]
-                for lo, hi in bounded(payloads):
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), pa.array([len(r) for r in raw[lo:hi]], pa.int64()), pa.array(store(payloads[lo:hi]), pa.binary())], names=["id", "n_bytes", "media"])
-                at += 1024
+                for x, y in bounded(raw):
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(x, y - x), pa.array([len(r) for r in raw[x:y]], pa.int64()), pa.array(store([payload_of(r) for r in raw[x:y]]), pa.binary())], names=["id", "n_bytes", "media"])
 
     read = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return read.mapInArrow(run, f"id {read.dtypes[0][1]}, n_bytes long, media binary")
+    return read.mapInArrow(run, f"id {read.dtypes[0][1]}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-def bounded(parts: list[bytes], most: int = 2 * CHUNK):
+def bounded(parts: list[bytes], most: int = CHUNK):
     at = size = 0
     for i, p in enumerate(parts):
         if i > at and size + len(p) > most:
@@ -379,29 +383,38 @@ def bounded(parts: list[bytes], most: int = 2 * CHUNK):
         yield at, len(parts)
 
 
-def columns_of(media: DataFrame, id_col: str = "id") -> DataFrame:
-    """From (id, n_bytes, media): id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature, all computed from what the stored stream decodes to."""
+NAMES = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+
+
+def features(ids: pa.Array, n_bytes: pa.Array, part: list[bytes]) -> pa.RecordBatch:
+    """The columns of stored streams, all computed from what these decode to."""
+    try:
+        found = [(x, b"".join(t.tobytes() for t in x)) for x in thumbnails(part)]
+    except (ValueError, KeyError, IndexError):  # one of them: find which
+        found = [alone(x) for x in part]
+    own = lambda f: [None if p is None else f(x, p) for x, p in found]
+    return pa.RecordBatch.from_arrays([
+        ids, n_bytes, pa.array(own(lambda x, p: len(p)), pa.int64()), pa.array(own(lambda x, p: hashlib.sha256(p).hexdigest()), pa.string()),
+        pa.array(own(lambda x, p: zlib.crc32(p[-WIDTH:])), pa.int64()), pa.array([len(x) for x in part], pa.int64()),
+        pa.array([hashlib.sha256(x).hexdigest() for x in part], pa.string()), pa.array(own(lambda x, p: feature(x)), pa.string())], names=NAMES)
+
+
+def schema_of(id_type: str) -> str:
+    return f"id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def columns_of(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """From (id_col, n_bytes, media): id_col, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
+    media_sha256, feature."""
     def run(batches):
         for b in batches:
-            raws = b.column(2).to_pylist()
-            for lo, hi in bounded(raws):
-                part = raws[lo:hi]
-                try:
-                    found = [(x, b"".join(t.tobytes() for t in x)) for x in thumbnails(part)]
-                except (ValueError, KeyError, IndexError):  # one of them: find which
-                    found = [alone(x) for x in part]
-                cols = [[None if p is None else f(x, p) for (x, p) in found] for f in (
-                    lambda x, p: len(p), lambda x, p: hashlib.sha256(p).hexdigest(), lambda x, p: zlib.crc32(p[-WIDTH:]))]
-                features = [None if p is None else feature(x) for x, p in found]
-                kinds = (pa.int64(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                    pa.array([len(x) for x in part], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in part], pa.string()), pa.array(features, pa.string())],
-                    names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    schema = f"id {media.dtypes[0][1]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
+                raws = part.column(2).to_pylist()
+                for x, y in bounded(raws):
+                    yield features(part.column(0).slice(x, y - x), part.column(1).slice(x, y - x), raws[x:y])
+
+    return media.mapInArrow(run, schema_of(media.dtypes[0][1])).withColumnRenamed("id", id_col)
 
 
 def alone(raw: bytes):
@@ -413,4 +426,14 @@ def alone(raw: bytes):
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return columns_of(stored(docs, id_col, text_col), id_col)
+    """stored and columns_of in one pass: a stream is read back in the task that stored it."""
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, SLICE):
+                part = b.slice(lo, SLICE)
+                raw = [t.encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
+                for x, y in bounded(raw):
+                    yield features(part.column(0).slice(x, y - x), pa.array([len(r) for r in raw[x:y]], pa.int64()), store([payload_of(r) for r in raw[x:y]]))
+
+    read = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    return read.mapInArrow(run, schema_of(read.dtypes[0][1])).withColumnRenamed("id", id_col)
