@@ -7,8 +7,8 @@ are the splits of each piece into two pieces, ordered by score) and a decoder. B
 markers, which changes no merge as long as no piece has a marker after another character; otherwise the whole text is
 one word. Batches are encoded by the library's own threads.
 
-Parity with the sentencepiece library is checked on every text whose hash falls into one of `parity_one_in` slots
-(1: all), and the check is part of the result.
+Parity with the sentencepiece library is checked on every text, copies in one batch once, and the check is part of the
+result; `parity_one_in` slots over 1 restrict it to the texts whose hash falls into one of them.
 
 Cases: a null text counts as empty and has no ids. Decoding gives back the text as the model's normaliser sees it; for
 models without rules that is the text itself, so `round_trip` compares the two. An empty table gives no rows. Only id
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import text_or_empty
 
 MARK = "▁"
-#: One text of this many is also encoded by the sentencepiece library.
-PARITY_ONE_IN = 16
+#: One text of this many is also encoded by the sentencepiece library: all are.
+PARITY_ONE_IN = 1
 #: Characters of texts that are encoded at once.
 CHUNK = 1 << 21
 #: Types of a piece in the protobuf, and types of a model.
@@ -203,15 +203,16 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         own = encoder(sent.value, threads)
         theirs = reference(sent.value)
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts, wanted = b.column(1).to_pylist(), b.column(2).to_pylist()
+            same: dict[str, bool] = {}
             for lo, hi in batches_of(texts):
                 part = texts[lo:hi]
                 ids = [e.ids for e in own.encode_batch_fast(part, add_special_tokens=False)]
                 back = own.decode_batch(ids, skip_special_tokens=False)
-                checked = [i for i, c in enumerate(b.column(2).to_pylist()[lo:hi]) if c]
-                parity: list = [None] * len(part)
-                for i, want in zip(checked, theirs.encode([part[i] for i in checked], num_threads=1), strict=True):
-                    parity[i] = want == ids[i]
+                new = {t: i for i, (t, c) in enumerate(zip(part, wanted[lo:hi], strict=True)) if c and t not in same}
+                for (t, i), want in zip(new.items(), theirs.encode(list(new), num_threads=1), strict=True):
+                    same[t] = want == ids[i]
+                parity = [same.get(t) for t in part]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), pa.array([x == y for x, y in zip(part, back, strict=True)]), pa.array(parity, pa.bool_())], names=["id", "ids", "round_trip", "parity"])
 
     text = text_or_empty(text_col)

@@ -102,6 +102,12 @@ def test_sentencepiece_parity_and_round_trip(spark):
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(ODD)}
 
 
+def test_parity_is_checked_on_every_text(spark):
+    texts = ODD + [f"text {i} of many, {'x' * (i % 7)}" for i in range(60)] + ODD + ["a copy"] * 5
+    got = queries.sentencepiece_codec.digests(docs(spark, texts), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(got) == len(texts) and all(r["parity"] is True for r in got)
+
+
 def test_unigram_models_are_rebuilt():
     def message(*parts):
         return b"".join(parts)
