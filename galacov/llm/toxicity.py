@@ -3,7 +3,9 @@
 Terms are the lower-cased words of a text and their leading 4, 5 and 6 letters, hashed into a fixed number of slots; a
 term counts once. A text's value is w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j, so a pair of terms (an insult
 beside a word that names a group) can weigh more than its two parts. It is trained here, with AdaGrad on mini-batches in
-numpy, from a sample of at most `max_rows` labelled rows picked by hash; scoring reads every whole text.
+numpy, from a sample of at most `max_rows` labelled rows picked by hash; scoring reads every whole text. Every slot seen
+in MIN_ROWS training rows has a weight and factors. x_i is not 1 but grows with the evidence that the slot depends on the
+label, from FLOOR up: a slot of weak evidence learns slowly, which is the regularisation, and none is left out.
 
 Cases: a null or empty text has no terms and gets the score of the bias alone. Labels other than 0 and 1 and null
 labels are not learned from; rows whose label appears more than once count once, as toxic if any says so. With no
@@ -25,10 +27,8 @@ from .common import text_or_empty
 SLOTS, FACTORS = 1 << 18, 4
 #: Bound of the training sample, in rows; and of the terms kept from it.
 MAX_TRAIN_ROWS, MAX_TRAIN_TERMS = 8_000, 12_000_000
-#: Terms that get a weight, most dependent on the label first: those in MIN_ROWS toxic rows or more that are MIN_LIFT
-#: times as common among them as among the others, with a chi-square of MIN_CHI_SQUARE; or half of a strong pair: twice
-#: as common, with a squared correlation of STRONG.
-MIN_ROWS, MIN_LIFT, MIN_CHI_SQUARE, STRONG, MAX_TERMS = 4, 6.0, 35.0, 0.05, 8192
+#: Training rows a slot must be in to have a weight; the chi-square at which its x is a half; the least x.
+MIN_ROWS, HALF_CHI_SQUARE, FLOOR = 4, 15.0, 0.02
 THRESHOLD = 0.3
 
 
@@ -38,7 +38,7 @@ class Model:
     linear: np.ndarray
     factors: np.ndarray
 
-    def logits(self, terms: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    def logits(self, terms: np.ndarray, offsets: np.ndarray, most: int = 1 << 17) -> np.ndarray:
         """Of rows whose terms are terms[offsets[i]:offsets[i+1]], about `most` terms at a time; terms without a weight
         don't count."""
         used = (self.linear != 0) | (self.factors != 0).any(axis=1)
@@ -62,7 +62,7 @@ class Model:
             out[has] += np.add.reduceat(self.linear[terms], starts, dtype=np.float64)
             v = self.factors[terms].astype(np.float64)
             both = np.add.reduceat(v, starts, axis=0) ** 2 - np.add.reduceat(v * v, starts, axis=0)
-            out[has] += 0.5 * both.sum(axis=1) / np.sqrt(counts[has])
+            out[has] += 0.5 * both.sum(axis=1)
         return out
 
 
@@ -91,8 +91,8 @@ def apart(rows: list[np.ndarray], labels: np.ndarray, ids: list[int]) -> list[in
     return list(seen.values())
 
 
-def dependent(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marks the slots to learn weights for, and how much more common each is among toxic rows."""
+def evidence(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks the slots to learn; x of each slot, and how much more common it is among toxic rows."""
     def seen(wanted: float) -> np.ndarray:
         own = [r for r, y in zip(rows, labels, strict=True) if y == wanted]
         return np.bincount(np.concatenate(own), minlength=SLOTS).astype(float)
@@ -102,24 +102,23 @@ def dependent(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, n
     c, d = pos - a, n - pos - b
     chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * pos * (n - pos), 1e-9)
     lift = (a + 0.5) / (pos + 1) / ((b + 0.5) / (n - pos + 1))
-    kept = (a >= MIN_ROWS) & (((lift >= MIN_LIFT) & (chi >= MIN_CHI_SQUARE)) | ((lift >= 2) & (chi >= STRONG * n)))
-    return kept & (chi >= np.sort(chi)[-MAX_TERMS]), lift
+    return a + b >= MIN_ROWS, np.maximum(chi**2 / (chi**2 + HALF_CHI_SQUARE**2), FLOOR), lift
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 6000, batch: int = 32, rate: float = 0.1,
+def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 3000, batch: int = 32, rate: float = 0.1,
         decay: float = 2e-5, seed: int = 11) -> Model:
     """AdaGrad on the logistic loss, mini-batches in a seeded order, from half the terms' log ratios: a rare term that only
-    stands beside common ones would else learn nothing."""
+    stands beside common ones would else learn nothing. The model's weights and factors have x multiplied in."""
     rng = np.random.default_rng(seed)
     linear = np.zeros(SLOTS)
     share = float(labels.mean()) if len(labels) else 0.0
     bias = float(np.log((share * len(labels) + 0.5) / ((1 - share) * len(labels) + 0.5))) if len(labels) else -6.0
     if not len(labels) or share in (0.0, 1.0):
         return Model(bias, linear.astype(np.float32), np.zeros((SLOTS, FACTORS), np.float32))
-    common, lift = dependent(rows, labels)
+    common, x, lift = evidence(rows, labels)
     place = np.cumsum(common) - 1
     rows = [place[r[common[r]]] for r in rows]
-    n = int(common.sum())
+    n, x = int(common.sum()), x[common]
     w, v = 0.5 * np.log(lift[common]), rng.normal(0, 0.1, (n, FACTORS))
     gw, gv, gb = np.full(n, 1e-6), np.full((n, FACTORS), 1e-6), 1e-6
     for _ in range(-(-steps * batch // len(rows))):
@@ -131,25 +130,25 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = 6000, batch: in
             flat = np.concatenate([rows[i] for i in ids])
             counts = np.array([len(rows[i]) for i in ids])
             starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            scale = 1 / np.sqrt(counts)
-            vf = v[flat]
+            xf = x[flat]
+            vf = v[flat] * xf[:, None]
             total = np.add.reduceat(vf, starts, axis=0)
             squares = np.add.reduceat(vf * vf, starts, axis=0)
-            z = bias + np.add.reduceat(w[flat], starts) + 0.5 * ((total**2 - squares).sum(axis=1)) * scale
+            z = bias + np.add.reduceat(w[flat] * xf, starts) + 0.5 * (total**2 - squares).sum(axis=1)
             err = (sigmoid(z) - labels[ids]) / len(ids)
             used, inverse = np.unique(flat, return_inverse=True)
-            each = np.repeat(err, counts)
+            each = np.repeat(err, counts) * xf
             dw = np.bincount(inverse, each, len(used)) + decay * w[used]
-            pull = np.repeat(err * scale, counts)[:, None] * (np.repeat(total, counts, axis=0) - vf)
+            pull = each[:, None] * (np.repeat(total, counts, axis=0) - vf)
             dv = np.stack([np.bincount(inverse, pull[:, k], len(used)) for k in range(FACTORS)], axis=1) + decay * v[used]
             gw[used] += dw**2
             gv[used] += dv**2
             gb += err.sum() ** 2
-            w[used] = np.maximum(w[used] - rate * dw / np.sqrt(gw[used]), 0)  # terms were picked as signs of toxicity
+            w[used] -= rate * dw / np.sqrt(gw[used])
             v[used] -= rate * dv / np.sqrt(gv[used])
             bias -= rate * err.sum() / np.sqrt(gb)
     factors = np.zeros((SLOTS, FACTORS))
-    linear[common], factors[common] = w, v
+    linear[common], factors[common] = w * x, v * x[:, None]
     return Model(bias, linear.astype(np.float32), factors.astype(np.float32))
 
 

@@ -317,6 +317,25 @@ def test_toxicity_learns_words_and_pairs(spark):
     assert toxicity.score(d, none).agg(F.max("score")).first()[0] < 0.3
 
 
+def test_toxicity_learns_many_pairs():
+    """Ten insults by ten group words, each of both common in clean rows as well: only a pair tells."""
+    rng = np.random.default_rng(1)
+    slots = rng.permutation(toxicity.SLOTS)
+    rows, labels = [], []
+    for _ in range(10_000):
+        insult, group = rng.random() < 0.45, rng.random() < 0.12
+        own = [*rng.integers(100, 3100, 30), *rng.integers(0, 10, int(insult)), *rng.integers(20, 30, int(group))]
+        rows.append(np.unique(slots[(np.array(own)[:, None] * 4 + np.arange(4)).ravel()]))
+        labels.append(float(insult and group))
+    y = np.array(labels)
+    model = toxicity.fit(rows[:8000], y[:8000])
+    seen = np.bincount(np.concatenate(rows[:8000]), minlength=toxicity.SLOTS) >= toxicity.MIN_ROWS
+    assert (model.linear[seen] != 0).all() and (model.factors[seen] != 0).any(axis=1).all()
+    held = rows[8000:]
+    found = toxicity.sigmoid(model.logits(np.concatenate(held), np.cumsum([0] + [len(r) for r in held]))) >= toxicity.THRESHOLD
+    assert found[y[8000:] == 1].mean() > 0.9 and found[y[8000:] == 0].mean() < 0.01
+
+
 def test_toxicity_on_held_out_rows(spark, sf):
     found = queries.op8_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").toPandas()
     hit = (found.predicted == 1) & (found.toxic == 1)
