@@ -53,17 +53,17 @@ def over_words(signature: str) -> str:
     return "".join(out)
 
 
-# Hand-written signatures: label, the word that gates it, the licence's names, its SPDX identifier in words.
+# Hand-written signatures: label, the words that gate it (each name has exactly one of them), the licence's names, its SPDX identifier in words.
 FAMILIES = (
-    ("mit", "mit", ("mit license|licence", "expat license|licence"), "mit"),
+    ("mit", "mit|expat", ("mit license|licence", "expat license|licence"), "mit"),
     ("mit-0", "attribution", ("mit no attribution license?",), "mit 0"),
     ("apache-2.0", "apache", ("apache software? license|licence version|v? 2 0?", "apache 2 0? license|licence?"), "apache 2 0"),
     ("apache-1.1", "apache", ("apache software? license|licence version? 1 1",), "apache 1 1"),
     ("gpl-1.0", "public", ("gnu? general public license|licence version|v? 1",), "gpl 1 0"),
     ("gpl-2.0", "public", ("gnu? general public license|licence version|v? 2",), "gpl 2 0"),
     ("gpl-3.0", "public", ("gnu? general public license|licence version|v? 3",), "gpl 3 0"),
-    ("gpl-2.0-short", "gpl", ("gnu? gpl version|v? 2", "gnu? gplv2"), "gpl 2 0 only"),
-    ("gpl-3.0-short", "gpl", ("gnu? gpl version|v? 3", "gnu? gplv3"), "gpl 3 0 only"),
+    ("gpl-2.0-short", "gpl|gplv2", ("gnu? gpl version|v? 2", "gnu? gplv2"), "gpl 2 0 only"),
+    ("gpl-3.0-short", "gpl|gplv3", ("gnu? gpl version|v? 3", "gnu? gplv3"), "gpl 3 0 only"),
     ("gpl-2.0-or-later", "later", ("general public license * version 2 or * any? later version?",), "gpl 2 0 or later"),
     ("gpl-3.0-or-later", "later", ("general public license * version 3 or * any? later version?",), "gpl 3 0 or later"),
     ("lgpl-2.0", "lesser|library", ("gnu? library general public license|licence version? 2?",), "lgpl 2 0"),
@@ -71,10 +71,10 @@ FAMILIES = (
     ("lgpl-3.0", "lesser", ("gnu? lesser general public license|licence version|v? 3",), "lgpl 3 0"),
     ("agpl-3.0", "affero", ("gnu? affero general public license|licence version|v? 3?",), "agpl 3 0"),
     ("gfdl-1.3", "documentation", ("gnu? free documentation license|licence version|v? 1? 3?",), "gfdl 1 3"),
-    ("bsd-2-clause", "bsd", ("bsd 2 clause license?", "simplified bsd license|licence", "freebsd license|licence"), "bsd 2 clause"),
+    ("bsd-2-clause", "bsd|freebsd", ("bsd 2 clause license?", "simplified bsd license|licence", "freebsd license|licence"), "bsd 2 clause"),
     ("bsd-3-clause", "bsd", ("bsd 3 clause license?", "new|modified|revised bsd license|licence"), "bsd 3 clause"),
     ("bsd-4-clause", "bsd", ("bsd 4 clause license?", "original bsd license|licence"), "bsd 4 clause"),
-    ("bsd-0-clause", "bsd", ("bsd zero clause license?", "0bsd"), "0bsd"),
+    ("bsd-0-clause", "bsd|0bsd", ("bsd zero clause license?", "0bsd"), "0bsd"),
     ("bsd", "bsd", ("bsd license|licence", "bsd style license|licence"), "bsd"),
     ("isc", "isc", ("isc license|licence",), "isc"),
     ("mpl-1.1", "mozilla", ("mozilla public license|licence version|v? 1 1",), "mpl 1 1"),
@@ -84,7 +84,7 @@ FAMILIES = (
     ("edl-1.0", "eclipse", ("eclipse distribution license|licence version|v? 1? 0?",), "edl 1 0"),
     ("cddl-1.0", "cddl|common", ("common development and distribution license|licence version? 1? 0?",), "cddl 1 0"),
     ("cpl-1.0", "common", ("common public license|licence version? 1? 0?",), "cpl 1 0"),
-    ("cc0-1.0", "cc0", ("cc0 1 0? universal?", "creative commons zero"), "cc0 1 0"),
+    ("cc0-1.0", "cc0|creative", ("cc0 1 0? universal?", "creative commons zero"), "cc0 1 0"),
     ("cc-by-3.0", "creative|cc", ("creative commons attribution 3 0", "cc by 3 0"), "cc by 3 0"),
     ("cc-by-4.0", "creative|cc", ("creative commons attribution 4 0", "cc by 4 0"), "cc by 4 0"),
     ("cc-by-sa-3.0", "creative|cc", ("creative commons attribution share alike|sharealike 3 0", "cc by sa 3 0"), "cc by sa 3 0"),
@@ -99,7 +99,7 @@ FAMILIES = (
     ("zlib", "zlib", ("zlib license|licence", "zlib libpng license|licence"), "zlib"),
     ("bsl-1.0", "boost", ("boost software license|licence version? 1? 0?",), "bsl 1 0"),
     ("artistic-2.0", "artistic", ("artistic license|licence version? 2? 0?",), "artistic 2 0"),
-    ("psf-2.0", "python", ("python software foundation license|licence", "psf license|licence"), "psf 2 0"),
+    ("psf-2.0", "python|psf", ("python software foundation license|licence", "psf license|licence"), "psf 2 0"),
     ("openssl", "openssl", ("openssl license|licence",), "openssl"),
     ("ofl-1.1", "font", ("sil? open font license|licence version? 1? 1?",), "ofl 1 1"),
     ("sspl-1.0", "server", ("server side public license|licence version? 1?",), "sspl 1 0"),
@@ -151,7 +151,7 @@ def rules() -> list[Rule]:
         label = label.removesuffix("-short")
         for keyword in keywords.split("|"):
             for name in names:
-                if not any(keyword in w.strip("?").split("|") for w in name.split()):
+                if keyword not in name.split():
                     continue
                 out += [
                     Rule(label, keyword, 1, over_words(f"licensed|released|distributed|available|provided|published under the? terms? and? conditions? of? the? {name}")),
@@ -169,6 +169,9 @@ def gated(signature: str) -> bool:
     return any(all(any(g in x for g in GATE) for x in ways) for ways in needed)
 
 
+for _label, _keywords, _names, _ in FAMILIES:
+    if any(sum(k in n.split() for k in _keywords.split("|")) != 1 for n in _names):
+        raise ValueError(f"a name of {_label} has not exactly one keyword, a word that it cannot do without")
 if not all(gated(n) for f in FAMILIES for n in f[2]) or not all(gated(c[3]) for c in CLAUSES) or not all(gated(p) for p, _ in BASE):
     raise ValueError("a signature has no gate")
 

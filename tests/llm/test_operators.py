@@ -262,6 +262,20 @@ def test_license_rules(spark):
     assert len(licenses.rules()) > 300
 
 
+def shortest(signature):
+    """A text of a signature's first alternatives, without the words that may be missing and with one for a star."""
+    return " ".join(w.replace("*", "noncommercial").split("|")[0] for w in signature.split() if not w.endswith("?"))
+
+
+def test_every_license_name_is_found(spark):
+    names = [(label.removesuffix("-short"), n) for label, _, names, _ in licenses.FAMILIES for n in names]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(docs(spark, [f"under {shortest(n)}." for _, n in names])).collect()}
+    assert [(label, n) for i, (label, n) in enumerate(names) if label not in got[i]] == []
+    more = [("gpl-2.0", "Licensed under GPLv2"), ("gpl-3.0", "GNU GPLv3"), ("mit", "the Expat License"), ("cc0-1.0", "Creative Commons Zero")]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(docs(spark, [t for _, t in more])).collect()}
+    assert all(label in got[i] for i, (label, _) in enumerate(more))
+
+
 def test_inner_detections_are_suppressed(spark):
     got = licenses.scan(docs(spark, ["released under the terms of the mozilla public license version 2.0"])).first()
     assert [d["l"] for d in got["detections"]] == ["mpl-2.0"] and got["detections"][0]["p"] == 1
