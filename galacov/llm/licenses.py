@@ -57,33 +57,33 @@ def over_words(signature: str) -> str:
 FAMILIES = (
     ("mit", "mit|expat", ("mit license|licence", "expat license|licence"), "mit"),
     ("mit-0", "attribution", ("mit no attribution license?",), "mit 0"),
-    ("apache-2.0", "apache", ("apache software? license|licence version|v? 2 0?", "apache 2 0? license|licence?"), "apache 2 0"),
-    ("apache-1.1", "apache", ("apache software? license|licence version? 1 1",), "apache 1 1"),
-    ("gpl-1.0", "public", ("gnu? general public license|licence version|v? 1",), "gpl 1 0"),
-    ("gpl-2.0", "public", ("gnu? general public license|licence version|v? 2",), "gpl 2 0"),
-    ("gpl-3.0", "public", ("gnu? general public license|licence version|v? 3",), "gpl 3 0"),
-    ("gpl-2.0-short", "gpl|gplv2", ("gnu? gpl version|v? 2", "gnu? gplv2"), "gpl 2 0 only"),
-    ("gpl-3.0-short", "gpl|gplv3", ("gnu? gpl version|v? 3", "gnu? gplv3"), "gpl 3 0 only"),
-    ("gpl-2.0-or-later", "later", ("general public license * version 2 or * any? later version?",), "gpl 2 0 or later"),
-    ("gpl-3.0-or-later", "later", ("general public license * version 3 or * any? later version?",), "gpl 3 0 or later"),
-    ("lgpl-2.0", "lesser|library", ("gnu? library general public license|licence version? 2?",), "lgpl 2 0"),
-    ("lgpl-2.1", "lesser", ("gnu? lesser general public license|licence version|v? 2 1",), "lgpl 2 1"),
-    ("lgpl-3.0", "lesser", ("gnu? lesser general public license|licence version|v? 3",), "lgpl 3 0"),
-    ("agpl-3.0", "affero", ("gnu? affero general public license|licence version|v? 3?",), "agpl 3 0"),
-    ("gfdl-1.3", "documentation", ("gnu? free documentation license|licence version|v? 1? 3?",), "gfdl 1 3"),
+    ("apache-2.0", "apache", ("apache software? license|licence version|v? 2|v2 0?", "apache 2|v2 0? license|licence?"), "apache 2 0"),
+    ("apache-1.1", "apache", ("apache software? license|licence version|v? 1|v1 1",), "apache 1 1"),
+    ("gpl-1.0", "public", ("gnu? general public license|licence version|v? 1|v1",), "gpl 1 0"),
+    ("gpl-2.0", "public", ("gnu? general public license|licence version|v? 2|v2",), "gpl 2 0"),
+    ("gpl-3.0", "public", ("gnu? general public license|licence version|v? 3|v3",), "gpl 3 0"),
+    ("gpl-2.0-short", "gpl|gplv2", ("gnu? gpl version|v? 2|v2", "gnu? gplv2"), "gpl 2 0 only"),
+    ("gpl-3.0-short", "gpl|gplv3", ("gnu? gpl version|v? 3|v3", "gnu? gplv3"), "gpl 3 0 only"),
+    ("gpl-2.0-or-later", "later", ("general public license * version|v? 2|v2 or * any? later version?",), "gpl 2 0 or later"),
+    ("gpl-3.0-or-later", "later", ("general public license * version|v? 3|v3 or * any? later version?",), "gpl 3 0 or later"),
+    ("lgpl-2.0", "lesser|library", ("gnu? library general public license|licence version|v? 2|v2?",), "lgpl 2 0"),
+    ("lgpl-2.1", "lesser", ("gnu? lesser general public license|licence version|v? 2|v2 1",), "lgpl 2 1"),
+    ("lgpl-3.0", "lesser", ("gnu? lesser general public license|licence version|v? 3|v3",), "lgpl 3 0"),
+    ("agpl-3.0", "affero", ("gnu? affero general public license|licence version|v? 3|v3?",), "agpl 3 0"),
+    ("gfdl-1.3", "documentation", ("gnu? free documentation license|licence version|v? 1|v1? 3?",), "gfdl 1 3"),
     ("bsd-2-clause", "bsd|freebsd", ("bsd 2 clause license?", "simplified bsd license|licence", "freebsd license|licence"), "bsd 2 clause"),
     ("bsd-3-clause", "bsd", ("bsd 3 clause license?", "new|modified|revised bsd license|licence"), "bsd 3 clause"),
     ("bsd-4-clause", "bsd", ("bsd 4 clause license?", "original bsd license|licence"), "bsd 4 clause"),
     ("bsd-0-clause", "bsd|0bsd", ("bsd zero clause license?", "0bsd"), "0bsd"),
     ("bsd", "bsd", ("bsd license|licence", "bsd style license|licence"), "bsd"),
     ("isc", "isc", ("isc license|licence",), "isc"),
-    ("mpl-1.1", "mozilla", ("mozilla public license|licence version|v? 1 1",), "mpl 1 1"),
-    ("mpl-2.0", "mozilla", ("mozilla public license|licence version|v? 2 0?",), "mpl 2 0"),
-    ("epl-1.0", "eclipse", ("eclipse public license|licence version|v? 1 0?",), "epl 1 0"),
-    ("epl-2.0", "eclipse", ("eclipse public license|licence version|v? 2 0?",), "epl 2 0"),
-    ("edl-1.0", "eclipse", ("eclipse distribution license|licence version|v? 1? 0?",), "edl 1 0"),
-    ("cddl-1.0", "cddl|common", ("common development and distribution license|licence version? 1? 0?",), "cddl 1 0"),
-    ("cpl-1.0", "common", ("common public license|licence version? 1? 0?",), "cpl 1 0"),
+    ("mpl-1.1", "mozilla", ("mozilla public license|licence version|v? 1|v1 1",), "mpl 1 1"),
+    ("mpl-2.0", "mozilla", ("mozilla public license|licence version|v? 2|v2 0?",), "mpl 2 0"),
+    ("epl-1.0", "eclipse", ("eclipse public license|licence version|v? 1|v1 0?",), "epl 1 0"),
+    ("epl-2.0", "eclipse", ("eclipse public license|licence version|v? 2|v2 0?",), "epl 2 0"),
+    ("edl-1.0", "eclipse", ("eclipse distribution license|licence version|v? 1|v1? 0?",), "edl 1 0"),
+    ("cddl-1.0", "cddl|common", ("common development and distribution license|licence version|v? 1|v1? 0?",), "cddl 1 0"),
+    ("cpl-1.0", "common", ("common public license|licence version|v? 1|v1? 0?",), "cpl 1 0"),
     ("cc0-1.0", "cc0|creative", ("cc0 1 0? universal?", "creative commons zero"), "cc0 1 0"),
     ("cc-by-3.0", "creative|cc", ("creative commons attribution 3 0", "cc by 3 0"), "cc by 3 0"),
     ("cc-by-4.0", "creative|cc", ("creative commons attribution 4 0", "cc by 4 0"), "cc by 4 0"),
@@ -97,15 +97,15 @@ FAMILIES = (
     ("unlicense", "unlicense|released", ("the? unlicense", "free and unencumbered software released into the public domain"), "unlicense"),
     ("wtfpl", "wtfpl|what", ("wtfpl", "do what the * you want to public license|licence"), "wtfpl"),
     ("zlib", "zlib", ("zlib license|licence", "zlib libpng license|licence"), "zlib"),
-    ("bsl-1.0", "boost", ("boost software license|licence version? 1? 0?",), "bsl 1 0"),
-    ("artistic-2.0", "artistic", ("artistic license|licence version? 2? 0?",), "artistic 2 0"),
+    ("bsl-1.0", "boost", ("boost software license|licence version|v? 1|v1? 0?",), "bsl 1 0"),
+    ("artistic-2.0", "artistic", ("artistic license|licence version|v? 2|v2? 0?",), "artistic 2 0"),
     ("psf-2.0", "python|psf", ("python software foundation license|licence", "psf license|licence"), "psf 2 0"),
     ("openssl", "openssl", ("openssl license|licence",), "openssl"),
-    ("ofl-1.1", "font", ("sil? open font license|licence version? 1? 1?",), "ofl 1 1"),
-    ("sspl-1.0", "server", ("server side public license|licence version? 1?",), "sspl 1 0"),
-    ("elastic-2.0", "elastic", ("elastic license|licence version? 2? 0?",), "elastic 2 0"),
-    ("busl-1.1", "business", ("business source license|licence version? 1? 1?",), "busl 1 1"),
-    ("eupl-1.2", "european", ("european union public license|licence version|v? 1? 2?",), "eupl 1 2"),
+    ("ofl-1.1", "font", ("sil? open font license|licence version|v? 1|v1? 1?",), "ofl 1 1"),
+    ("sspl-1.0", "server", ("server side public license|licence version|v? 1|v1?",), "sspl 1 0"),
+    ("elastic-2.0", "elastic", ("elastic license|licence version|v? 2|v2? 0?",), "elastic 2 0"),
+    ("busl-1.1", "business", ("business source license|licence version|v? 1|v1? 1?",), "busl 1 1"),
+    ("eupl-1.2", "european", ("european union public license|licence version|v? 1|v1? 2?",), "eupl 1 2"),
     ("postgresql", "postgresql", ("postgresql license|licence",), "postgresql"),
     ("ms-pl", "microsoft", ("microsoft public license|licence",), "ms pl"),
     ("ms-rl", "microsoft", ("microsoft reciprocal license|licence",), "ms rl"),
@@ -113,11 +113,11 @@ FAMILIES = (
     ("ncsa", "illinois", ("university of illinois ncsa open source license|licence",), "ncsa"),
     ("vim", "vim", ("vim license|licence",), "vim"),
     ("ruby", "ruby", ("ruby license|licence",), "ruby"),
-    ("php-3.01", "php", ("php license|licence version? 3? 0?",), "php 3 01"),
-    ("afl-3.0", "academic", ("academic free license|licence version|v? 3? 0?",), "afl 3 0"),
-    ("osl-3.0", "open", ("open software license|licence version|v? 3? 0?",), "osl 3 0"),
-    ("odbl-1.0", "database", ("open database license|licence version|v? 1? 0?",), "odbl 1 0"),
-    ("upl-1.0", "universal", ("universal permissive license|licence version? 1? 0?",), "upl 1 0"),
+    ("php-3.01", "php", ("php license|licence version|v? 3|v3? 0?",), "php 3 01"),
+    ("afl-3.0", "academic", ("academic free license|licence version|v? 3|v3? 0?",), "afl 3 0"),
+    ("osl-3.0", "open", ("open software license|licence version|v? 3|v3? 0?",), "osl 3 0"),
+    ("odbl-1.0", "database", ("open database license|licence version|v? 1|v1? 0?",), "odbl 1 0"),
+    ("upl-1.0", "universal", ("universal permissive license|licence version|v? 1|v1? 0?",), "upl 1 0"),
     ("proprietary", "rights", ("all rights reserved",), "proprietary"),
 )
 #: Substrings of which every signature needs one; texts without any are not scanned.
@@ -127,19 +127,20 @@ GATE = ("licen", "gpl", "apache", "creative", "cc", "wtfpl", "bsd", "clause", "u
 # Hand-written clauses that name no licence.
 CLAUSES = (
     ("mit", "hereby", 2, "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "hereby", 2, "permission to use copy modify and|or distribute this software for any purpose"),
+    ("isc", "permission", 2, "permission to use copy modify and|or or? distribute this software for any purpose"),
     ("bsd", "redistribution", 2, "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd-3-clause", "endorse", 2, "neither the name of * nor the names of its contributors may be used to endorse or promote"),
     ("bsd-4-clause", "acknowledgement", 2, "must display the following acknowledgement"),
     ("gpl", "copyleft", 3, "copyleft license|licence?"),
     ("gpl", "foundation", 2, "as published by the free software foundation"),
-    ("warranty-disclaimer", "warranty", 3, "without any warranty|warranties"),
+    ("warranty-disclaimer", "warranty", 3, "without any warranty"),
+    ("warranty-disclaimer", "warranties", 3, "without any warranties"),
     ("warranty-disclaimer", "warranty", 3, "as is without warranty of any kind"),
     ("public-domain", "domain", 3, "in|into the public domain"),
     ("proprietary", "proprietary", 3, "proprietary and confidential"),
     ("proprietary", "reproduction", 3, "unauthorized reproduction or distribution"),
     ("cc", "creative", 3, "creative commons license|licence?"),
-    ("copyright", "copyright", 3, "copyright c? 19|20[0-9][0-9]"),
+    ("copyright", "copyright", 3, "copyright c? 19[0-9][0-9]|20[0-9][0-9]"),
     ("license-notice", "licensed", 3, "licensed under the? terms? of? the?"),
 )
 
@@ -172,6 +173,8 @@ def gated(signature: str) -> bool:
 for _label, _keywords, _names, _ in FAMILIES:
     if any(sum(k in n.split() for k in _keywords.split("|")) != 1 for n in _names):
         raise ValueError(f"a name of {_label} has not exactly one keyword, a word that it cannot do without")
+if not all(c[1] in c[3].split() for c in CLAUSES):
+    raise ValueError("a clause can do without its keyword")
 if not all(gated(n) for f in FAMILIES for n in f[2]) or not all(gated(c[3]) for c in CLAUSES) or not all(gated(p) for p, _ in BASE):
     raise ValueError("a signature has no gate")
 

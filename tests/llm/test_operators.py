@@ -276,6 +276,18 @@ def test_every_license_name_is_found(spark):
     assert all(label in got[i] for i, (label, _) in enumerate(more))
 
 
+def test_license_rules_match_their_cases(spark):
+    clauses = [(label, shortest(c).replace("[0-9][0-9]", "98")) for label, _, _, c in licenses.CLAUSES]
+    more = [("warranty-disclaimer", "without any warranties"), ("copyright", "Copyright (c) 1998 X"), ("copyright", "copyright 2021"),
+            ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose"), ("gpl-2.0", "GPL v2"), ("gpl-3.0", "General Public License v3"),
+            ("apache-2.0", "Apache License v2.0"), ("lgpl-2.1", "GNU Lesser General Public License v2.1"), ("mpl-2.0", "Mozilla Public License v2.0"),
+            ("gpl-2.0-or-later", "GNU General Public License v2 or any later version")]
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(docs(spark, [t for _, t in clauses + more])).collect()}
+    assert [(label, t) for i, (label, t) in enumerate(clauses + more) if label not in got[i]] == []
+    spans = {d["l"]: -d["neg_end"] - d["s"] for d in licenses.scan(docs(spark, ["Elastic License v2"])).first()["detections"]}
+    assert spans == {"elastic-2.0": 3}
+
+
 def test_inner_detections_are_suppressed(spark):
     got = licenses.scan(docs(spark, ["released under the terms of the mozilla public license version 2.0"])).first()
     assert [d["l"] for d in got["detections"]] == ["mpl-2.0"] and got["detections"][0]["p"] == 1
