@@ -12,66 +12,114 @@ from galacov.functions import geometry
 from galacov.operators import calibration, pairs
 
 
-def hull_volume(points: np.ndarray) -> float:
-    """Volume of the convex hull of points in space, by adding points one by one to a closed surface of triangles."""
-    p = np.unique(np.asarray(points, float), axis=0)
+#: Points that a task gathers before it takes their hull, and tasks whose hulls are merged in one.
+GATHERED, MERGED = 1 << 18, 16
+
+
+def hull(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct points and the triangles of their convex hull, by quickhull: each point outside is kept by one face that
+    sees it. Points in one plane or fewer than four have no triangles."""
+    p = np.unique(np.asarray(points, float).reshape(-1, 3), axis=0)
+    none = np.zeros((0, 3), int)
     if len(p) < 4:
-        return 0.0
-    a = int(p[:, 0].argmin())
-    b = int(((p - p[a]) ** 2).sum(axis=1).argmax())
-    axis = (p[b] - p[a]) / np.linalg.norm(p[b] - p[a])
-    c = int(np.linalg.norm(np.cross(p - p[a], axis), axis=1).argmax())
-    normal = np.cross(p[b] - p[a], p[c] - p[a])
-    d = int(np.abs((p - p[a]) @ normal).argmax())
-    scale = np.abs(p).max() + np.ptp(p, axis=0).max()
-    if abs((p[d] - p[a]) @ normal) <= 1e-12 * scale**3:
-        return 0.0
-    inside = p[[a, b, c, d]].mean(axis=0)
+        return p, none
+    q = p - p.mean(axis=0)
+    a = int(q[:, 0].argmin())
+    b = int(((q - q[a]) ** 2).sum(axis=1).argmax())
+    axis = (q[b] - q[a]) / np.linalg.norm(q[b] - q[a])
+    c = int(np.linalg.norm(np.cross(q - q[a], axis), axis=1).argmax())
+    d = int(np.abs((q - q[a]) @ np.cross(q[b] - q[a], q[c] - q[a])).argmax())
+    least = 1e-13 * np.ptp(q, axis=0).max() ** 3
+    if abs((q[d] - q[a]) @ np.cross(q[b] - q[a], q[c] - q[a])) <= least:
+        return p, none
+    inside = q[[a, b, c, d]].mean(axis=0)
+    faces: dict[int, tuple] = {}  # corners, normal, offset, the points it keeps
+    beside: dict[tuple[int, int], int] = {}  # the face on the left of each edge
+    made, todo = 0, []
+
+    def add(corners: list[tuple[int, int, int]], loose: np.ndarray) -> None:
+        nonlocal made
+        t = np.array(corners)
+        n = np.cross(q[t[:, 1]] - q[t[:, 0]], q[t[:, 2]] - q[t[:, 0]])
+        at = (n * q[t[:, 0]]).sum(axis=1)
+        above = q[loose] @ n.T - at
+        best = above.argmax(axis=1)
+        best[above[np.arange(len(loose)), best] <= least] = -1
+        for k, f in enumerate(corners):
+            faces[made] = (f, n[k], at[k], loose[best == k])
+            for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0])):
+                beside[e] = made
+            todo.append(made)
+            made += 1
 
     def outward(t):
-        n = np.cross(p[t[1]] - p[t[0]], p[t[2]] - p[t[0]])
-        return t if n @ (p[t[0]] - inside) > 0 else (t[0], t[2], t[1])
-
-    faces = [outward(t) for t in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))]
-    far = np.argsort(-((p - inside) ** 2).sum(axis=1))
-    for i in far:
-        t = np.array(faces)
-        n = np.cross(p[t[:, 1]] - p[t[:, 0]], p[t[:, 2]] - p[t[:, 0]])
-        seen = ((p[i] - p[t[:, 0]]) * n).sum(axis=1) > 1e-12 * scale**3
-        if not seen.any():
+        n = np.cross(q[t[1]] - q[t[0]], q[t[2]] - q[t[0]])
+        return t if n @ (q[t[0]] - inside) > 0 else (t[0], t[2], t[1])
+
+    add([outward(t) for t in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))], np.setdiff1d(np.arange(len(q)), [a, b, c, d]))
+    while todo:
+        first = todo.pop()
+        if first not in faces or not len(faces[first][3]):
             continue
-        edges = [(x, y) for f in t[seen].tolist() for x, y in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0]))]
-        both = set(edges)
-        rim = [e for e in edges if (e[1], e[0]) not in both]
-        faces = [tuple(f) for f in t[~seen].tolist()] + [(x, y, int(i)) for x, y in rim]
-    t = np.array(faces)
-    return float(np.abs(np.einsum("ij,ij->i", p[t[:, 0]] - inside, np.cross(p[t[:, 1]] - inside, p[t[:, 2]] - inside)).sum()) / 6)
-
-
-def extremes(points: DataFrame, directions: int = 2048) -> np.ndarray:
-    """Points that are farthest in some of many directions (a spiral over the sphere): a bounded set whose hull is within
-    a small part of a thousandth of the whole one's. Each task keeps one candidate for each direction."""
-    k = np.arange(directions) + 0.5
-    z = 1 - 2 * k / directions
-    phi = k * math.pi * (1 + 5**0.5)
-    u = np.stack([np.sqrt(1 - z**2) * np.cos(phi), np.sqrt(1 - z**2) * np.sin(phi), z], axis=1)
+        _, n, at, own = faces[first]
+        i = int(own[(q[own] @ n).argmax()])
+        seen, front, rim = {first}, [first], []
+        while front:
+            f = faces[front.pop()][0]
+            for x, y in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0])):
+                k = beside[(y, x)]
+                if k in seen:
+                    continue
+                if q[i] @ faces[k][1] - faces[k][2] > least:
+                    seen.add(k)
+                    front.append(k)
+        for k in seen:
+            f = faces[k][0]
+            rim += [e for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0])) if beside[(e[1], e[0])] not in seen]
+        if len({x for x, _ in rim}) != len(rim):
+            raise ArithmeticError("the hull's surface is not closed")
+        loose = np.concatenate([faces[k][3] for k in seen])
+        for k in seen:
+            del faces[k]
+        add([(x, y, i) for x, y in rim], loose[loose != i])
+    return p, np.array([f[0] for f in faces.values()])
+
 
+def hull_volume(points: np.ndarray) -> float:
+    """Volume of the convex hull of points in space."""
+    p, t = hull(points)
+    if not len(t):
+        return 0.0
+    o = p.mean(axis=0)
+    return float(np.abs(np.einsum("ij,ij->i", p[t[:, 0]] - o, np.cross(p[t[:, 1]] - o, p[t[:, 2]] - o)).sum()) / 6)
+
+
+def extremes(points: DataFrame) -> np.ndarray:
+    """The vertices of the points' convex hull, all of them: each task keeps those of its own points' hull, and hulls are
+    merged some tasks at a time. Points in one plane stay as they are."""
     def run(batches):
         import pyarrow as pa
 
-        best, kept = np.full(directions, -np.inf), np.zeros((directions, 3))
+        kept, new, size = np.zeros((0, 3)), [], 0
+
+        def shrunk():
+            p, t = hull(np.concatenate([kept, *new]))
+            return p[np.unique(t)] if len(t) else p
+
         for b in batches:
-            p = np.stack([b.column(i).to_numpy() for i in range(3)], axis=1)
-            for lo in range(0, len(p), 4096):
-                reach = p[lo : lo + 4096] @ u.T
-                top = reach.argmax(axis=0)
-                value = reach[top, np.arange(directions)]
-                better = value > best
-                best[better], kept[better] = value[better], p[lo + top[better]]
-        kept = np.unique(kept[np.isfinite(best)], axis=0)
+            new.append(np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)], axis=1))
+            size += b.num_rows
+            if size >= max(GATHERED, len(kept)):
+                kept, new, size = shrunk(), [], 0
+        kept = shrunk()
         yield pa.RecordBatch.from_arrays([pa.array(kept[:, i]) for i in range(3)], names=["x", "y", "z"])
 
-    got = points.select("x", "y", "z").mapInArrow(run, "x double, y double, z double").distinct().toArrow()
+    found = points.select("x", "y", "z").mapInArrow(run, "x double, y double, z double")
+    parts = found.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // MERGED)
+        found = found.repartition(parts).mapInArrow(run, "x double, y double, z double")
+    got = found.toArrow()
     return np.stack([got.column(c).to_numpy() for c in "xyz"], axis=1)
 
 

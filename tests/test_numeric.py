@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from galacov.functions import cosmology, geometry
 from galacov.functions.interpolation import CorrelationFunction
-from galacov.operators import calibration, catalog, covariance, jackknife, multipoles, pairs, sampler, terms
+from galacov.operators import calibration, catalog, correction, covariance, jackknife, multipoles, pairs, sampler, terms
 from galacov.plans import config, post_process, run
 
 BINS = pairs.Bins(((5.0, 15.0), (15.0, 30.0)), n_mu=2)
@@ -244,3 +244,29 @@ def test_errors(spark):
     with pytest.raises(Exception, match="unknown jackknife"):
         catalog.compact_jackknives(p, spark.createDataFrame([(99,)], "jack int")).collect()
     assert catalog.parse_fkp("10000,NZ") == (10000.0, "NZ") and catalog.parse_fkp("true") is True
+
+
+def brute_volume(p):
+    """Over all triangles with every point on one side."""
+    total = 0.0
+    for i, j, k in itertools.combinations(range(len(p)), 3):
+        n = np.cross(p[j] - p[i], p[k] - p[i])
+        side = (p - p[i]) @ n
+        if (side < 1e-12).all() or (side > -1e-12).all():
+            total += abs(n @ (p[i] - p.mean(axis=0))) / 6
+    return total
+
+
+def test_hull_has_every_vertex(spark):
+    rng = np.random.default_rng(8)
+    for p in (rng.normal(size=(40, 3)), rng.random((40, 3)) * [1, 5, 30] + 300):
+        assert np.isclose(correction.hull_volume(p), brute_volume(p), rtol=1e-9)
+    lattice = np.array(list(itertools.product(range(5), repeat=3)), float)
+    assert np.isclose(correction.hull_volume(lattice), 64) and correction.hull_volume(lattice[:25]) == 0
+    p = rng.normal(size=(5000, 3))
+    p /= np.linalg.norm(p, axis=1)[:, None]
+    inner = np.concatenate([p, p * 0.6])
+    df = spark.createDataFrame(inner.tolist(), "x double, y double, z double").repartition(20)
+    found = correction.extremes(df)
+    assert len(found) == len(p) and set(map(tuple, found)) == set(map(tuple, p))  # all on the sphere, none inside
+    assert np.isclose(correction.hull_volume(found), correction.hull_volume(inner), rtol=1e-12)
