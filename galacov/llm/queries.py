@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import exact_dedup, jpeg, licenses, line_dedup, mixing, near_dedup, sentencepiece_codec, token_codec, toxicity, warc
-from .common import table
+from .common import staged, table
 
 SQL: dict[str, str] = {}
 
@@ -72,7 +72,8 @@ def op8_toxicity(spark, sf_dir):
 
 
 def op9_jpeg_media(spark, sf_dir):
-    found = jpeg.media_columns(table(spark, sf_dir, "documents"))
+    """The streams are written to the shared folder, and everything is recovered from what was written."""
+    found = jpeg.columns_of(staged(jpeg.stored(table(spark, sf_dir, "documents")), "media"))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 

@@ -385,6 +385,13 @@ def test_jpeg_round_trip(spark):
     assert {tuple(r) for r in two} == {tuple(r) for r in got.values()}
 
 
+def test_media_are_written_and_recovered_from_there(spark, sf, monkeypatch):
+    written = []
+    monkeypatch.setattr(queries, "staged", lambda df, name: written.append(common.staged(df, name)) or written[-1], raising=False)
+    got = {r["doc_id"]: r["media_sha256"] for r in queries.op9_jpeg_media(spark, sf).collect()}
+    assert len(written) == 1 and {r["doc_id"]: hashlib.sha256(r["media"]).hexdigest() for r in written[0].collect()} == got
+
+
 def test_jpeg_of_colour_with_ac_coefficients():
     """Two components, the first sampled twice each way, with AC codes to skip and no restart markers."""
     dc = ((0, 3), (0, 4, 8))
