@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,14 @@ _own_root: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset and all
+    tasks run in this process."""
+    conf = spark.sparkContext.getConf()
+    named = conf.get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", conf.get("spark.master") or ""):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="galacov-"))
     return f"file://{_own_root[0]}"
@@ -42,6 +47,19 @@ def dropped(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of df has."""
+    taken, tail = {c.lower() for c in df.columns}, ""
+    while any(f"__{n}{tail}".lower() in taken for n in names):
+        tail += "_"
+    return [f"__{n}{tail}" for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

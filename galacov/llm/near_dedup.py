@@ -10,20 +10,23 @@ is later than all parts' present winners (Ertl, "ProbMinHash", algorithm 1).
 
 Texts with the same words are one node, made by an aggregation that combines in the map tasks. A bucket holds the nodes
 that agree in a whole band. Links: two nodes that share a bucket and have J >= threshold. Classes: connected components.
-Not all pairs of a bucket are made; 1 - J is a metric, which spares most of them. First each bucket's nodes are compared
-with one leader of it, and a node joins the star of the leader it is closest to, if that is a link. Then stars that share
-a bucket and not yet a class are compared by their centres. Two stars' members can link only if the centres' distance is
-at most 1 - threshold more than the members' own distances from them; only for such stars are members compared.
-Buckets whose stars have more open pairs than `band_open` times their number, say texts of different kinds around one
-common passage, are dealt anew by rare shingles: J is at most the share of u's weight on common shingles, so with all
-shingles in one order, rarest first, the first common one lies in the first 1 - threshold of either text's weight. Where
-even such a bucket has many open pairs, it is settled by rounds of LEADERS stars against all others of it. No pair between
-different classes of a bucket is left unexamined, so the classes are those of all pairs.
+
+Not all pairs of a bucket are made. First each bucket's nodes are compared with one leader of it, the node that meets
+most others; what links is one class. Only nodes of different classes are still open, and of these 1 - J, which is a
+metric, spares those whose distances from the leader differ by more than 1 - threshold. Buckets with few open pairs for
+their size (`band_open` times their nodes) have them compared as rows. In the others nodes are dealt into blocks of about
+`block` nodes, large classes apart, and the open blocks are compared two at a time by one matrix product over their
+common shingles; of what they link only a spanning forest leaves the task. So the rows made are linear in a bucket's
+nodes but for one part in `block`, and no link between two nodes of a bucket is lost. The comparisons inside the blocks
+are as many as there are open pairs; a group of texts just below the threshold from each other costs its square in
+multiplications, not in rows.
 
 Chance of missing a link of similarity s by banding: (1 - s^4)^24, below 4e-6 at 0.8.
 
-Cases: null counts as empty; texts without words are one class. Rows that repeat an id are one row of the result. Null
-ids are left as rows of their own class. An empty table gives no rows. Only id and text are read.
+Cases: null counts as empty; texts without words are one class. Rows that repeat an id with the same words are one row
+of the result, with different words one row each, and each text has its own class. A class stays by its smallest id.
+Null ids are left as rows of their own class. Ids may be of any type that has an order. An empty table gives no rows.
+Only id and text are read.
 """
 
 from __future__ import annotations
@@ -33,19 +36,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import private, quoted, staged, text_or_empty
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Open pairs for each star of a bucket that are compared outright, in buckets of bands and of rare shingles; stars of a
-#: larger bucket that meet all others in one round.
-BAND_OPEN, RARE_OPEN, LEADERS = 4, 512, 32
+#: Open pairs for each node of a bucket that are compared as rows; nodes and words of a block in the other buckets.
+BAND_OPEN, BLOCK, BLOCK_WORDS = 4, 1024, 1 << 19
 #: Most nodes that are sent to all tasks to pick their texts; with more, texts are shuffled instead.
-SENT = 1_000_000
-#: Shingles that a worker handles at once.
-CHUNK = 1 << 19
-#: Entries of the table of shingle counts.
-SLOTS = 1 << 18
+SENT = 200_000
+#: Shingles that a worker handles at once, and columns of a matrix in it.
+CHUNK, COLUMNS = 1 << 19, 2048
+KEY = ["k1", "k2", "k3"]
 
 
 def word_hashes(text: Column) -> Column:
@@ -162,71 +163,39 @@ def similarity(words1: np.ndarray, words2: np.ndarray, k: int = SHINGLE) -> floa
     return probability_jaccard(*own(words1), *own(words2))
 
 
-def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(id, node) for each id, node being the smallest id of those with the same words; and (node, words) of all rows."""
-    text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), word_hashes(text_or_empty(text_col)).alias("words"))
-    keys = staged(text.select("id", F.xxhash64("words").alias("k1"), F.hash("words", F.lit(7)).alias("k2"), F.size("words").alias("k3")), "keys")
-    first = keys.groupBy("k1", "k2", "k3").agg(F.min("id").alias("node"))
-    member = keys.join(first, ["k1", "k2", "k3"]).groupBy("id").agg(F.min("node").alias("node"))
-    return staged(member, "member"), text.withColumnRenamed("id", "node")
+def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, KEY, times) of each id and words; nodes (node, KEY, first, copies), one for different words; and the
+    words (id, KEY, words) of all rows."""
+    words = word_hashes(text_or_empty(text_col))
+    text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words.alias("words"))
+    text = text.select("id", F.xxhash64("words").alias("k1"), F.hash("words", F.lit(7)).alias("k2"), F.size("words").alias("k3"), "words")
+    rows = staged(text.select("id", *KEY).groupBy("id", *KEY).agg(F.count("*").alias("times")), "rows")
+    nodes = rows.groupBy(*KEY).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    return rows, staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes"), text
 
 
-def picked(words: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The words of the given nodes (distinct), once each."""
-    few = nodes.limit(SENT + 1).count() <= SENT
-    return words.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
+def picked(text: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, words) of the given nodes (staged), once each."""
+    nodes = nodes.select("node", F.col("first").alias("id"), *KEY)
+    if nodes.count() <= SENT:
+        nodes = F.broadcast(nodes)
+    return text.join(nodes, ["id", *KEY]).select("node", "words").dropDuplicates(["node"])
 
 
-def bands_of(words: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """node, buckets: the keys of all bands of each node that has words."""
+def bands_of(text: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
+    """id, KEY, buckets: the keys of all bands of each text that has words. text: id, KEY, words."""
     def run(batches):
         for b in batches:
-            flat, offsets = list_parts(b.column(1))
+            flat, offsets = list_parts(b.column(4))
             for lo, hi in chunks_of(offsets):
                 own = offsets[lo : hi + 1] - offsets[lo]
-                h, text = shingles(flat[offsets[lo] : offsets[hi]], own, k)
-                h, text, weight = weighted(h, text)
-                keys = band_keys(signatures(h, text, weight, hi - lo, bands * rows), bands, rows)
+                h, of, weight = weighted(*shingles(flat[offsets[lo] : offsets[hi]], own, k))
+                keys = band_keys(signatures(h, of, weight, hi - lo, bands * rows), bands, rows)
                 some = pa.array(np.diff(own) > 0)
                 each = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(some), each.filter(some)], names=["node", "buckets"])
-
-    return words.mapInArrow(run, "node long, buckets array<long>")
-
-
-def rare_buckets(words: DataFrame, threshold: float, k: int) -> DataFrame:
-    """(bucket, node): each node by the rarest of its shingles that make up over 1 - threshold of its weight. Rarity is
-    counted over hash slots, so the table of counts has SLOTS entries whatever the input; any order would be exact."""
-    def counts(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for b in batches:
-            flat, offsets = list_parts(b.column(1))
-            for lo, hi in chunks_of(offsets):
-                h, _, _ = weighted(*shingles(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k))
-                total += np.bincount((h % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["slot", "n"])
-
-    got = words.mapInArrow(counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(SLOTS, np.int64)
-    df[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    sent = words.sparkSession.sparkContext.broadcast(df)
-
-    def prefixes(batches):
-        df = sent.value
-        for b in batches:
-            flat, offsets = list_parts(b.column(1))
-            for lo, hi in chunks_of(offsets):
-                h, text, weight = weighted(*shingles(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k))
-                order = np.lexsort((h, df[(h % np.uint64(SLOTS)).astype(np.int64)], text))
-                h, text, weight = h[order], text[order], weight[order]
-                total = np.bincount(text, weight, hi - lo)
-                before = np.cumsum(weight) - weight - (np.cumsum(total) - total)[text]
-                keep = before <= (1 - threshold) * total[text] + 1e-9 * (1 + total[text])
-                nodes = b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(nodes[text[keep]])], names=["bucket", "node"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo).filter(some) for i in range(4)), each.filter(some)], names=["id", *KEY, "buckets"])
 
-    return words.mapInArrow(prefixes, "bucket long, node long")
+    return text.mapInArrow(run, f"id {text.dtypes[0][1]}, k1 long, k2 int, k3 int, buckets array<long>")
 
 
 def similarities_of(x: np.ndarray, xo: np.ndarray, y: np.ndarray, yo: np.ndarray, k: int, floor: float) -> np.ndarray:
@@ -290,111 +259,206 @@ def components(links: DataFrame, name: str = "classes") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def rooted(nodes: DataFrame, classes: DataFrame, col: str = "node") -> DataFrame:
-    """nodes with root, the class of column col."""
-    known = classes.select(F.col("node").alias("__n"), "root")
-    return nodes.join(known, F.col(col) == F.col("__n"), "left").withColumn("root", F.coalesce("root", col)).drop("__n")
+def rooted(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """nodes with root, the class of column node."""
+    return nodes.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def open_pairs(bucket: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """From (bucket, star, root): the pairs of stars of different classes, of buckets where they are few, and the buckets
-    where they are not."""
-    fresh = bucket.groupBy("bucket", "root").agg(F.count("*").alias("f"))
-    sizes = fresh.groupBy("bucket").agg(F.sum("f").alias("n"), F.sum(F.col("f") * F.col("f")).alias("ff"))
-    live = staged(sizes.where("n * n > ff").select("bucket", (F.expr("n * n - ff") > F.lit(2 * most) * F.col("n")).alias("large")), "live")
-    few = bucket.join(live.where("not large").select("bucket"), "bucket")
-    # Two stars that share many buckets meet in the first of these only. A star has no more buckets than bands or shingles.
-    own = few.groupBy("star").agg(F.collect_list("bucket").alias("all"))
-    few = few.join(own, "star")
-    x, y = few.alias("x"), few.alias("y")
-    first = F.expr("x.star < y.star and x.root != y.root and array_min(array_intersect(x.all, y.all)) = x.bucket")
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & first)
-    return met.select(F.col("x.star").alias("a"), F.col("y.star").alias("b")), live.where("large").select("bucket")
+def split_buckets(held: DataFrame, near: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """(bucket) where open pairs are few for the bucket's nodes, and where they are not. held: bucket, node, leader, root
+    and d, the distance from the leader. Open is a pair of different classes, unless one node is within `near` of the
+    leader and the other more than that farther away."""
+    lead, close, middle = F.col("lead"), F.col("d") <= near, F.col("d") <= 2 * near
+    own = held.groupBy("bucket", "root").agg(
+        F.count("*").alias("f"), F.count(F.when(close, 1)).alias("c"), F.count(F.when(middle, 1)).alias("m"), F.max(F.col("node") == F.col("leader")).alias("lead"))
+    inner, outer = (lambda c: F.sum(F.when(lead, c).otherwise(0))), (lambda c: F.sum(F.when(lead, 0).otherwise(c)))
+    sums = own.groupBy("bucket").agg(
+        F.sum("f").alias("n"), inner(F.col("c")).alias("close"), inner(F.col("f") - F.col("c")).alias("rest"), outer(F.col("f")).alias("out"),
+        outer(F.col("m")).alias("mid"), outer(F.col("f") * F.col("f")).alias("ff"))
+    pairs = F.expr("close * mid + rest * out + (out * out - ff) / 2")
+    open_ = staged(sums.select("bucket", "n", pairs.alias("pairs")).where("pairs > 0"), "open")
+    return open_.where(F.col("pairs") <= most * F.col("n")).select("bucket"), open_.where(F.col("pairs") > most * F.col("n")).select("bucket")
+
 
+def apart(x: str, y: str, near: float) -> str:
+    """SQL: the leader tells that two nodes cannot link."""
+    return f"(({x}.d <= {near!r} and {y}.d - {x}.d > {near!r}) or ({y}.d <= {near!r} and {x}.d - {y}.d > {near!r}))"
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-               bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE, band_open: int = BAND_OPEN, rare_open: int = RARE_OPEN) -> DataFrame:
-    """One row for each id: id_col, class_id (smallest id of the class), class_size, kept."""
-    member, text = nodes_of(docs, id_col, text_col)
-    reps = member.where("id = node").select("node")
-    keys = staged(bands_of(text, bands, rows, k).join(reps, "node", "left_semi").dropDuplicates(["node"]).select("node", F.explode("buckets").alias("bucket")), "bands")
+
+def open_pairs(few: DataFrame, near: float) -> DataFrame:
+    """(a, b): the open pairs of these buckets. Two nodes that share many buckets meet in the first of these only; a node
+    has no more buckets than there are bands."""
+    own = few.groupBy("node").agg(F.collect_list("bucket").alias("all"))
+    few = few.join(own, "node")
+    x, y = few.alias("x"), few.alias("y")
+    first = F.expr(f"x.node < y.node and x.root != y.root and not {apart('x', 'y', near)} and array_min(array_intersect(x.all, y.all)) = x.bucket")
+    return x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & first).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def dealt(held: DataFrame, near: float, block: int, most_words: int) -> DataFrame:
+    """held with its block (c, p): classes of half a block or more have blocks of their own (c is the class); the others
+    share blocks, those near the leader (c = -1) and those far from it (c = -2) apart. w: a node's words."""
+    sizes = held.groupBy("bucket", "root").agg(F.count("*").alias("f"), F.sum("w").alias("fw"), F.min("d").alias("d0"))
+    label = F.when((F.col("f") >= block // 2) | (F.col("fw") >= most_words // 2), F.col("root")).when(F.col("d0") <= 2 * near, -1).otherwise(-2)
+    sizes = sizes.withColumn("c", label)
+    parts = sizes.groupBy("bucket", "c").agg(F.greatest(F.ceil(F.sum("f") / block), F.ceil(F.sum("fw") / most_words)).alias("parts"))
+    placed = held.join(sizes.select("bucket", "root", "c"), ["bucket", "root"]).join(parts, ["bucket", "c"])
+    spot = F.xxhash64(F.when(F.col("c") < 0, F.col("root")).otherwise(F.col("node")))
+    return placed.select("bucket", "node", "root", "d", "c", F.pmod(spot, F.col("parts")).alias("p"))
+
+
+def forest(h: np.ndarray, text: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, root: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links (i, j) between texts left[i] and right[j] of different classes that reach the threshold, enough of them to
+    connect all that link. (text, h, weight) as `weighted` gives them; root: a class for each text."""
+    n = len(root)
+    _, column, often = np.unique(h, return_inverse=True, return_counts=True)
+    common = often > 1
+    column = (np.cumsum(common) - 1)[column] * common[column] - ~common[column]
+    total, size = np.bincount(text, weight, n), np.bincount(text, minlength=n)
+    once = total == size
+    plain = bool(once.all())
+    at = np.flatnonzero(column >= 0)
+    at = at[np.argsort(column[at], kind="stable")]
+    ends = np.searchsorted(column[at], np.arange(0, common.sum() + COLUMNS, COLUMNS))
+    place = np.full((2, n), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    shape = (len(left), len(right))
+    both = np.zeros(shape, np.float32)
+    shares = None if plain else (np.zeros(shape, np.float32), np.zeros(shape, np.float32))
+    for k in range(len(ends) - 1):
+        own = at[ends[k] : ends[k + 1]]
+        marks, weights = [], []
+        for side, m in enumerate(shape):
+            some = own[place[side, text[own]] >= 0]
+            where = (place[side, text[some]], column[some] - k * COLUMNS)
+            one = np.zeros((m, COLUMNS), np.float32)
+            one[where] = 1
+            marks.append(one)
+            if shares:
+                one = np.zeros((m, COLUMNS), np.float32)
+                one[where] = weight[some] / total[text[some]]
+                weights.append(one)
+        both += marks[0] @ marks[1].T
+        if shares:
+            shares[0][:] += weights[0] @ marks[1].T
+            shares[1][:] += marks[0] @ weights[1].T
+    union = size[left][:, None] + size[right][None, :] - both
+    bound = np.divide(both, union, out=np.zeros(shape), where=union > 0)
+    exact = once[left][:, None] & once[right][None, :]
+    if shares:
+        bound = np.where(exact, bound, np.minimum(*shares) + 1e-5)  # single precision
+    open_ = (root[left][:, None] != root[right][None, :]) & (bound >= threshold)
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found = []
+    for sure in (True, False):
+        i, j = np.nonzero(open_ & (exact == sure))
+        if sure:  # one link for each two classes
+            _, some = np.unique(np.stack([root[left][i], root[right][j]]), axis=1, return_index=True) if len(i) else (None, np.zeros(0, int))
+        else:
+            some = np.argsort(-bound[i, j], kind="stable")
+        for x, y in zip(i[some].tolist(), j[some].tolist(), strict=True):
+            u, v = left[x], right[y]
+            a, b = find(int(root[u])), find(int(root[v]))
+            if a == b:
+                continue
+            if not sure:
+                p, q = text == u, text == v
+                if probability_jaccard(h[p], weight[p], h[q], weight[q]) < threshold:
+                    continue
+            parent[a] = b
+            found.append((int(u), int(v)))
+    return found
+
+
+def block_links(large: DataFrame, words: DataFrame, near: float, k: int, threshold: float, block: int, most_words: int) -> DataFrame:
+    """(a, b): links of these buckets' open blocks, enough to connect what links. large: bucket, node, root, d, w."""
+    placed = staged(dealt(large, near, block, most_words), "placed")
+    blocks = placed.groupBy("bucket", "c", "p").agg(F.min("d").alias("d0"), F.max("d").alias("d1"))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    ordered = "(x.c < y.c or (x.c = y.c and x.p <= y.p)) and not (x.c = y.c and x.c >= 0)"
+    skipped = f"((x.d1 <= {near!r} and y.d0 - x.d1 > {near!r}) or (y.d1 <= {near!r} and x.d0 - y.d1 > {near!r}))"
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & F.expr(f"{ordered} and not {skipped}"))
+    pairs = staged(pairs.select("x.bucket", F.col("x.c").alias("c1"), F.col("x.p").alias("p1"), F.col("y.c").alias("c2"), F.col("y.p").alias("p2")).withColumn("pair", F.monotonically_increasing_id()), "block_pairs")
+    one = pairs.select("pair", "bucket", F.col("c1").alias("c"), F.col("p1").alias("p"), F.expr("c1 = c2 and p1 = p2").alias("l"), F.lit(True).alias("left"))
+    two = pairs.where("not (c1 = c2 and p1 = p2)").select("pair", "bucket", F.col("c2").alias("c"), F.col("p2").alias("p"), F.lit(True).alias("l"), F.lit(False).alias("left"))
+    sides = one.unionByName(two).select("pair", "bucket", "c", "p", "left", F.col("l").alias("right")).join(placed, ["bucket", "c", "p"]).select("pair", "node", "root", "left", "right")
+    full = sides.join(words, "node").select("pair", "node", "root", "left", "right", "words")
+
+    def run(group):
+        t = group.combine_chunks()
+        flat, offsets = list_parts(t.column("words").combine_chunks())
+        h, text, weight = weighted(*shingles(flat, offsets, k))
+        left, right = (np.flatnonzero(t.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        node = t.column("node").to_numpy()
+        found = forest(h, text, weight, left, right, t.column("root").to_numpy(), threshold)
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(node[at[:, 0]], pa.int64()), "b": pa.array(node[at[:, 1]], pa.int64())})
+
+    return full.groupBy("pair").applyInArrow(run, "a long, b long")
+
+
+def classes_of(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
+               k: int = SHINGLE, band_open: int = BAND_OPEN, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """id, KEY, times (rows with that id and words), class_id, class_size, kept; null ids are not in it."""
+    each, nodes, text = nodes_of(docs, id_col, text_col)
+    made = bands_of(text, bands, rows, k).join(nodes.select("node", F.col("first").alias("id"), *KEY), ["id", *KEY]).dropDuplicates(["node"])
+    keys = staged(made.select("node", F.explode("buckets").alias("bucket")), "bands")
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     bucket = staged(keys.join(sizes, "bucket"), "buckets")
-    words = staged(picked(text, bucket.select("node").distinct()), "words")
+    crowd = staged(nodes.join(bucket.select("node").distinct(), "node"), "crowd")
+    words = staged(picked(text, crowd), "words")
 
-    # Stars. A text that the copies of a group were made from meets most of them: it leads.
+    # Leaders. A text that the copies of a group were made from meets most of them.
+    near = 1 - threshold + 1e-9
     scores = bucket.groupBy("node").agg(F.sum("n").alias("score"))
     lead = bucket.join(scores, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top"))
-    met = bucket.join(lead.select("bucket", F.col("top.node").alias("leader")), "bucket").where("node != leader")
-    met = staged(met.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "met")
+    led = staged(bucket.join(lead.select("bucket", F.col("top.node").alias("leader")), "bucket").select("bucket", "node", "leader"), "led")
+    met = staged(led.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "met")
     known = staged(similarities(met, words, k, threshold - 1e-9), "sims")
-    near = 1 - threshold + 1e-9
-    links = known.where(F.col("sim") >= 1 - near)
-    own = links.groupBy("b").agg(F.max(F.struct("sim", (-F.col("a")).alias("a"))).alias("best"))
-    satellites = staged(own.select(F.col("b").alias("node"), (-F.col("best.a")).alias("star"), (1 - F.col("best.sim")).alias("d")), "stars")
-    alone = words.select("node").join(satellites, "node", "left_anti").select("node", F.col("node").alias("star"), F.lit(0.0).alias("d"))
-    stars = satellites.unionByName(alone)
+    links = known.where(F.col("sim") >= 1 - near).select("a", "b")
     classes = components(links)
 
-    # Centres of stars that share a bucket.
-    where_stars = rooted(bucket.join(stars, "node").select("bucket", "star").distinct(), classes, "star")
-    pairs, large = open_pairs(staged(where_stars, "held"), band_open)
-    crowd = staged(bucket.join(large, "bucket", "left_semi").select("node").distinct(), "crowd")
-    if crowd.limit(1).count():
-        dealt = staged(rare_buckets(picked(words, crowd), threshold, k), "rare")
-        shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        dealt = rooted(dealt.join(shared, "bucket").join(stars, "node").select("bucket", "star").distinct(), classes, "star")
-        dealt = staged(dealt, "held")
-        more, large = open_pairs(dealt, rare_open)
-        pairs = pairs.unionByName(more)
-        rest = staged(dealt.join(large, "bucket", "left_semi").select("bucket", "star"), "rest")
-        while rest.limit(1).count():
-            turn = rest.groupBy("bucket").agg(*[F.min_by("star", F.xxhash64("star", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)])
-            turn = staged(turn.select("bucket", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("leader")), "turn")
-            faced = rest.join(turn, "bucket").where("star != leader").select(F.least("star", "leader").alias("a"), F.greatest("star", "leader").alias("b")).distinct()
-            faced = staged(faced, "faced")
-            pairs = pairs.unionByName(faced)
-            faced = staged(similarities(faced.join(known.select("a", "b"), ["a", "b"], "left_anti"), words, k, threshold - 1e-9), "sims")
-            known = known.unionByName(faced)
-            links = links.unionByName(faced.where(F.col("sim") >= 1 - near))
-            classes = components(links)
-            rest = rest.join(turn.select("bucket", F.col("leader").alias("star")), ["bucket", "star"], "left_anti")
-            more, large = open_pairs(staged(rooted(rest, classes, "star"), "held"), rare_open)
-            pairs = pairs.unionByName(more)
-            rest = staged(rest.join(large, "bucket", "left_semi"), "rest")
+    # What is still open.
+    held = led.join(known.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("sim")).alias("d")), ["leader", "node"], "left").fillna(0.0, ["d"])
+    held = staged(rooted(held, classes).select("bucket", "node", "leader", "root", "d"), "held")
+    few, large = split_buckets(held, near, band_open)
+    pairs = open_pairs(held.join(few, "bucket"), near)
     either = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = staged(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     fresh = staged(pairs.join(either, ["a", "b"], "left_anti"), "fresh")
-    known = known.unionByName(staged(similarities(fresh, words, k, threshold - 1e-9), "sims"))
-    links = known.where(F.col("sim") >= 1 - near)
-    classes = components(links)
-
-    # Members of stars whose centres are close enough.
-    radius = satellites.groupBy("star").agg(F.max("d").alias("r"))
-    # Every link's stars share a bucket and so are among the pairs, whether a leader's comparison or this one measured them.
-    known = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").join(pairs, ["a", "b"], "left_semi")
-    close = known.where(F.col("sim") < 1 - near).select("a", "b", (1 - F.col("sim")).alias("apart"))
-    for side in ("a", "b"):
-        close = close.join(radius.select(F.col("star").alias(side), F.col("r").alias(f"r{side}")), side, "left").fillna(0.0, [f"r{side}"])
-    close = close.where((F.col("ra") + F.col("rb") > 0) & (F.col("apart") <= F.lit(near) + F.col("ra") + F.col("rb")))
-    close = rooted(rooted(close, classes, "a").withColumnRenamed("root", "ka"), classes, "b").where("ka != root")
-    inside = lambda side: stars.select(F.col("star").alias(side), F.col("node").alias(f"n{side}"), F.col("d").alias(f"d{side}"))
-    spread = close.select("a", "b", "apart").join(inside("a"), "a").join(inside("b"), "b").where(F.col("apart") - F.col("da") - F.col("db") <= near)
-    spread = spread.where("da + db > 0").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
-    spread = staged(spread, "spread")
-    if spread.limit(1).count():
-        links = links.unionByName(staged(similarities(spread, words, k, threshold - 1e-9).where(F.col("sim") >= 1 - near), "links"))
-        classes = components(links)
-
-    whole = staged(rooted(member, classes).select("id", "root"), "classes")
-    sizes = whole.groupBy("root").agg(F.count("*").alias("class_size"))
-    found = whole.join(sizes, "root").select(F.col("id").alias(id_col), F.col("root").alias("class_id"), "class_size", (F.col("id") == F.col("root")).alias("kept"))
-    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    more = similarities(fresh, words, k, threshold - 1e-9).where(F.col("sim") >= 1 - near).select("a", "b")
+    wide = held.join(large, "bucket").join(nodes.select("node", F.col("k3").alias("w")), "node")
+    more = more.unionByName(block_links(wide, words, near, k, threshold - 1e-9, block, block_words))
+    more = staged(more, "links")
+    if more.limit(1).count():
+        classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    whole = staged(rooted(nodes, classes), "whole")
+    heads = whole.groupBy("root").agg(F.min(F.struct("first", *KEY)).alias("head"), F.sum("copies").alias("class_size"))
+    own = whole.join(heads, "root").select(*KEY, F.col("head.first").alias("class_id"), "class_size", F.expr("head.k1 = k1 and head.k2 = k2 and head.k3 = k3").alias("heads"))
+    found = each.join(staged(own, "classes"), KEY)
+    return found.select("id", *KEY, "times", "class_id", "class_size", (F.col("heads") & (F.col("id") == F.col("class_id"))).alias("kept"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row for each id and words: id_col, class_id (smallest id of the class), class_size, kept."""
+    found = classes_of(docs, id_col, text_col, **how).select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(id_col), F.lit(None).cast(found.schema["class_id"].dataType).alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return found.unionByName(nameless)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that stay, one document of each class, with all their columns."""
-    found = near_dedup(docs, id_col, text_col, **how)
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("__id"))
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    """The rows of docs that stay, one document of each class, with all their columns; rows without an id stay."""
+    names = private(docs, "id", *KEY, "times")
+    stays = staged(classes_of(docs, id_col, text_col, **how).where("kept").select("id", *KEY, "times"), "stays").toDF(*names)
+    words = word_hashes(text_or_empty(text_col))
+    own = docs.where(F.col(id_col).isNotNull()).withColumn(names[1], F.xxhash64(words)).withColumn(names[2], F.hash(words, F.lit(7))).withColumn(names[3], F.size(words)).withColumn(names[0], F.col(id_col))
+    once = own.join(stays.where(F.col(names[4]) == 1), names[:4], "left_semi")
+    again = own.join(stays.where(F.col(names[4]) > 1), names[:4], "left_semi").dropDuplicates(names[:4])
+    plain = [quoted(c) for c in docs.columns]
+    return once.select(*plain).unionByName(again.select(*plain)).unionByName(docs.where(F.col(id_col).isNull()))

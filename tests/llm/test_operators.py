@@ -177,8 +177,8 @@ def brute_classes(texts, threshold=0.8):
     return {i: find(i) for i in texts}
 
 
-@pytest.mark.parametrize("band_open, rare_open", [(4, 32), (0, 0)])
-def test_near_dedup_by_brute_force(spark, band_open, rare_open):
+@pytest.mark.parametrize("how", [{}, {"band_open": 0}, {"band_open": 0, "block": 4}, {"band_open": 0, "block_words": 300}])
+def test_near_dedup_by_brute_force(spark, how):
     rng = random.Random(5)
     common = [f"c{i}" for i in range(40)]
     texts = [None, "", "one two", "One  two", "three"]
@@ -192,7 +192,7 @@ def test_near_dedup_by_brute_force(spark, band_open, rare_open):
     texts += [" ".join(common[: 20 + k]) for k in range(20)]  # a chain of links
     texts += ["rep eat ed li ne " * 30 + f"z{k}" for k in range(3)]
     want = brute_classes(dict(enumerate(texts)))
-    got = {r["doc_id"]: r for r in near_dedup.near_dedup(docs(spark, texts), band_open=band_open, rare_open=rare_open).collect()}
+    got = {r["doc_id"]: r for r in near_dedup.near_dedup(docs(spark, texts), **how).collect()}
     assert {i: r["class_id"] for i, r in got.items()} == want
     size = collections.Counter(want.values())
     assert all(r["class_size"] == size[r["class_id"]] and r["kept"] == (i == r["class_id"]) for i, r in got.items())
@@ -214,6 +214,35 @@ def test_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or -1, r["kept"]) for r in got) == [(-1, True), (1, True), (2, True)]
 
 
+def test_ids_with_several_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    d = docs(spark, [one, two, two, one + " z", one], ids=[5, 5, 3, 9, 5])
+    got = sorted((r["doc_id"], r["class_id"], r["class_size"], r["kept"]) for r in near_dedup.near_dedup(d).collect())
+    assert got == [(3, 3, 2, True), (5, 3, 2, False), (5, 5, 2, True), (9, 5, 2, False)]
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.keep_one(d).collect()) == [(3, two), (5, one)]
+    named = d.withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(named).collect()) == ["n3", "n5"]
+
+
+def test_texts_around_the_threshold(spark):
+    """A group whose outliers lie just below the threshold from its centre; some link to members, most to nothing."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+
+    def edited(w, n):
+        w = list(w)
+        for at in rng.sample(range(5, len(w) - 5), n):
+            w[at] = f"x{rng.randrange(10**9)}"
+        return w
+
+    far = [edited(base, 5) for _ in range(40)]
+    texts = [" ".join(w) for w in [base, *(edited(base, rng.randint(1, 3)) for _ in range(60)), *far, *(edited(w, 1) for w in far[:10])]]
+    want = brute_classes(dict(enumerate(texts)))
+    assert 1 < len(set(want.values())) < 60
+    for how in ({}, {"block": 16, "band_open": 1}):
+        assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_dedup(docs(spark, texts), **how).collect()} == want
+
+
 # ---- 5 -----------------------------------------------------------------------------------------------------------------
 def test_mixing_meets_budgets(spark):
     rng = random.Random(1)
