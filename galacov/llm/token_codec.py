@@ -7,7 +7,7 @@ each document), `ids` (the documents) and `checkpoints` (the bit offset of every
 checkpoints of many blocks side by side: one look into a table of 2^max_bits entries gives each lane its next id.
 
 Encoding goes by words between ASCII white space, which the tokenizer's own rules drop and never join over: each
-distinct word is encoded by the library once and kept, up to KEPT words in a process. This holds for tokenizers of that
+distinct word is encoded by the library once and kept, up to a bound of words in a process. This holds for tokenizers of that
 kind (NFC, lower case, pieces at white space, byte letters); `by_words=False` hands whole texts to the library, for any
 other. A test compares both.
 
@@ -20,23 +20,23 @@ their ids' bytes. An empty table gives no rows (and no code). Only id and text a
 
 from __future__ import annotations
 
-import gc
-import itertools
-import sys
+import importlib
+import os
 import unicodedata
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, staged, text_or_empty
+from .word_ids import WordIds, chunks_of
 
 MAX_BITS, STRIDE = 18, 128
-#: Ids of a block, about; words that a process keeps.
-BLOCK, KEPT = 1 << 18, 1_000_000
+#: Ids of a block, about.
+BLOCK = 1 << 18
 END_ID = 2
 
 
@@ -143,9 +143,7 @@ def unpack(payloads: list[bytes], checkpoints: list[np.ndarray], totals: list[in
 
 # ---- texts to ids ----------------------------------------------------------------------------------------------------
 #: Ends that stand alone for the tokenizer's rules when they follow letters and precede white space.
-STOPS = (ord("."), ord(","))
-if sys.byteorder != "little":
-    raise ImportError("ids are written as little-endian integers")
+STOPS = (".", ",")
 
 
 def byte_letters() -> dict[int, str]:
@@ -160,68 +158,67 @@ _BYTES = byte_letters()
 
 
 class Words:
-    """Ids of words, each worked out once. A word of letters only is one piece to the tokenizer's rules, and goes to its
+    """Ids of words by a tokenizer's file. A word of letters only is one piece to the tokenizer's rules, and goes to its
     model as lower-case byte letters; any other goes through the whole tokenizer."""
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and batches of words are small
         self.whole = Tokenizer.from_str(data.decode())
         self.model = Tokenizer(self.whole.model)
-        self.kept: dict[bytes, bytes] = {}
 
-    def core(self, word: bytes) -> str | None:
+    def core(self, word: str) -> str | None:
         """Lower-case byte letters of a word that is letters only, else None."""
         if word.isascii():
-            return word.lower().decode() if word.isalpha() else None
-        text = word.decode("utf-8", "surrogatepass")
-        if "\u03a3" in text or not unicodedata.is_normalized("NFC", text):  # capital sigma's small form depends on its place
+            return word.lower() if word.isalpha() else None
+        if "\u03a3" in word or not unicodedata.is_normalized("NFC", word):  # capital sigma's small form depends on its place
             return None
-        low = text.lower()
-        return low.encode().decode("latin-1").translate(_BYTES) if low.isalpha() and text.isalpha() else None
+        low = word.lower()
+        return low.encode().decode("latin-1").translate(_BYTES) if low.isalpha() and word.isalpha() else None
 
-    def learn(self, new: list[bytes], kind: str) -> None:
+    def learn(self, new: list[str]) -> list[list[int]]:
+        found: list[list[int]] = [[]] * len(new)
         cores, plain, others = [], [], []
-        code = {"<u2": "H", "<u4": "I"}[kind]  # of this machine's byte order, little-endian
-        for w in new:
+        for i, w in enumerate(new):
             c = self.core(w)
             if c is not None:
                 cores.append(c)
-                plain.append((w, b""))
+                plain.append((i, ""))
             elif len(w) > 1 and w[-1] in STOPS and (c := self.core(w[:-1])) is not None:
                 cores.append(c)
-                plain.append((w, w[-1:]))
+                plain.append((i, w[-1]))
             else:
-                others.append(w)
-        ends = {e: np.array(self.whole.encode(e.decode(), add_special_tokens=False).ids, dtype=kind).tobytes() for e in (b".", b",")} | {b"": b""}
-        for (w, e), got in zip(plain, self.model.encode_batch_fast(cores, add_special_tokens=False), strict=True):
-            self.kept[w] = array(code, got.ids).tobytes() + ends[e]
-        for w, got in zip(others, self.whole.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in others], add_special_tokens=False), strict=True):
-            self.kept[w] = array(code, got.ids).tobytes()
-
-
-def encode_texts(words: Words, texts: list[str], by_words: bool = True, kind: str = "<u4") -> list[bytes]:
-    """Ids of each text as little-endian unsigned integers of type `kind`."""
-    if not by_words:
-        return [np.array(e.ids, dtype=kind).tobytes() for e in words.whole.encode_batch_fast(texts, add_special_tokens=False)]
-    split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    distinct = set(itertools.chain.from_iterable(split))
-    new = distinct.difference(words.kept)
-    if len(words.kept) + len(new) > KEPT:
-        words.kept.clear()
-        new = distinct
-    words.learn(list(new), kind)
-    return [b"".join(map(words.kept.__getitem__, s)) for s in split]
-
-
-def loaded(data: bytes) -> Words:
-    """The tokenizer and its words for this process; kept in a module that outlives the task."""
-    import tokenizers
-
-    models = tokenizers.__dict__.setdefault("_galacov_words", {})
-    if hash(data) not in models:
-        models[hash(data)] = Words(data)
-    return models[hash(data)]
+                others.append(i)
+        ends = {e: self.whole.encode(e, add_special_tokens=False).ids for e in STOPS} | {"": []}
+        for (i, e), got in zip(plain, self.model.encode_batch_fast(cores, add_special_tokens=False), strict=True):
+            found[i] = got.ids + ends[e]
+        for i, got in zip(others, self.whole.encode_batch_fast([new[i] for i in others], add_special_tokens=False), strict=True):
+            found[i] = got.ids
+        return found
+
+
+def binary_of(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """flat[offsets[i]:offsets[i+1]] as bytes, each a row."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+
+
+def encode_texts(table: WordIds, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, with the table's end after each, and the offsets of texts in them."""
+    split = pc.ascii_split_whitespace(texts)
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    return table.texts(split.flatten(), offsets - offsets[0])
+
+
+#: Tables of this process, by the tokenizer's file, end and type.
+_loaded: dict = {}
+
+
+def loaded(data: bytes, end_id: int, kind: str) -> WordIds:
+    key = (data, end_id, kind)
+    if key not in _loaded:
+        _loaded[key] = WordIds(Words(data).learn, [end_id], kind)
+    return _loaded[key]
 
 
 def id_type(tokenizer_path: str, end_id: int = END_ID) -> str:
@@ -234,18 +231,22 @@ def id_type(tokenizer_path: str, end_id: int = END_ID) -> str:
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, by_words: bool = True) -> DataFrame:
     """id, raw (ids with the end id, of id_type)."""
     kind = id_type(tokenizer_path, end_id)
+    here = __name__
     with open(tokenizer_path, "rb") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary file
 
     def run(batches):
-        words = loaded(sent.value)
-        gc.disable()  # half a million short-lived results a batch, none of them in cycles
-        end = np.array([end_id], kind).tobytes()
+        table = importlib.import_module(here).loaded(sent.value, end_id, kind)  # the module of this process, which outlives the task
+        whole = table.learn.__self__.whole
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                got = encode_texts(words, part.column(1).to_pylist(), by_words, kind)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g + end for g in got], pa.binary())], names=["id", "raw"])
+            for lo, hi in chunks_of(b.column(1)):
+                texts = b.column(1).slice(lo, hi - lo)
+                if by_words:
+                    flat, offsets = encode_texts(table, texts)
+                else:
+                    ids = [np.array([*e.ids, end_id], kind) for e in whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+                    flat, offsets = np.concatenate(ids), np.cumsum([0, *map(len, ids)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), binary_of(flat, offsets)], names=["id", "raw"])
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     return read.mapInArrow(run, "id long, raw binary")
@@ -256,7 +257,10 @@ def count_ids(encoded: DataFrame, kind: str) -> np.ndarray:
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            got = np.bincount(np.frombuffer(b"".join(x for x in b.column(0).to_pylist()), kind))
+            raw, ends = b.column(0), np.frombuffer(b.column(0).buffers()[1], np.int32)
+            if not len(raw):
+                continue
+            got = np.bincount(np.frombuffer(raw.buffers()[2], np.uint8)[ends[raw.offset] : ends[raw.offset + len(raw)]].view(kind))
             if len(got) > len(total):
                 got[: len(total)] += total
                 total = got

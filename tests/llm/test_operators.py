@@ -74,10 +74,23 @@ def test_code_is_optimal_and_limited():
     assert np.array_equal(token_codec.unpack([payload], [marks], [1000], token_codec.decode_table(lengths, 10), 10, 64)[0], ids)
 
 
-def test_words_are_encoded_as_whole_texts_are():
-    words = token_codec.Words(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
-    texts = [t or "" for t in ODD] + ["H̱ İstanbul ΣΑΣ ß K Å ﬁ Ǆ ŉ", "a\x85b\x1cc\x0bd", "...,,, ., a.. b,. .c", "<|endoftext|> a<|startoftext|>b"]
-    assert token_codec.encode_texts(words, texts) == token_codec.encode_texts(words, texts, by_words=False)
+def test_words_are_encoded_as_whole_texts_are(sf):
+    """Odd texts, every code point inside and at the ends of words, and all documents; with a table that starts anew often."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    data = open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()
+    words = token_codec.Words(data)
+    texts = [t or "" for t in ODD] + ["H̱ İstanbul ΣΑΣ ß K Å ﬁ Ǆ ŉ", "a\x85b\x1cc\x0bd", "...,,, ., a.. b,. .c", "<|endoftext|> a<|startoftext|>b", " \t\n", " a ", "x"]
+    points = [chr(c) for c in range(1, 0x2FFFF) if not 0xD800 <= c < 0xE000]
+    texts += [" ".join(f"a{c}b {c} {c}. B{c}" for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+    texts += [t or "" for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    want = [[*e.ids, 2] for e in words.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    for most in (1_000_000, 5_000):
+        table = token_codec.WordIds(words.learn, [2], "<u2", most)
+        for lo in range(0, len(texts), 64):
+            flat, offsets = token_codec.encode_texts(table, pa.array(texts[lo : lo + 64]))
+            assert [flat[x:y].tolist() for x, y in zip(offsets, offsets[1:])] == want[lo : lo + 64]
 
 
 def test_token_round_trip(spark):
