@@ -5,34 +5,40 @@ normaliser's rules. Out of these come a normaliser (the precompiled character ma
 white space, the dummy prefix, spaces to the metaspace marker), a model (Unigram with the scores, or BPE whose merges
 are the splits of each piece into two pieces, ordered by score) and a decoder. BPE models are split before each run of
 markers, which changes no merge as long as no piece has a marker after another character; otherwise the whole text is
-one word. Batches are encoded by the library's own threads.
+one word. For such models without further rules each different word goes through the library
+once in a process, in batches that the library's threads share; other models, and texts with spaces beside others or at
+their ends, get whole texts. User-defined pieces cut the
+normalised text, longest first, and what lies between them is encoded by itself, as they take no part in merges.
 
-Parity with the sentencepiece library is checked on every text, copies in one batch once, and the check is part of the
-result; `parity_one_in` slots over 1 restrict it to the texts whose hash falls into one of them.
+Parity with the sentencepiece library is checked on every whole text, copies in one batch once, and is part of the
+result.
 
 Cases: a null text counts as empty and has no ids. Decoding gives back the text as the model's normaliser sees it; for
-models without rules that is the text itself, so `round_trip` compares the two. An empty table gives no rows. Only id
-and text are read.
+models without rules that is the text itself, so `round_trip` compares the bytes that the ids stand for with the text's.
+Models that mark the ends of words instead of their starts are refused. An empty table gives no rows. Only id and text
+are read.
 """
 
 from __future__ import annotations
 
+import importlib
 import os
+import re
 import struct
 import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .word_ids import WordIds, chunks_of, gathered
 
 MARK = "▁"
-#: One text of this many is also encoded by the sentencepiece library: all are.
-PARITY_ONE_IN = 1
-#: Characters of texts that are encoded at once.
+#: Bytes of texts that are encoded at once.
 CHUNK = 1 << 21
 #: Types of a piece in the protobuf, and types of a model.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -97,6 +103,8 @@ def parse(data: bytes) -> Proto:
             for n, v in fields(value):
                 if n == 3:
                     out.model_type = v
+                elif n == 24 and v:
+                    raise ValueError("this model marks the ends of words")
                 elif n == 35:
                     out.byte_fallback = bool(v)
         elif number == 3:
@@ -160,63 +168,98 @@ def build(data: bytes):
 
 
 
-def encoder(data: bytes, threads: int = 2):
-    """The tokenizer for this process, made once in it: kept in a module that outlives the task."""
-    os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-    os.environ["TOKENIZERS_PARALLELISM"] = "true"
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_galacov_models", {})
-    if hash(data) not in kept:
-        kept[hash(data)] = build(data)
-    return kept[hash(data)]
-
-
-def reference(data: bytes):
-    import sentencepiece
-
-    kept = sentencepiece.__dict__.setdefault("_galacov_models", {})
-    if hash(data) not in kept:
-        kept[hash(data)] = sentencepiece.SentencePieceProcessor(model_proto=data)
-    return kept[hash(data)]
-
-
-def batches_of(texts: list[str], most: int = CHUNK):
-    at = size = 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > most:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2,
-           parity_one_in: int = PARITY_ONE_IN) -> DataFrame:
-    """id_col, ids (array), round_trip (the ids decode to the text) and parity (null where it was not checked)."""
+class Pieces:
+    """Ids of texts by the model in data."""
+
+    def __init__(self, data: bytes, threads: int):
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+        proto = parse(data)
+        self.tokenizer, self.theirs = build(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.own = sorted((p for p, _, kind in proto.pieces if kind == USER_DEFINED), key=len, reverse=True)
+        self.inner = Tokenizer(self.tokenizer.model)
+        if self.tokenizer.pre_tokenizer:
+            self.inner.pre_tokenizer = self.tokenizer.pre_tokenizer
+        plain = proto.dummy_prefix and proto.escape_whitespaces and not (proto.remove_extra_whitespaces or proto.charsmap or self.own)
+        self.by_words = plain and self.tokenizer.pre_tokenizer is not None
+        self.words = WordIds(self.whole, [], "<i4")
+        self.readable = proto.dummy_prefix and proto.escape_whitespaces and not proto.charsmap
+        spelled = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in proto.pieces]
+        self.lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        self.starts, self.spelled = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(spelled), np.uint8)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        if not self.own:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        cut = re.compile("(" + "|".join(map(re.escape, self.own)) + ")")
+        normal = self.tokenizer.normalizer.normalize_str
+        parts = [cut.split(normal(t)) for t in texts]
+        inner = iter(self.inner.encode_batch_fast([x for p in parts for x in p[::2]], add_special_tokens=False))
+        return [[i for k, x in enumerate(p) for i in ([self.tokenizer.token_to_id(x)] if k % 2 else next(inner).ids)] for p in parts]
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and the offsets of texts in them."""
+        if not self.by_words:
+            found = self.whole(texts.to_pylist())
+            return np.fromiter((i for x in found for i in x), np.int32), np.cumsum([0, *map(len, found)])
+        split = pc.split_pattern(texts, " ")
+        offsets, words = split.offsets.to_numpy().astype(np.int64), split.flatten()
+        offsets -= offsets[0]
+        flat, ends = self.words.texts(words, offsets)
+        # Spaces beside others, or at a text's ends, belong to longer runs of markers: such texts go whole.
+        empty = np.flatnonzero(pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False))
+        odd = np.unique(np.searchsorted(offsets, empty, side="right") - 1)
+        if not len(odd):
+            return flat, ends
+        rows = [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+        for i, ids in zip(odd.tolist(), self.whole(texts.take(pa.array(odd)).to_pylist()), strict=True):
+            rows[i] = np.array(ids, np.int32)
+        return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+
+    def round_trips(self, texts: pa.Array, flat: np.ndarray, offsets: np.ndarray) -> list[bool]:
+        if not self.readable:
+            back = self.tokenizer.decode_batch([flat[x:y].tolist() for x, y in zip(offsets[:-1], offsets[1:], strict=True)], skip_special_tokens=False)
+            return [x == y for x, y in zip(texts.to_pylist(), back, strict=True)]
+        read = self.spelled[gathered(self.starts[flat], self.lengths[flat])].tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.lengths[flat])])[offsets]
+        return [t.encode() == read[x + 1 : y] if y > x else not t for t, x, y in zip(texts.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+#: Models of this process, by their files.
+_loaded: dict = {}
+
+
+def loaded(data: bytes, threads: int) -> Pieces:
+    if data not in _loaded:
+        _loaded[data] = Pieces(data, threads)
+    return _loaded[data]
+
+
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2) -> DataFrame:
+    """id_col, ids (array), round_trip (the ids decode to the text) and parity (the sentencepiece library's ids are the
+    same)."""
     with open(model_path, "rb") as f:
         data = f.read()
-    sent = docs.sparkSession.sparkContext.broadcast(data)  # the model's file
+    sent, here = docs.sparkSession.sparkContext.broadcast(data), __name__  # the model's file
 
     def run(batches):
-        own = encoder(sent.value, threads)
-        theirs = reference(sent.value)
+        own = importlib.import_module(here).loaded(sent.value, threads)  # the module of this process, which outlives the task
         for b in batches:
-            texts, wanted = b.column(1).to_pylist(), b.column(2).to_pylist()
             same: dict[str, bool] = {}
-            for lo, hi in batches_of(texts):
-                part = texts[lo:hi]
-                ids = [e.ids for e in own.encode_batch_fast(part, add_special_tokens=False)]
-                back = own.decode_batch(ids, skip_special_tokens=False)
-                new = {t: i for i, (t, c) in enumerate(zip(part, wanted[lo:hi], strict=True)) if c and t not in same}
-                for (t, i), want in zip(new.items(), theirs.encode(list(new), num_threads=1), strict=True):
-                    same[t] = want == ids[i]
-                parity = [same.get(t) for t in part]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), pa.array([x == y for x, y in zip(part, back, strict=True)]), pa.array(parity, pa.bool_())], names=["id", "ids", "round_trip", "parity"])
-
-    text = text_or_empty(text_col)
-    read = docs.select(F.col(id_col).alias("id"), text.alias("text"), (F.pmod(F.xxhash64(text), F.lit(parity_one_in)) == 0).alias("check"))
+            for lo, hi in chunks_of(b.column(1), CHUNK):
+                column = b.column(1).slice(lo, hi - lo)
+                flat, offsets = own.ids(column)
+                part = column.to_pylist()
+                new = {t: i for i, t in enumerate(part) if t not in same}
+                for (t, i), want in zip(new.items(), own.theirs.encode(list(new), num_threads=1), strict=True):
+                    same[t] = want == flat[offsets[i] : offsets[i + 1]].tolist()
+                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), ids, pa.array(own.round_trips(column, flat, offsets)), pa.array([same[t] for t in part], pa.bool_())], names=["id", "ids", "round_trip", "parity"])
+
+    read = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = read.dtypes[0][1]
     return read.mapInArrow(run, f"id {kind}, ids array<int>, round_trip boolean, parity boolean").withColumnRenamed("id", id_col)
 
@@ -224,10 +267,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids", threads: int = 2) -> DataFrame:
     """id_col and text."""
     with open(model_path, "rb") as f:
-        sent = encoded.sparkSession.sparkContext.broadcast(f.read())
+        sent, here = encoded.sparkSession.sparkContext.broadcast(f.read()), __name__
 
     def run(batches):
-        own = encoder(sent.value, threads)
+        own = importlib.import_module(here).loaded(sent.value, threads).tokenizer
         for b in batches:
             ids = [x or [] for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own.decode_batch(ids, skip_special_tokens=False), pa.string())], names=["id", "text"])
