@@ -419,12 +419,47 @@ def test_exact_dedup_of_repeated_rows(spark):
 
 
 def test_directory_splits_overfull_buckets(spark):
-    index = exact_dedup.build_index(docs(spark, [f"t{i}" for i in range(200)]), capacity=4)
-    assert index.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 4
-    chained = exact_dedup.build_index(docs(spark, [f"t{i}" for i in range(40)]), capacity=1, key_bits=3)
+    texts = [f"t{i}" for i in range(200)]
+    index, cells, base = exact_dedup.build_index(docs(spark, texts), capacity=4)
+    rows = index.collect()
+    load = collections.Counter(r["bucket"] for r in rows)
+    assert max(load.values()) <= 4 and len(rows) == 200
+    # A bucket is a range of keys: sorted by bucket, the keys are sorted too, and the directory lists each bucket once.
+    ordered = sorted(rows, key=lambda r: (r["bucket"], r["key"] % 2**64))
+    assert [r["key"] % 2**64 for r in ordered] == sorted(r["key"] % 2**64 for r in rows)
+    listed = [b for r in cells.collect() for b in r["buckets"]]
+    assert len(listed) == len(set(listed)) and set(load) <= set(listed) and max(len(r["buckets"]) for r in cells.collect()) > 1
+    chained, _, _ = exact_dedup.build_index(docs(spark, [f"t{i}" for i in range(40)]), capacity=1, key_bits=3)
     assert chained.agg(F.max("chain")).first()[0] > 0 and chained.count() == 40
 
 
+def test_rows_are_found_through_the_index(spark):
+    """What the index holds is what the rows get: with other entries, or with a directory that names other buckets, the
+    result is another."""
+    d = docs(spark, ["a", "a", "b", "c c", "c  c"])
+    index, cells, base = exact_dedup.build_index(d, capacity=1)
+    text = d.select(F.col("doc_id").alias("id"), exact_dedup.normalised().alias("t"))
+    rows = text.select("id", exact_dedup.key_of(F.col("t")).alias("key"), F.sha2("t", 256).alias("text_sha256"))
+    assert {(r["id"], r["keep_id"]) for r in exact_dedup.look_up(rows, index, cells, base).collect()} == {(0, 0), (1, 0), (2, 2), (3, 3), (4, 3)}
+    other = index.withColumn("keep_id", F.col("keep_id") + 10)
+    assert {r["keep_id"] for r in exact_dedup.look_up(rows, other, cells, base).collect()} == {10, 12, 13}
+    moved = cells.withColumn("buckets", F.transform("buckets", lambda b: b - 1))
+    assert exact_dedup.look_up(rows, index, moved, base).count() == 0
+
+
+def test_clashing_names(spark):
+    """Columns that operators might use themselves, and names with dots, pass through."""
+    names = ["__id", "__key", "__sha", "__s", "__n", "__part", "__size", "__taken", "__gone", "__row", "__k1", "__times", "a.b", "ke`pt"]
+    d = docs(spark, ["x y z", "x y z", "u v"])
+    for n in names:
+        d = d.withColumn(n, F.lit(n))
+    for f in (exact_dedup.keep_first, near_dedup.keep_one, line_dedup.without_repeats, mixing.mixed):
+        out = f(d)
+        assert out.columns == d.columns, f
+        rows = out.collect()
+        assert rows and all(r[n] == n for r in rows for n in names), f
+
+
 # ---- 8 -----------------------------------------------------------------------------------------------------------------
 def test_toxicity_learns_words_and_pairs(spark):
     rng = random.Random(0)
