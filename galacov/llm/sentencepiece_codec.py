@@ -184,12 +184,17 @@ class Pieces:
             self.inner.pre_tokenizer = self.tokenizer.pre_tokenizer
         plain = proto.dummy_prefix and proto.escape_whitespaces and not (proto.remove_extra_whitespaces or proto.charsmap or self.own)
         self.by_words = plain and self.tokenizer.pre_tokenizer is not None
-        self.words = WordIds(self.whole, [], "<i4")
+        self.words = WordIds(self.learn, [], "<i4")
         self.readable = proto.dummy_prefix and proto.escape_whitespaces and not proto.charsmap
         spelled = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in proto.pieces]
         self.lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
         self.starts, self.spelled = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(spelled), np.uint8)
 
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.whole(words)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum())), lengths
+
     def whole(self, texts: list[str]) -> list[list[int]]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         if not self.own:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, staged, text_or_empty
-from .word_ids import WordIds, chunks_of
+from .word_ids import WordIds, chunks_of, gathered
 
 MAX_BITS, STRIDE = 18, 128
 #: Ids of a block, about.
@@ -142,8 +142,10 @@ def unpack(payloads: list[bytes], checkpoints: list[np.ndarray], totals: list[in
 
 
 # ---- texts to ids ----------------------------------------------------------------------------------------------------
-#: Ends that stand alone for the tokenizer's rules when they follow letters and precede white space.
-STOPS = (".", ",")
+#: ASCII signs that stand apart from the letters before them. The apostrophe does not: it may begin a contraction.
+SIGNS = '.,;:!?*&%$#@-_()[]{}"/\\|+=~^<>`'
+#: Words that go to the model in one call.
+JOINED = 256
 
 
 def byte_letters() -> dict[int, str]:
@@ -158,15 +160,17 @@ _BYTES = byte_letters()
 
 
 class Words:
-    """Ids of words by a tokenizer's file. A word of letters only is one piece to the tokenizer's rules, and goes to its
-    model as lower-case byte letters; any other goes through the whole tokenizer."""
+    """Ids of words by a tokenizer's file. A run of letters is one piece to the tokenizer's rules, and so is a run of
+    other visible ASCII signs after it. Words of that form go to the model as lower-case byte letters, many in one call,
+    with their tails by a table; any other goes through the whole tokenizer."""
 
     def __init__(self, data: bytes):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and batches of words are small
         self.whole = Tokenizer.from_str(data.decode())
         self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.tails: dict[str, list[int]] = {"": []}
 
     def core(self, word: str) -> str | None:
         """Lower-case byte letters of a word that is letters only, else None."""
@@ -177,25 +181,34 @@ class Words:
         low = word.lower()
         return low.encode().decode("latin-1").translate(_BYTES) if low.isalpha() and word.isalpha() else None
 
-    def learn(self, new: list[str]) -> list[list[int]]:
-        found: list[list[int]] = [[]] * len(new)
-        cores, plain, others = [], [], []
+    def learn(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and batches of words are small
+        cores, plain, tails, others = [], [], [], []
         for i, w in enumerate(new):
-            c = self.core(w)
-            if c is not None:
-                cores.append(c)
-                plain.append((i, ""))
-            elif len(w) > 1 and w[-1] in STOPS and (c := self.core(w[:-1])) is not None:
-                cores.append(c)
-                plain.append((i, w[-1]))
-            else:
+            head = w.rstrip(SIGNS)
+            c = self.core(head)
+            if c is None:
                 others.append(i)
-        ends = {e: self.whole.encode(e, add_special_tokens=False).ids for e in STOPS} | {"": []}
-        for (i, e), got in zip(plain, self.model.encode_batch_fast(cores, add_special_tokens=False), strict=True):
-            found[i] = got.ids + ends[e]
-        for i, got in zip(others, self.whole.encode_batch_fast([new[i] for i in others], add_special_tokens=False), strict=True):
-            found[i] = got.ids
-        return found
+                continue
+            cores.append(c)
+            plain.append(i)
+            tails.append(w[len(head):])
+        for t in set(tails).difference(self.tails):
+            self.tails[t] = self.whole.encode(t, add_special_tokens=False).ids
+        pool, starts, lengths = [], np.zeros((len(new), 2), np.int64), np.zeros((len(new), 2), np.int64)
+        parts = [cores[k : k + JOINED] for k in range(0, len(cores), JOINED)]
+        sizes = []
+        for part, e in zip(parts, self.model.encode_batch([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            pool.append(np.array(e.ids, np.int64))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+        runs = [self.tails[t] for t in tails] + [e.ids for e in self.whole.encode_batch_fast([new[i] for i in others], add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, runs), np.int64, len(runs)))
+        pool.append(np.fromiter((i for r in runs for i in r), np.int64))
+        size = np.concatenate(sizes)
+        start, n = np.cumsum(size) - size, len(plain)
+        for rows, side, k in ((plain, 0, 0), (plain, 1, n), (others, 0, 2 * n)):
+            starts[rows, side], lengths[rows, side] = start[k : k + len(rows)], size[k : k + len(rows)]
+        return np.concatenate(pool)[gathered(starts.ravel(), lengths.ravel())], lengths.sum(axis=1)
 
 
 def binary_of(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -30,9 +30,9 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """learn: ids of each of a list of words. Row 0 is `end`, ids that stand after each text."""
+    """learn: ids of a list of words, one after the other, and how many each has. Row 0 is `end`, ids that stand after each text."""
 
-    def __init__(self, learn: Callable[[list[str]], list[list[int]]], end: list[int], kind: str, most: int = KEPT):
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], end: list[int], kind: str, most: int = KEPT):
         self.learn, self.end, self.kind, self.most = learn, end, np.dtype(kind), most
         self.clear()
 
@@ -40,16 +40,15 @@ class WordIds:
         self.row: dict[str, int] = {}
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
         self.flat, self.used, self.n = np.zeros(1 << 18, self.kind), 0, 0
-        self.add([self.end])
+        self.add(np.array(self.end, self.kind), np.array([len(self.end)]))
 
-    def add(self, ids: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-        total, n = int(lengths.sum()), len(ids)
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        total, n = len(ids), len(lengths)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n + n > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), self.kind, total)
+        self.flat[self.used : self.used + total] = ids
         self.starts[self.n : self.n + n] = self.used + np.cumsum(lengths, dtype=np.int64) - lengths
         self.lengths[self.n : self.n + n] = lengths
         self.used, self.n = self.used + total, self.n + n
@@ -66,7 +65,7 @@ class WordIds:
             fresh = [words[i] for i in new]
             found[new] = np.arange(self.n, self.n + len(new))
             self.row.update(zip(fresh, found[new].tolist(), strict=True))
-            self.add(self.learn(fresh))
+            self.add(*self.learn(fresh))
         return found
 
     def texts(self, words: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
