@@ -1,26 +1,35 @@
 """Seeded importance sampling of the 2-, 3- and 4-point terms: the plan for catalogs too large for exact joins.
 
-A task gets one (loop, block of primary cells); every draw comes from a counter-based generator keyed by (seed, loop,
-block), so results do not depend on partitioning or retries. Partner cells are drawn from kernels over cell offsets (a
-1/r^2 kernel for pairs, a correlation kernel for the other legs) by alias tables, then a point uniformly in its cell;
-sums are divided by the draws' probabilities. Grid and kernels are broadcast; `MAX_POINTS` bounds the catalog that this
-plan accepts, beyond which blocks of cells with their surroundings must be sampled one after another.
+The volume is cut into blocks of cells. A task gets one block and some loops; every draw comes from a counter-based
+generator keyed by (seed, loop, block), so results do not depend on partitioning or retries. Partner cells are drawn from
+kernels over cell offsets (a 1/r^2 kernel for pairs, a correlation kernel for the other legs) by alias tables, then a
+point uniformly in its cell; sums are divided by the draws' probabilities.
+
+Catalogs of at most `SENT` points (counted first) go to all executors whole. Of larger ones a task receives the points of
+its block and of a halo as wide as the kernels' reach, as copies of them dealt by block; draws and results are the same
+either way. The same draws serve plain and jackknife terms, (s, mu) bins and accumulated Legendre moments, one tracer and
+the seven combinations of two.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galacov.operators.pairs import Bins
 
-#: Points of a catalog that is sent to all executors, 48 bytes each.
-MAX_POINTS = 20_000_000
+#: Most points of catalogs that are sent to all executors, 64 bytes each.
+SENT = 2_000_000
+#: Draws of fourth points that a task holds at once.
+DRAWS = 1 << 21
+COLUMNS = ("id", "x", "y", "z", "w", "jack", "half", "tracer")
 
 
 # ---- kernels ---------------------------------------------------------------------------------------------------------
@@ -98,6 +107,8 @@ class Grid:
     xyz: np.ndarray
     w: np.ndarray
     ids: np.ndarray
+    jack: np.ndarray
+    half: np.ndarray
     cells: np.ndarray
     start: np.ndarray
     count: np.ndarray
@@ -115,28 +126,48 @@ class Grid:
             ok = ((c >= 0) & (c < np.array(self.shape))).all(axis=1)
             c = np.where(ok[:, None], c, 0)
         flat = (c[:, 0] * self.shape[1] + c[:, 1]) * self.shape[2] + c[:, 2]
+        if not len(self.index):
+            return np.full(len(c), -1)
         at = np.searchsorted(self.index, flat)
         at = np.minimum(at, len(self.index) - 1)
         return np.where(ok & (self.index[at] == flat), at, -1)
 
 
-def grid(points: DataFrame, cell: float, box: float = 0.0) -> Grid:
-    """Collected to the driver, of at most MAX_POINTS points (checked)."""
-    n = points.count()
-    if n > MAX_POINTS:
-        raise ValueError(f"{n} points are more than the {MAX_POINTS} that are broadcast: sample blocks of the volume one by one")
-    got = points.select("id", "x", "y", "z", "w").toArrow()
-    ids = got.column("id").to_numpy()
-    xyz = np.stack([got.column(c).to_numpy() for c in "xyz"], axis=1)
-    w = got.column("w").to_numpy().astype(float)
-    low = np.zeros(3) if box else xyz.min(axis=0)
-    own = np.floor((xyz - low) / cell).astype(np.int64)
-    shape = (int(round(box / cell)),) * 3 if box else tuple((own.max(axis=0) + 1).tolist())
-    own %= np.array(shape)
-    flat = (own[:, 0] * shape[1] + own[:, 1]) * shape[2] + own[:, 2]
-    order = np.lexsort((ids, flat))
-    index, start, count = np.unique(flat[order], return_index=True, return_counts=True)
-    return Grid(xyz[order], w[order], ids[order], own[order][start], start, count, shape, index, bool(box), box)
+@dataclass(frozen=True)
+class Space:
+    """The cells of a run: low corner, side, number along each axis; box: side of a periodic volume or 0."""
+
+    low: tuple[float, float, float]
+    cell: float
+    shape: tuple[int, int, int]
+    box: float = 0.0
+
+    def grid(self, t: dict[str, np.ndarray]) -> Grid:
+        xyz = np.stack([t[c] for c in "xyz"], axis=1)
+        own = np.floor((xyz - np.array(self.low)) / self.cell).astype(np.int64) % np.array(self.shape)
+        flat = (own[:, 0] * self.shape[1] + own[:, 1]) * self.shape[2] + own[:, 2]
+        order = np.lexsort((t["id"], flat))
+        index, start, count = np.unique(flat[order], return_index=True, return_counts=True)
+        return Grid(xyz[order], t["w"][order], t["id"][order], t["jack"][order], t["half"][order], own[order][start], start, count, self.shape, index, bool(self.box), self.box)
+
+
+def space_of(points: list[DataFrame], cell: float, box: float = 0.0) -> Space:
+    if box:
+        return Space((0.0, 0.0, 0.0), cell, (int(round(box / cell)),) * 3, box)
+    ends = [p.agg(*[f(c).alias(f"{c}{n}") for c in "xyz" for n, f in ((0, F.min), (1, F.max))]).first() for p in points]
+    low = [min(e[f"{c}0"] for e in ends) for c in "xyz"]
+    high = [max(e[f"{c}1"] for e in ends) for c in "xyz"]
+    return Space(tuple(low), cell, tuple(int((h - lo) // cell) + 1 for lo, h in zip(low, high, strict=True)))
+
+
+def columns_of(points: DataFrame, tracer: int) -> DataFrame:
+    """COLUMNS; regions and halves are 0 where the catalog has none."""
+    other = [F.col(c).cast("int").alias(c) if c in points.columns else F.lit(0).alias(c) for c in ("jack", "half")]
+    return points.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "xyzw"], *other, F.lit(tracer).alias("tracer"))
+
+
+def arrays(t: pa.Table) -> dict[str, np.ndarray]:
+    return {c: t.column(c).to_numpy() for c in COLUMNS}
 
 
 # ---- draws -----------------------------------------------------------------------------------------------------------
@@ -181,92 +212,256 @@ def partner(g: Grid, cells: np.ndarray, kernel, table, rng) -> tuple[np.ndarray,
     return point, there, p[pick] / n
 
 
-def sampled_block(g: Grid, bins: Bins, xi, kernels, n2: int, n3: int, n4: int, rng, primaries: np.ndarray) -> dict:
-    """Sums c2[a], c3[a, b], c4[a, b], rr[a] and counts of one loop over the given points."""
-    (pair, pair_t), (link, link_t) = kernels
-    n = len(bins.edges) * bins.n_mu
-    out = {"c2": np.zeros(n), "c3": np.zeros((n, n)), "c4": np.zeros((n, n)), "rr": np.zeros(n), "used": 0, "tried": 0}
-
-    def add(name, index, value):
-        flat = out[name].ravel()
-        np.add.at(flat, index, value)
-
-    cell_of = g.cells[np.searchsorted(g.start, primaries, side="right") - 1]
-    i = np.repeat(primaries, n2)
-    ci = np.repeat(cell_of, n2, axis=0)
-    j, cj, pj = partner(g, ci, pair, pair_t, rng)
-    ok = (j >= 0) & (j != i)
-    i, ci, j, cj, pj = i[ok], ci[ok], j[ok], cj[ok], pj[ok]
-    s, mu = geometry_of(g, g.xyz[i], g.xyz[j])
-    a = bin_of(bins, s, mu)
-    wij = g.w[i] * g.w[j]
-    hit = a >= 0
-    if hit.any():
-        f = wij[hit] / pj[hit] / n2
-        add("rr", a[hit], f)
-        add("c2", a[hit], 2 * f * wij[hit] * (1 + xi(s[hit], mu[hit])))
-    out["tried"] += len(primaries) * n2 * n3 * n4
+@dataclass
+class Terms:
+    """What a task needs beside points. kernels: (offsets, probabilities) and alias table of the pair kernel, and of the
+    correlation kernels by tracer pair; xis: correlation functions by tracer pair. jack: weights [region, bin] and products
+    [bin, bin] by pair of tracer pairs. legendre: max_l, phi(r_bin, mu) and the shells' volumes."""
+
+    bins: Bins
+    n2: int
+    n3: int
+    n4: int
+    pair: tuple
+    links: dict
+    xis: dict
+    combinations: tuple = ((1, 1, 1, 1),)
+    jack: dict | None = None
+    legendre: tuple | None = None
+    n: int = field(init=False)
+
+    def __post_init__(self):
+        self.n = len(self.bins.edges) * (self.legendre[0] // 2 + 1 if self.legendre else self.bins.n_mu)
+
+    def place(self, s: np.ndarray, mu: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Bins of pairs, -1 outside; with Legendre moments the radial bin, and a factor for each moment."""
+        if not self.legendre:
+            return bin_of(self.bins, s, mu), None
+        max_l, phi, volumes = self.legendre
+        r = bin_of(Bins(self.bins.edges, 1, 0.0, 1.0), s, mu)
+        inside = np.maximum(r, 0)
+        f = phi(inside, mu) / np.asarray(volumes)[inside]
+        return r, np.stack([f * (2 * k + 1) * np.polynomial.legendre.legval(mu, [0] * k + [1]) for k in range(0, max_l + 1, 2)], axis=1)
+
+    def sums(self, a, fa, b, fb, value) -> np.ndarray:
+        """value summed over the bins, or moments, of both pairs."""
+        if fa is None:
+            return np.bincount(a * self.n + b, value, self.n**2)
+        m, out = fa.shape[1], np.zeros(self.n**2)
+        for p in range(m):
+            for q in range(m):
+                out += np.bincount((a * m + p) * self.n + b * m + q, value * fa[:, p] * fb[:, q], self.n**2)
+        return out
+
+    def tensor(self, pairs: tuple, regions: tuple, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Jackknife weight of tuples, see terms.tensor; regions of the points of pair a, then of pair b."""
+        wa, wb, product = self.jack[pairs]
+        ji, jj, jk, jl = regions
+        same = (ji == jk) * 0.25 + (jj == jk) * 0.25 + (ji == jl) * 0.25 + (jj == jl) * 0.25
+        p = product[a, b]
+        return (same - 0.5 * (wb[ji, b] + wb[jj, b] + wa[jk, a] + wa[jl, a]) + p) / (1 - p)
+
+
+def pair_of(t1: int, t2: int) -> tuple[int, int]:
+    return (min(t1, t2), max(t1, t2))
+
+
+def sampled_block(plan: Terms, grids: dict[int, Grid], combination: tuple, rng, primaries: np.ndarray) -> dict[str, np.ndarray]:
+    """Sums over draws from the given points i of the first tracer: c2, c3, c4 (and c2j, c3j, c4j) as n x n, rr by bin,
+    rr1, ee1, rr2, ee2 by region and bin, and counts of quads tried (as if every draw were carried on), drawn and used."""
+    t1, t2, t3, t4 = combination
+    g1, g2, g3, g4 = (grids[t] for t in combination)
+    n, n2, n3, n4 = plan.n, plan.n2, plan.n3, plan.n4
+    out: dict[str, np.ndarray] = {"tried": np.array([float(len(primaries) * n2 * n3 * n4)])}
+    p12, p23, p34 = pair_of(t1, t2), pair_of(t2, t3), pair_of(t3, t4)
+    xi12, xi13, xi24 = (plan.xis[pair_of(*p)] for p in ((t1, t2), (t1, t3), (t2, t4)))
+    cell_of = g1.cells[np.searchsorted(g1.start, primaries, side="right") - 1]
+    i, ci = np.repeat(primaries, n2), np.repeat(cell_of, n2, axis=0)
+    j, cj, pj = partner(g2, ci, *plan.pair, rng)
+    s, mu = geometry_of(g1, g1.xyz[i], g2.xyz[j])
+    a, fa = plan.place(s, mu)
+    hit = (j >= 0) & (a >= 0) & ~((j == i) & (t1 == t2))
+    i, ci, j, cj, pj, s, mu, a = i[hit], ci[hit], j[hit], cj[hit], pj[hit], s[hit], mu[hit], a[hit]
+    fa = None if fa is None else fa[hit]
+    wij = g1.w[i] * g2.w[j]
+    f = wij / pj / n2
+    xij = xi12(s, mu) if len(s) else s
+    two = 2 * f * wij * (1 + xij)
+    if not plan.legendre:
+        out["rr"] = np.bincount(a, f, n)
+    out["c2"] = plan.sums(a, fa, a, fa, two)
+    if plan.jack:
+        ji, jj = g1.jack[i], g2.jack[j]
+        if (p12, p12) in plan.jack:
+            out["c2j"] = plan.sums(a, None, a, None, two * plan.tensor((p12, p12), (ji, jj, ji, jj), a, a))
+        regions = plan.jack[p12, p12][0].shape[0]
+        for h in (0, 1):  # pairs of one half are a quarter of all
+            own = (g1.half[i] == h) & (g2.half[j] == h)
+            flat, v = np.concatenate([ji[own] * n + a[own], jj[own] * n + a[own]]), np.tile(2 * f[own], 2)
+            out[f"rr{h + 1}"] = np.bincount(flat, v, regions * n)
+            out[f"ee{h + 1}"] = np.bincount(flat, v * np.tile(xij[own], 2), regions * n)
     # Third point: from i's cell by the correlation kernel.
-    i3, j3 = np.repeat(i[hit], n3), np.repeat(j[hit], n3)
-    ci3, cj3, a3, p3 = np.repeat(ci[hit], n3, axis=0), np.repeat(cj[hit], n3, axis=0), np.repeat(a[hit], n3), np.repeat(pj[hit], n3)
-    k, ck, pk = partner(g, ci3, link, link_t, rng)
-    ok = (k >= 0) & (k != i3) & (k != j3)
-    i3, j3, cj3, a3, p3, k, pk = i3[ok], j3[ok], cj3[ok], a3[ok], p3[ok], k[ok], pk[ok]
-    sik, muik = geometry_of(g, g.xyz[i3], g.xyz[k])
-    x = xi(sik, muik)
-    pijk = p3 * pk
-    b = bin_of(bins, *geometry_of(g, g.xyz[j3], g.xyz[k]))
-    h3 = b >= 0
-    if h3.any():
-        add("c3", a3[h3] * n + b[h3], 4 * (g.w[i3] * g.w[j3] ** 2 * g.w[k] * x / pijk)[h3] / (n2 * n3))
+    up = lambda m, *arrays: [None if x is None else np.repeat(x, m, axis=0) for x in arrays]
+    i, ci, j, cj, a, pj, fa = up(n3, i, ci, j, cj, a, pj, fa)
+    k, _, pk = partner(g3, ci, *plan.links[pair_of(t1, t3)], rng)
+    ok = (k >= 0) & ~((k == i) & (t1 == t3)) & ~((k == j) & (t2 == t3))
+    i, j, cj, a, pj, k, pk = i[ok], j[ok], cj[ok], a[ok], pj[ok], k[ok], pk[ok]
+    fa = None if fa is None else fa[ok]
+    x = xi13(*geometry_of(g1, g1.xyz[i], g3.xyz[k])) if len(k) else pk
+    pijk = pj * pk
+    b, fb = plan.place(*geometry_of(g2, g2.xyz[j], g3.xyz[k]))
+    h = b >= 0
+    three = 4 * (g1.w[i] * g2.w[j] ** 2 * g3.w[k] * x / pijk)[h] / (n2 * n3)
+    out["c3"] = plan.sums(a[h], None if fa is None else fa[h], b[h], None if fb is None else fb[h], three)
+    if plan.jack and (p12, p23) in plan.jack:
+        out["c3j"] = plan.sums(a[h], None, b[h], None, three * plan.tensor((p12, p23), (g1.jack[i[h]], g2.jack[j[h]], g2.jack[j[h]], g3.jack[k[h]]), a[h], b[h]))
     # Fourth point: from j's cell.
-    i4, j4, k4, a4, x4, p4 = (np.repeat(v, n4) for v in (i3, j3, k, a3, x, pijk))
-    m, _, pl = partner(g, np.repeat(cj3, n4, axis=0), link, link_t, rng)
-    ok = (m >= 0) & (m != i4) & (m != j4) & (m != k4)
-    i4, j4, k4, a4, x4, p4, m, pl = (v[ok] for v in (i4, j4, k4, a4, x4, p4, m, pl))
-    b4 = bin_of(bins, *geometry_of(g, g.xyz[k4], g.xyz[m]))
-    h4 = b4 >= 0
-    if h4.any():
-        y = xi(*geometry_of(g, g.xyz[j4[h4]], g.xyz[m[h4]]))
-        add("c4", a4[h4] * n + b4[h4], 2 * g.w[i4[h4]] * g.w[j4[h4]] * g.w[k4[h4]] * g.w[m[h4]] * x4[h4] * y / (p4 * pl)[h4] / (n2 * n3 * n4))
-        out["used"] += int(h4.sum())
+    i, j, cj, k, a, x, pijk, fa = up(n4, i, j, cj, k, a, x, pijk, fa)
+    m, _, pl = partner(g4, cj, *plan.links[pair_of(t2, t4)], rng)
+    out["drawn"] = np.array([float(len(m))])
+    there = (m >= 0) & ~((m == i) & (t1 == t4)) & ~((m == j) & (t2 == t4)) & ~((m == k) & (t3 == t4))
+    b, fb = plan.place(*geometry_of(g3, g3.xyz[k], g4.xyz[m]))
+    ok = there & (b >= 0)
+    i, j, k, a, x, pijk, m, pl, b = (v[ok] for v in (i, j, k, a, x, pijk, m, pl, b))
+    y = xi24(*geometry_of(g2, g2.xyz[j], g4.xyz[m])) if len(m) else pl
+    four = 2 * g1.w[i] * g2.w[j] * g3.w[k] * g4.w[m] * x * y / (pijk * pl) / (n2 * n3 * n4)
+    out["c4"] = plan.sums(a, None if fa is None else fa[ok], b, None if fb is None else fb[ok], four)
+    if plan.jack and (p12, p34) in plan.jack:
+        out["c4j"] = plan.sums(a, None, b, None, four * plan.tensor((p12, p34), (g1.jack[i], g2.jack[j], g3.jack[k], g4.jack[m]), a, b))
+    out["used"] = np.array([float(len(m))])
     return out
 
 
+def block_of(cells: np.ndarray, side: int, shape: tuple) -> np.ndarray:
+    """Number of the block of cells that each cell coordinate lies in."""
+    n = -(-np.array(shape) // side)
+    b = cells // side
+    return (b[:, 0] * n[1] + b[:, 1]) * n[2] + b[:, 2]
+
+
+def run_block(plan: Terms, grids: dict[int, Grid], side: int, block: int, loops: list[int], loops_per_sample: int, seed: int) -> pa.RecordBatch:
+    """(combination, term, subsample, row, col, value) of one block and these loops."""
+    totals: dict[tuple, np.ndarray] = {}
+    some = max(16, DRAWS // (plan.n2 * plan.n3 * plan.n4))
+    for c, combination in enumerate(plan.combinations):
+        g = grids[combination[0]]
+        filled = np.flatnonzero(block_of(g.cells, side, g.shape) == block)
+        own = np.concatenate([np.arange(g.start[f], g.start[f] + g.count[f]) for f in filled]) if len(filled) else np.zeros(0, np.int64)
+        for loop in loops if len(own) else []:
+            rng = rng_of(seed, loop, block * len(plan.combinations) + c)
+            for at in range(0, len(own), some):
+                for name, v in sampled_block(plan, grids, combination, rng, own[at : at + some]).items():
+                    key = (c, name, loop // loops_per_sample)
+                    totals[key] = totals[key] + v if key in totals else v
+    cols: list[list] = [[], [], [], [], [], []]
+    for (c, name, sub), v in totals.items():
+        at = np.flatnonzero(v)
+        wide = plan.n if name[0] in "cre" and name != "rr" else 0
+        row, col = (at // wide, at % wide) if wide else (at, at)
+        for x, got in zip(cols, ([c] * len(at), [name] * len(at), [sub] * len(at), row, col, v[at]), strict=True):
+            x.extend(got)
+    types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["combination", "term", "subsample", "row", "col", "value"])
+
+
+SUMS = "combination int, term string, subsample int, row int, col int, value double"
+
+
+def over_blocks(catalogs: dict[int, DataFrame], space: Space, halo: int, side: int, parts: list, state, run_part: Callable, schema: str, sent: int = SENT) -> DataFrame:
+    """Rows of run_part(state, grids, block, part) -> RecordBatch for all blocks and parts. halo: the farthest cell, along
+    an axis, that a draw from a cell can reach; state goes to all executors."""
+    spark, tracers = next(iter(catalogs.values())).sparkSession, list(catalogs)
+    points = None
+    for t, p in catalogs.items():
+        points = columns_of(p, t) if points is None else points.unionByName(columns_of(p, t))
+    n_blocks = -(-np.array(space.shape) // side)
+    if points.count() <= sent:
+        got = arrays(points.toArrow())
+        state = cloudpickle.dumps(state)  # it may hold functions
+        whole = spark.sparkContext.broadcast((state, {t: vars(space.grid({c: v[got["tracer"] == t] for c, v in got.items()})) for t in catalogs}))
+        filled = np.unique(np.concatenate([block_of(g["cells"], side, space.shape) for g in whole.value[1].values()])) if len(got["id"]) else np.zeros(0, np.int64)
+        blocks = spark.createDataFrame([(int(b),) for b in filled], "block long").crossJoin(F.broadcast(spark.range(len(parts)).toDF("part")))
+        tasks = blocks.repartition(max(1, min(len(filled) * len(parts), 3 * spark.sparkContext.defaultParallelism)), "block", "part")
+
+        def run(batches):
+            own, grids = whole.value
+            own, grids = pickle.loads(own), {t: Grid(**g) for t, g in grids.items()}
+            for batch in batches:
+                for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    yield run_part(own, grids, block, parts[part])
+
+        return tasks.mapInArrow(run, schema)
+    alone = spark.sparkContext.broadcast(cloudpickle.dumps(state))
+
+    def near(c: str, low: float, many: int, cells: int):
+        """Numbers of the blocks along an axis whose halo has the point."""
+        own = F.pmod(F.floor((F.col(c) - F.lit(low)) / F.lit(space.cell)).cast("long"), F.lit(cells))
+        steps = -(-halo // side)
+        b = F.floor(own / side).cast("long")
+        around = F.sequence(b - steps, b + steps)
+        reached = F.filter(around, lambda k: (own >= k * side - halo) & (own < (k + 1) * side + halo))
+        if space.box:  # blocks at the end of a periodic axis may be narrower: take all that the wrapped halo may touch
+            return F.array_distinct(F.transform(F.sequence(b - steps - 1, b + steps + 1), lambda k: F.pmod(k, F.lit(many))))
+        return F.filter(reached, lambda k: (k >= 0) & (k < many))
+
+    copies = points
+    for c, low, many, cells in zip("xyz", space.low, n_blocks.tolist(), space.shape, strict=True):
+        copies = copies.withColumn(f"b{c}", F.explode(near(c, low, many, cells)))
+    copies = copies.withColumn("block", (F.col("bx") * int(n_blocks[1]) + F.col("by")) * int(n_blocks[2]) + F.col("bz")).drop("bx", "by", "bz")
+
+    def run_group(t: pa.Table) -> pa.Table:
+        own, got = pickle.loads(alone.value), arrays(t)
+        block = t.column("block")[0].as_py()
+        grids = {k: space.grid({c: v[got["tracer"] == k] for c, v in got.items()}) for k in tracers}
+        return pa.Table.from_batches([run_part(own, grids, block, part) for part in parts])
+
+    return copies.groupBy("block").applyInArrow(run_group, schema)
+
+
 def sample(points: DataFrame, bins: Bins, xi, xi_cut: float, cell: float, n2: int = 5, n3: int = 10, n4: int = 20, loops: int = 16, loops_per_sample: int = 4,
-           seed: int = 1, block: int = 4096, box: float = 0.0) -> DataFrame:
-    """term (c2, c3, c4, rr, used, tried), subsample, row, col, value: the terms' sums, not yet divided by norms or pair
-    counts; used and tried count quads. xi: a callable (s, mu) with a method isotropic(r)."""
-    spark = points.sparkSession
-    g = grid(points, cell, box)
-    reach = max(1, int(np.ceil(2 * bins.r_max / cell)))
+           seed: int = 1, box: float = 0.0, second: DataFrame | None = None, jack: dict | None = None, legendre: tuple | None = None,
+           combinations: tuple | None = None, side: int | None = None, sent: int = SENT) -> DataFrame:
+    """term, subsample, row, col, value (with a second catalog also t1 to t4, the points' tracers): the terms' sums, not yet
+    divided by norms or pair counts. Terms: c2, c3, c4, rr; with jack also c2j, c3j, c4j and, by region, rr1, ee1, rr2,
+    ee2; used, drawn and tried count quads. xi: a callable (s, mu) with a method isotropic(r), or three by tracer pair.
+    jack: by (pair, pair) of tracer pairs the weights [region, bin] of either pair and their products [bin, bin].
+    legendre: (max_l, phi, volumes) for accumulated moments; row and col are then r_bin x moments + l / 2."""
+    catalogs = {1: points} if second is None else {1: points, 2: second}
+    xis = xi if isinstance(xi, dict) else {(1, 1): xi}
+    chosen = combinations or (((1, 1, 1, 1),) if second is None else COMBINATIONS)
+    space = space_of(list(catalogs.values()), cell, box)
+    reach, far = max(1, int(np.ceil(2 * bins.r_max / cell))), max(1, int(np.ceil(xi_cut / cell)))
     pair = inverse_square_kernel(reach, cell)
-    link = correlation_kernel(max(1, int(np.ceil(xi_cut / cell))), cell, xi.isotropic)
-    kernels = ((pair, alias_table(pair[1])), (link, alias_table(link[1])))
-    sent = spark.sparkContext.broadcast((vars(g), kernels))
-    n_points = len(g.w)
-    tasks = spark.range(loops).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, (n_points - 1) // block)))))
-    tasks = tasks.select(F.col("id").alias("loop"), "block").repartition(min(loops * max(1, -(-n_points // block)), 2 * spark.sparkContext.defaultParallelism))
-
-    def run(batches):
-        state, kernels = sent.value
-        g = Grid(**state)
-        for batch in batches:
-            for loop, blk in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.arange(blk * block, min((blk + 1) * block, len(g.w)))
-                got = sampled_block(g, bins, xi, kernels, n2, n3, n4, rng_of(seed, loop, blk), own)
-                rows = [("used", 0, 0, float(got["used"])), ("tried", 0, 0, float(got["tried"]))]
-                for name in ("c2", "rr"):
-                    rows += [(name, int(a), int(a), float(got[name][a])) for a in np.flatnonzero(got[name])]
-                for name in ("c3", "c4"):
-                    rows += [(name, int(a), int(b), float(got[name][a, b])) for a, b in np.argwhere(got[name])]
-                term, r, c, v = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array([loop // loops_per_sample] * len(rows), pa.int32()), pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(v, pa.float64())],
-                                                 names=["term", "subsample", "row", "col", "value"])
-
-    sums = tasks.mapInArrow(run, "term string, subsample int, row int, col int, value double").groupBy("term", "subsample", "row", "col").agg(F.sum("value").alias("value"))
-    per = F.when(F.col("term").isin("used", "tried"), F.col("value")).otherwise(F.col("value") / loops_per_sample)
-    return sums.withColumn("value", per)
+    links = {p: correlation_kernel(far, cell, f.isotropic) for p, f in xis.items()}
+    plan = Terms(bins, n2, n3, n4, (pair, alias_table(pair[1])), {p: (k, alias_table(k[1])) for p, k in links.items()}, xis, chosen, jack, legendre)
+    halo = reach + far
+    side = side or 2 * halo
+    # Whole subsamples where there are enough of them, so that a task adds up what it can.
+    many = loops * int((-(-np.array(space.shape) // side)).prod()) // max(1, 4 * points.sparkSession.sparkContext.defaultParallelism)
+    share = max(1, min(loops_per_sample, many))
+    parts = [list(range(i, min(i + share, loops))) for i in range(0, loops, share)]
+    work = lambda own, grids, block, part: run_block(own, grids, side, block, part, loops_per_sample, seed)
+    sums = over_blocks(catalogs, space, halo, side, parts, plan, work, SUMS, sent)
+    sums = sums.groupBy("combination", "term", "subsample", "row", "col").agg(F.sum("value").alias("value"))
+    per = F.when(F.col("term").isin("used", "drawn", "tried"), F.col("value")).otherwise(F.col("value") / loops_per_sample)
+    sums = sums.withColumn("value", per)
+    if second is None:
+        return sums.drop("combination")
+    names = F.array(*[F.array(*map(F.lit, c)) for c in chosen])
+    return sums.select(*[names[F.col("combination")][k].alias(f"t{k + 1}") for k in range(4)], "term", "subsample", "row", "col", "value")
+
+
+#: The tracer combinations (of the pairs ij and kl) of a two-tracer run.
+COMBINATIONS = ((1, 1, 1, 1), (1, 2, 1, 1), (1, 2, 2, 1), (1, 2, 1, 2), (1, 1, 2, 2), (2, 1, 2, 2), (2, 2, 2, 2))
+
+
+def jack_arrays(weights: DataFrame, n_bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights [region, bin] and products [bin, bin] of (jack, bin, weight): regions x bins rows, whatever the catalog."""
+    rows = weights.select("jack", "bin", "weight").toArrow()
+    jack, bins_, w = (rows.column(i).to_numpy() for i in range(3))
+    out = np.zeros((int(jack.max()) + 1 if len(jack) else 1, n_bins))
+    out[jack, bins_] = np.nan_to_num(w)
+    return out, out.T @ out
 
 
 def pair_draws(points: DataFrame, per_point: int, cell: float, reach: int, seed: str = "draw") -> DataFrame:

@@ -85,35 +85,38 @@ def block_sums(g, bins: Bins, xi, kernels, topology: int, draws: int, rng, prima
     return size
 
 
-def sample(points: DataFrame, bins: Bins, xi, xi_cut: float, cell: float, max_l: int = 2, draws: int = 20, loops: int = 4, seed: int = 1, block: int = 4096, box: float = 0.0) -> DataFrame:
+def sample(points: DataFrame, bins: Bins, xi, xi_cut: float, cell: float, max_l: int = 2, draws: int = 20, loops: int = 4, seed: int = 1, box: float = 0.0,
+           side: int | None = None, sent: int = sampler.SENT) -> DataFrame:
     """term (c3 .. c6), topology, row, col, value; row = (r1 x n_r + r2) x (max_l + 1) + l. Sums are scaled by (2l + 1)(2l' + 1)
     over the shell volumes of all four sides."""
-    spark = points.sparkSession
-    g = sampler.grid(points, cell, box)
-    pair = sampler.inverse_square_kernel(max(1, int(np.ceil(2 * bins.r_max / cell))), cell)
-    link = sampler.correlation_kernel(max(1, int(np.ceil(xi_cut / cell))), cell, xi.isotropic)
-    sent = spark.sparkContext.broadcast((vars(g), ((pair, sampler.alias_table(pair[1])), (link, sampler.alias_table(link[1])))))
-    n_points, nl = len(g.w), max_l + 1
+    space = sampler.space_of([points], cell, box)
+    reach, far = max(1, int(np.ceil(2 * bins.r_max / cell))), max(1, int(np.ceil(xi_cut / cell)))
+    pair, link = sampler.inverse_square_kernel(reach, cell), sampler.correlation_kernel(far, cell, xi.isotropic)
+    kernels = ((pair, sampler.alias_table(pair[1])), (link, sampler.alias_table(link[1])))
+    halo, nl = 5 * max(reach, far), max_l + 1  # each of five points is drawn from the cell of an earlier one
+    side = side or 2 * halo
     volume = np.array([4 * np.pi / 3 * (hi**3 - lo**3) for lo, hi in bins.edges])
-    side = (volume[:, None] * volume[None]).ravel()
+    sides = (volume[:, None] * volume[None]).ravel()
     odd = 2 * np.arange(nl) + 1
-    scale = odd[None, :, None, None] * odd[None, None, None, :] / (side[:, None, None, None] * side[None, None, :, None])
-    tasks = spark.range(loops).withColumn("topology", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, (n_points - 1) // block)))))
-    tasks = tasks.select(F.col("id").alias("loop"), "topology", "block").repartition(max(2, 2 * spark.sparkContext.defaultParallelism))
+    scale = odd[None, :, None, None] * odd[None, None, None, :] / (sides[:, None, None, None] * sides[None, None, :, None])
 
-    def run(batches):
-        state, kernels = sent.value
-        g = sampler.Grid(**state)
-        for b in batches:
-            for loop, topology, blk in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = np.arange(blk * block, min((blk + 1) * block, len(g.w)))
-                got = block_sums(g, bins, xi, kernels, topology, draws, sampler.rng_of(seed, 2 * loop + topology, blk), own, max_l)
-                for k, a in got.items():
-                    flat = (a * scale).reshape(a.shape[0] * nl, -1)
-                    r, c = np.nonzero(flat)
-                    m = len(r)
-                    yield pa.RecordBatch.from_arrays([pa.array([f"c{k}"] * m, pa.string()), pa.array([topology] * m, pa.int32()), pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(flat[r, c], pa.float64())],
-                                                     names=["term", "topology", "row", "col", "value"])
+    def run_part(kernels, grids, block, part):
+        g, (loop, topology) = grids[1], part
+        filled = np.flatnonzero(sampler.block_of(g.cells, side, g.shape) == block)
+        own = np.concatenate([np.arange(g.start[f], g.start[f] + g.count[f]) for f in filled]) if len(filled) else np.zeros(0, np.int64)
+        rng, total = sampler.rng_of(seed, 2 * loop + topology, block), {}
+        for at in range(0, len(own), 4096):
+            for k, v in block_sums(g, bins, xi, kernels, topology, draws, rng, own[at : at + 4096], max_l).items():
+                total[k] = total[k] + v if k in total else v
+        cols: list[list] = [[], [], [], [], []]
+        for k, v in total.items():
+            flat = (v * scale).reshape(v.shape[0] * nl, -1)
+            r, c = np.nonzero(flat)
+            for x, got in zip(cols, ([f"c{k}"] * len(r), [topology] * len(r), r, c, flat[r, c]), strict=True):
+                x.extend(got)
+        types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names=["term", "topology", "row", "col", "value"])
 
-    sums = tasks.mapInArrow(run, "term string, topology int, row int, col int, value double")
+    parts = [(loop, topology) for loop in range(loops) for topology in (0, 1)]
+    sums = sampler.over_blocks({1: points}, space, halo, side, parts, kernels, run_part, "term string, topology int, row int, col int, value double", sent)
     return sums.groupBy("term", "topology", "row", "col").agg((F.sum("value") / loops).alias("value"))

@@ -105,6 +105,98 @@ def test_sampling_does_not_depend_on_partitions(spark):
     assert a[key].equals(b[key]) and np.allclose(a["value"], b["value"])
 
 
+def table_of(r=np.arange(1.0, 61.0)):
+    return CorrelationFunction(r, [0.25, 0.75], np.repeat(xi_np(r)[:, None], 2, axis=1))
+
+
+def by_place(found, names=("term", "subsample", "row", "col")):
+    return {tuple(r[n] for n in names): r["value"] for r in found.collect()}
+
+
+def same_sums(one, two):
+    assert one.keys() == two.keys() and all(np.isclose(v, two[k]) for k, v in one.items())
+
+
+def test_blocks_with_halos_draw_the_same(spark):
+    """A catalog that is sent whole and one that is dealt by block, of one or two tracers, open or periodic."""
+    xyz, w, j = small(90, box=120.0)
+    p, q = frame(spark, xyz, w, j), frame(spark, xyz[::-1] + 3.0, w, j)
+    for how in ({}, {"second": q}, {"box": 480.0}):
+        xi = {k: table_of() for k in ((1, 1), (1, 2), (2, 2))} if "second" in how else table_of()
+        names = ("term", "subsample", "row", "col") + (("t1", "t2", "t3", "t4") if "second" in how else ())
+        own = dict(loops=4, loops_per_sample=2, seed=9, side=6, **how)
+        one = sampler.sample(p, BINS, xi, 30.0, 12.0, **own)
+        same_sums(by_place(one, names), by_place(sampler.sample(p, BINS, xi, 30.0, 12.0, sent=10, **own), names))
+
+
+def near(got, want, names, subsamples):
+    """Means over subsamples agree with exact sums within their scatter."""
+    for name, exact in want.items():
+        rows = got[got.term == name]
+        per = np.zeros((subsamples, *exact.shape))
+        for r in rows.itertuples():
+            per[r.subsample, r.row, r.col] += r.value
+        error = per.std(axis=0, ddof=1) / np.sqrt(subsamples)
+        assert (np.abs(per.mean(axis=0) - exact) < 5 * error + 0.03 * np.abs(exact).max()).all(), (name, per.mean(axis=0), exact, error)
+
+
+def test_sampled_jackknife_terms_near_exact(spark):
+    xyz, w, j = small(40)
+    p = frame(spark, xyz, w, j)
+    weight = jackknife.flat(jackknife.weights(jackknife.pair_counts(p, BINS)), BINS.n_mu).select("jack", "bin", "weight")
+    products = jackknife.product_weights(weight)
+    leg, link = terms.legs(p, BINS, xi_col, carry=("w", "jack")), terms.links(p, 35.0, xi_col)
+    square = lambda t: calibration.matrix(t.toDF("row", "col", "value"), 4)
+    two = terms.c2_jack(leg, weight, products).select("a", F.col("a").alias("b"), "value")
+    want = {"c2j": square(two), "c3j": square(terms.c3_jack(leg, link, weight, products)), "c4j": square(terms.c4_jack(leg, link, weight, products))}
+    arrays, product = sampler.jack_arrays(weight, 4)
+    tensor = {((1, 1), (1, 1)): (arrays, arrays, product)}
+    got = sampler.sample(catalog.half(p), BINS, table_of(), 35.0, cell=12.0, n2=30, n3=12, n4=8, loops=96, loops_per_sample=6, seed=5, jack=tensor).toPandas()
+    near(got, want, want, 16)
+    halves = jackknife.half_counts(catalog.half(p), BINS, xi_col).toPandas()
+    for h in (0, 1):
+        for name, col in (("rr", "rr"), ("ee", "ee")):
+            exact = np.zeros((arrays.shape[0], 4))
+            for r in halves[halves.half == h].itertuples():
+                exact[r.jack, r.bin] = getattr(r, col)
+            near(got, {f"{name}{h + 1}": exact}, None, 16)
+
+
+def test_sampled_moments_near_exact(spark):
+    xyz, w, j = small(40)
+    p = frame(spark, xyz, w, j)
+    leg, link = terms.legs(p, BINS, xi_col), terms.links(p, 35.0, xi_col)
+    volumes = [4 * np.pi / 3 * (hi**3 - lo**3) for lo, hi in BINS.edges]
+    phi = lambda r, mu: 1.0 + 0.5 * r + 0.25 * mu
+    v = {"c2": 2 * F.col("w_i") ** 2 * F.col("w_j") ** 2 * (1 + F.col("xi")), "c3": 4 * F.col("w_i") * F.col("w_j") ** 2 * F.col("w_k") * F.col("x"), "c4": 2 * F.col("w_i") * F.col("w_j") * F.col("w_k") * F.col("w_l") * F.col("x") * F.col("y")}
+    want = {}
+    for name, t, second in (("c2", leg, ("r_bin", "mu")), ("c3", terms.triples(leg, link), ("r_b", "mu_b")), ("c4", terms.quads(leg, link), ("r_b", "mu_b"))):
+        exact = np.zeros((6, 6))
+        for r in terms.accumulated(t, v[name], 4, phi, volumes, second).collect():
+            exact[r["r_a"] * 3 + r["p"] // 2, r["r_b"] * 3 + r["q"] // 2] = r["value"]
+        want[name] = exact
+    got = sampler.sample(p, BINS, table_of(), 35.0, cell=12.0, n2=30, n3=12, n4=8, loops=96, loops_per_sample=6, seed=7, legendre=(4, phi, volumes)).toPandas()
+    near(got, want, want, 16)
+
+
+def test_two_tracers_of_one_catalog(spark):
+    """A catalog split in two: the combinations' sums, over all tracers, are those of the whole catalog."""
+    xyz, w, j = small(40)
+    s, a = tables(xyz)
+    p = frame(spark, xyz, w, j)
+    one, two = p.where("id % 2 = 0"), p.where("id % 2 = 1")
+    odd = np.arange(len(w)) % 2
+    xi = {k: table_of() for k in ((1, 1), (1, 2), (2, 2))}
+    got = sampler.sample(one, BINS, xi, 35.0, cell=12.0, n2=40, n3=4, n4=2, loops=64, loops_per_sample=4, seed=3, second=two).toPandas()
+    for t1, t2 in ((1, 1), (1, 2), (2, 2)):
+        own = got[(got.t1 == t1) & (got.t2 == t2) & (got.term == "rr")]
+        combos = own[["t3", "t4"]].drop_duplicates().shape[0]
+        exact = np.array([(w[:, None] * w[None])[(a == b) & (odd[:, None] == t1 - 1) & (odd[None] == t2 - 1)].sum() for b in range(4)])
+        mean = own.groupby("row").value.sum().reindex(range(4), fill_value=0) / 16 / combos
+        assert np.allclose(mean, exact, rtol=0.1, atol=0.05 * exact.max()), (t1, t2, mean, exact)
+    assert len(got[["t1", "t2", "t3", "t4"]].drop_duplicates()) == 7
+
+
 def test_interpolation():
     r, mu = np.linspace(1, 60, 80), np.linspace(0.05, 0.95, 12)
     f = lambda r, m: np.exp(-r / 40) * (1 + 0.3 * m**2) / r**2 * 50
