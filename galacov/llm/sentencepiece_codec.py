@@ -38,8 +38,12 @@ from .common import text_or_empty
 from .word_ids import WordIds, chunks_of, gathered
 
 MARK = "▁"
-#: Bytes of texts that are encoded at once.
-CHUNK = 1 << 21
+#: Bytes of texts that are encoded at once, words that a process keeps and words that go to the model in one call.
+CHUNK, KEPT, JOINED = 1 << 22, 400_000, 256
+#: Ids that are spelled out at once.
+IDS = 1 << 18
+#: Characters that a tokenizer may take for a word's end.
+ODD = re.compile(r"[\s\u2581]")
 #: Types of a piece in the protobuf, and types of a model.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -173,7 +177,7 @@ class Pieces:
 
     def __init__(self, data: bytes, threads: int):
         import sentencepiece
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         proto = parse(data)
@@ -184,16 +188,30 @@ class Pieces:
             self.inner.pre_tokenizer = self.tokenizer.pre_tokenizer
         plain = proto.dummy_prefix and proto.escape_whitespaces and not (proto.remove_extra_whitespaces or proto.charsmap or self.own)
         self.by_words = plain and self.tokenizer.pre_tokenizer is not None
-        self.words = WordIds(self.learn, [], "<i4")
+        self.words = WordIds(self.learn, [], "<i4", KEPT)
+        self.joined = Tokenizer(self.tokenizer.model)
+        self.joined.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.readable = proto.dummy_prefix and proto.escape_whitespaces and not proto.charsmap
         spelled = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in proto.pieces]
         self.lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
         self.starts, self.spelled = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(spelled), np.uint8)
 
     def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.whole(words)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum())), lengths
+        """Words without other white space or markers go to the model many in one call, each with the marker before it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        odd = [i for i, w in enumerate(words) if not w or ODD.search(w)]
+        left = sorted(set(range(len(words))).difference(odd)) if odd else range(len(words))
+        parts = [left[k : k + JOINED] for k in range(0, len(left), JOINED)]
+        pool, sizes = [], []
+        for part, e in zip(parts, self.joined.encode_batch([" ".join([MARK + words[i] for i in p]) for p in parts], add_special_tokens=False), strict=True):
+            pool.append(np.array(e.ids, np.int32))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+        rest = self.whole([words[i] for i in odd])
+        sizes.append(np.fromiter(map(len, rest), np.int64, len(rest)))
+        pool.append(np.fromiter((i for x in rest for i in x), np.int32))
+        size, order = np.concatenate(sizes), np.argsort(np.concatenate([np.asarray(left, np.int64), np.asarray(odd, np.int64)]))
+        starts = np.cumsum(size) - size
+        return np.concatenate(pool)[gathered(starts[order], size[order])], size[order]
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -228,7 +246,7 @@ class Pieces:
         if not self.readable:
             back = self.tokenizer.decode_batch([flat[x:y].tolist() for x, y in zip(offsets[:-1], offsets[1:], strict=True)], skip_special_tokens=False)
             return [x == y for x, y in zip(texts.to_pylist(), back, strict=True)]
-        read = self.spelled[gathered(self.starts[flat], self.lengths[flat])].tobytes()
+        read = b"".join(self.spelled[gathered(self.starts[some], self.lengths[some])].tobytes() for some in np.array_split(flat, 1 + len(flat) // IDS))
         ends = np.concatenate([[0], np.cumsum(self.lengths[flat])])[offsets]
         return [t.encode() == read[x + 1 : y] if y > x else not t for t, x, y in zip(texts.to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 

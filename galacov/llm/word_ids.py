@@ -72,7 +72,9 @@ class WordIds:
         """Ids of texts words[offsets[i]:offsets[i+1]], each with the end after it, and the offsets of texts in them."""
         coded = words.dictionary_encode()
         rows = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        rows = np.insert(rows, offsets[1:], 0)
+        if self.end:
+            rows = np.insert(rows, offsets[1:], 0)
+            offsets = offsets + np.arange(len(offsets))
         lengths = self.lengths[rows].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        return self.flat[gathered(self.starts[rows], lengths)], ends[offsets + np.arange(len(offsets))]
+        return self.flat[gathered(self.starts[rows], lengths)], ends[offsets]
