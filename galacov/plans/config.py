@@ -69,10 +69,6 @@ class RunConfig:
         return draws * (n_randoms[0] if self.tracers == 1 else 5 * n_randoms[0] + 2 * n_randoms[1])
 
 
-#: The tracer combinations (I1 I2, I3 I4) of a two-tracer run.
-COMBINATIONS = ((1, 1, 1, 1), (1, 2, 1, 1), (1, 2, 2, 1), (1, 2, 1, 2), (1, 1, 2, 2), (2, 1, 2, 2), (2, 2, 2, 2))
-
-
 def parse(args: list[str]) -> RunConfig:
     """From words like -n2 5 -boxsize 1000 -mode s_mu; -bins low high n makes linear bins."""
     kinds = {f.name: f for f in fields(RunConfig)}

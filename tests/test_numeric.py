@@ -325,6 +325,67 @@ def test_run_end_to_end(spark):
     assert np.allclose(np.diag(out.full_theory_covariance), np.diag(want), rtol=0.35)
 
 
+def test_runs_in_every_mode(spark):
+    xyz, w, j = small(90, box=45.0)
+    p = frame(spark, xyz, w, j)
+    r = np.arange(1.0, 61.0)
+    xi = CorrelationFunction(r, [0.25, 0.75], np.repeat((0.5 / r**2)[:, None], 2, axis=1))
+    bins = pairs.Bins(((10.0, 20.0), (20.0, 30.0)), n_mu=2)
+    own = dict(bins=bins, xi_cut=30.0, loops=16, loops_per_sample=4, n2=20, n3=8, n4=6, seed=2)
+    # Jackknife: the rescaling that made the target is found again, with the disconnected part.
+    c = config.RunConfig(jackknife=True, **own)
+    jack = run.tensors({(1, 1): run.jackknife_weights(catalog.normalised(p), c)}, 4)
+    raw = run.raw_sums(catalog.normalised(p), xi, c, 10.0, None, jack).cache()
+    found = run.raw_terms(catalog.normalised(p), xi, c, jack=jack, raw=raw)
+    full, parts = post_process.matrices(post_process.selected(found, c), 4)
+    rr = run.vector(run.pair_counts(catalog.normalised(p), c), 4)
+    extra = post_process.disconnected(raw, rr, jack[(1, 1), (1, 1)][2], c)
+    target = full["c4j"] + extra.mean(axis=0) + 1.3 * full["c3j"] + 1.69 * full["c2j"]
+    out = run.run(p, xi, c, data_covariance=target, cell=10.0)
+    assert abs(out.shot_noise_rescaling[0] - 1.3) < 0.2 and out.jackknife_theory_covariance.shape == (4, 4)
+    halves = jackknife.disconnected(jackknife.half_counts(catalog.half(catalog.normalised(p)), bins, lambda s, m: F.lit(0.5) / (s * s)), run.pair_counts(catalog.normalised(p), c), jackknife.product_weights(run.jackknife_weights(catalog.normalised(p), c)))
+    exact = calibration.matrix(halves.toDF("row", "col", "value"), 4)
+    # The sampled halves: exact ones through the same formula.
+    counts = jackknife.half_counts(catalog.half(catalog.normalised(p)), bins, lambda s, m: F.lit(0.5) / (s * s))
+    sums = None
+    for h in (0, 1):
+        for name in ("rr", "ee"):
+            part = counts.where(F.col("half") == h).select(F.lit(f"{name}{h + 1}").alias("term"), F.lit(0).alias("subsample"), F.col("jack").alias("row"), F.col("bin").alias("col"), F.col(name).alias("value"))
+            sums = part if sums is None else sums.unionByName(part)
+    assert np.allclose(post_process.disconnected(sums, rr, jack[(1, 1), (1, 1)][2], c)[0], (exact + exact.T) / 2)
+    # Projected and accumulated moments, and mocks.
+    for mode in (config.PROJECTED, config.ACCUMULATED):
+        c = config.RunConfig(mode=mode, max_l=2, norms=(2.0,), **own)
+        found = run.raw_terms(catalog.normalised(p), xi, c, cell=10.0)
+        full, _ = post_process.matrices(post_process.selected(found, c), 4)
+        assert {"c2", "c3", "c4"} <= set(full) and all(np.isfinite(m).all() and m.any() for m in full.values())
+    with pytest.raises(ValueError):
+        run.run(p, xi, config.RunConfig(**own), second=p)
+
+
+def test_two_tracer_run(spark):
+    """Tracers of the same kind: their terms are alike."""
+    xyz, w, j = small(120, box=50.0)
+    p = frame(spark, xyz, w, j)
+    r = np.arange(1.0, 61.0)
+    xi = CorrelationFunction(r, [0.5], (10 / r**2)[:, None])
+    own = dict(bins=pairs.Bins(((10.0, 20.0), (20.0, 30.0)), n_mu=1), xi_cut=30.0, loops=48, loops_per_sample=6, n2=20, n3=10, n4=6, seed=2)
+    c = config.RunConfig(tracers=2, norms=(1.0, 1.0), alphas=(1.0, 1.0), **own)
+    q = frame(spark, 250.0 - xyz, w, j)  # another catalog of the same kind
+    found = run.raw_terms(catalog.normalised(p), {k: xi for k in run.PAIRS}, c, cell=10.0, second=catalog.normalised(q))
+    parts = {k: v.mean(axis=0) for k, v in post_process.tracer_matrices(found, c).items()}
+    assert {k for k in parts if k[0] == "c2"} == {("c2", x, y) for x in (1, 2) for y in (1, 2)}
+    assert {k for k in parts if k[0] == "c3"} == {("c3", x, y, z) for x in (1, 2) for y in (1, 2) for z in (1, 2)}
+    assert len([k for k in parts if k[0] == "c4"]) == 16
+    for kind in ("c2", "c3"):
+        diagonal = {k: np.diag(m) for k, m in parts.items() if k[0] == kind}
+        mean = np.mean(list(diagonal.values()), axis=0)
+        assert all(np.allclose(d, mean, rtol=0.6) for d in diagonal.values()), diagonal
+    out = run.run(p, {k: xi for k in run.PAIRS}, c, cell=10.0, second=q)
+    want = post_process.blocks_of(post_process.tracer_matrices(found, c), (1.0, 1.0)).mean(axis=0)
+    assert out.full_theory_covariance.shape == (6, 6) and np.allclose(out.full_theory_covariance, want)
+
+
 def xi_col_small(s, mu):
     return F.lit(10.0) / (s * s)
 
