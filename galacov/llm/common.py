@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whether Spark removes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folder for sessions that name none (tests, a single machine); made once in a process.
 _own_root: list[str] = []
 
@@ -34,19 +36,18 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage ends there, so a lost executor costs only
-    the tasks that were reading it."""
+    the tasks that were reading it. The shuffle files behind the write go once it is done."""
     spark = df.sparkSession
     path = path or fresh_dir(spark, name)
-    df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, path: str) -> None:
-    """Remove a staged folder that nothing reads any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def quoted(name: str) -> str:
     """A column's name as an expression, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"
