@@ -11,7 +11,7 @@ to a whole number) exactly. The order is a range sort: each source's hash range
 sums of pieces and of groups of pieces give each piece its offset, and only rows of one piece are sorted together. A
 source that holds a third of all rows is a third of all pieces.
 
-Cases: null text has no words and is never taken. Null sources are one source. Null ids hash as the empty string; rows
+Cases: null text has no words and is never taken. Null sources are one source. Rows without an id hash by their text; rows
 that repeat an id follow each other, smaller first. An empty table, or one without words, gives zeros. Only id, text and
 source are read.
 """
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_or_empty
+from .common import private, quoted, staged, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_EPOCHS = 1.5, 2
@@ -56,9 +56,19 @@ def targets(sizes: DataFrame, share: float = SHARE, most_epochs: int = MOST_EPOC
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         share: float = SHARE, most_epochs: int = MOST_EPOCHS, seed: str = SEED, piece: int = PIECE) -> DataFrame:
     """One row for each row of docs: id_col, size, source_size, target, taken (words, repeats counted)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"))
-    key = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(f"|{seed}"))), 1, 15), 16, 10).cast("long")
-    rows = staged(rows.withColumn("key", key), "sizes")
+    found = mixed_rows(docs, None, id_col, text_col, source_col, share, most_epochs, seed, piece)
+    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def mixed_rows(docs: DataFrame, row_col: str | None, id_col: str, text_col: str, source_col: str, share: float = SHARE, most_epochs: int = MOST_EPOCHS,
+               seed: str = SEED, piece: int = PIECE) -> DataFrame:
+    """row (of row_col, if there is one), id, size, source_size, target, taken."""
+    text = text_or_empty(text_col)
+    name = F.when(F.col(id_col).isNull(), F.md5(text)).otherwise(F.col(id_col).cast("string"))
+    key = F.conv(F.substring(F.md5(F.concat(name, F.lit(f"|{seed}"))), 1, 15), 16, 10).cast("long")
+    row = F.col(row_col) if row_col else F.lit(0).cast("long")
+    rows = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key"))
+    rows = staged(rows, "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(sources.select("source", "source_size"), share, most_epochs)
     plan = plan.join(sources.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -77,38 +87,45 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     starts = starts.join(groups, F.col("source").eqNullSafe(F.col("s")) & (F.col("grp") == F.col("g")))
     starts = starts.select(F.col("source").alias("s"), F.col("piece").alias("p"), (F.col("group_from") + F.col("in_group")).alias("piece_from"))
     placed = dealt.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("piece") == F.col("p")))
-    inside = Window.partitionBy("source", "piece").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "piece").orderBy("key", "id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("from", F.col("piece_from") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.least(F.round("target").cast("long"), F.col("source_size") * most_epochs)
     placed = placed.withColumn("budget", budget).withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))
     last = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("from")
     taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), last))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("row", "id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def sources_fit(plan: DataFrame, most: int = 10_000) -> bool:
     """Whether the table of sources has at most `most` rows, and so may be broadcast."""
-    return plan.limit(most + 1).count() <= most
+    return plan.count() <= most
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mix itself, with the columns of docs: a document stands once for each time that it is taken whole, and once
-    more with its first words where the cut falls inside it."""
-    found = mix(docs, id_col, text_col, source_col, **how).where("taken > 0").groupBy(id_col, "size").agg(F.max("taken").alias("taken"))
-    found = found.select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    own = docs.withColumn("__n", F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long"))
-    own = own.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    own = own.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(__taken - 1) div __size"))))
-    words = F.expr("least(__size, __taken - __part * __size)")
+    more with its first words where the cut falls inside it. Where ids repeat, rows are written with numbers first, so that
+    each is taken as itself."""
+    row, own_id, size, taken, part = private(docs, "row", "id", "size", "taken", "part")
+    plain = docs.columns
+    if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
+        docs = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+        found, here = mixed_rows(docs, row, id_col, text_col, source_col, **how).select(F.col("row").alias(own_id), "size", "taken"), row
+    else:
+        found, here = mixed_rows(docs, None, id_col, text_col, source_col, **how).select(F.col("id").alias(own_id), "size", "taken"), id_col
+    found = found.where("taken > 0").toDF(own_id, size, taken)
+    own = docs.join(found, F.col(quoted(here)).eqNullSafe(F.col(own_id)))
+    own = own.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({taken} - 1) div {size}"))))
+    words = F.expr(f"least({size}, {taken} - {part} * {size})")
     # Of the document across the cut: as many words, each with the white space before it.
     cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), "")
-    return own.withColumn(text_col, F.when(words < F.col("__size"), cut).otherwise(F.col(text_col))).select(*docs.columns)
+    text = F.when(words < F.col(size), cut).otherwise(F.col(text_col))
+    return own.select(*[text.alias(c) if c == text_col else F.col(quoted(c)) for c in plain])
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|mix-1'), 1, 15))::BIGINT AS k
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || '|mix-1'), 1, 15))::BIGINT AS k
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source

@@ -321,6 +321,21 @@ def test_texts_around_the_threshold(spark):
 
 
 # ---- 5 -----------------------------------------------------------------------------------------------------------------
+def test_mixing_rows_that_repeat_an_id(spark):
+    """Each row is taken as itself: words of each source meet its budget, whatever ids its rows have."""
+    texts = [" ".join(f"w{k}_{i}" for i in range(5 + k % 7)) for k in range(40)]
+    d = docs(spark, texts, sources=["a", "b"] * 20, ids=[1, 1, None, None] * 10)
+    rows = mixing.mixed(d).collect()
+    size = {s: sum(len(t.split()) for t, x in zip(texts, ["a", "b"] * 20) if x == s) for s in "ab"}
+    words = collections.Counter()
+    for r in rows:
+        words[r["source"]] += len(r["text"].split())
+    total = 1.5 * (size["a"] + size["b"])
+    target = {"a": min(2 * size["a"], total * 5 / 7)}
+    target["b"] = min(2 * size["b"], total - target["a"])
+    assert all(abs(words[s] - target[s]) <= 1 for s in "ab"), (words, target)
+
+
 def test_mixing_meets_budgets(spark):
     rng = random.Random(1)
     texts = [None, "", "  "] + [" ".join("w" for _ in range(rng.randint(1, 40))) for _ in range(197)]
@@ -581,11 +596,33 @@ def test_warc_skips_damage(tmp_path):
     f = tmp_path / "a"
     f.write_bytes(rows[0] + b"\x1f\x8b\x08garbage" + rows[1] + rows[2][:-30])
     with open(f, "rb") as h:
-        assert [r[0] for r in warc.records_in(h, f.stat().st_size, 0, f.stat().st_size)] == [0, 1]
+        assert [r[0] for r in warc.records_in(h, f.stat().st_size, 0, f.stat().st_size)] == ["0", "1"]
     data = warc.member(b"y" * 10)
     assert data[-1] == 0
 
 
+def test_warc_of_others(spark, tmp_path):
+    """Foreign, incomplete and damaged headers end no job."""
+    heads = [
+        "WARC-Type: response\r\nWARC-Record-ID: <urn:uuid:12-ab>\r\nContent-Length: 6\r\n", "WARC-Type: revisit\r\nWARC-Record-ID: <urn:page:4>\r\nContent-Length: 0\r\n",
+        "WARC-Type: response\r\nWARC-Record-ID: <urn:page:5>\r\nContent-Length: many\r\n", "WARC-Type: response\r\nWARC-Record-ID: <urn:page:6>\r\n", "WARC-Type: warcinfo\r\nContent-Length: 6\r\n",
+        "no colon \udcff\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:7>\r\nContent-Length: 6\r\n", "WARC-Type: response\r\nWARC-Record-ID: <urn:page:8>\r\nContent-Length: 99\r\n", "", "WARC-Type: response\r\nContent-Length: 6\r\n"]
+    f = tmp_path / "a.warc.gz"
+    f.write_bytes(b"".join(gzip.compress(b"WARC/1.1\r\n" + h.encode("utf-8", "surrogateescape") + b"\r\n" + b"h\r\n\r\nx") for h in heads))
+    got = sorted(map(tuple, warc.read(spark, str(tmp_path), id_type="string").collect()), key=str)
+    x = warc.digest(b"x")
+    assert got == sorted([("urn:uuid:12-ab", 1, x, "response", None), ("4", None, None, "revisit", None), ("7", 1, x, "response", None), (None, 1, x, "response", None)], key=str)
+    assert sorted(str(r["page_id"]) for r in warc.read(spark, str(tmp_path)).collect()) == ["4", "7", "None", "None"]
+
+
+def test_warc_ids_and_empty_tables(spark):
+    pages = spark.createDataFrame([("a b/<ü>", "u", "one"), ("c", None, "one"), ("c", "v", "one"), (None, "w", "one")], "page_id string, url string, html string")
+    got = sorted(map(str, warc.round_trip(pages).select("page_id", "record_type", "refers_to").collect()))
+    assert got == sorted(map(str, pages.select("page_id").limit(0).collect())) + sorted(map(str, spark.createDataFrame(
+        [("a b/<ü>", "response", None), ("c", "revisit", "a b/<ü>"), ("c", "revisit", "a b/<ü>"), (None, "response", None)], "page_id string, record_type string, refers_to string").collect()))
+    assert warc.round_trip(pages.where("page_id = 'none'")).count() == 0
+
+
 # ---- pipeline ----------------------------------------------------------------------------------------------------------
 def test_pipeline_stage_by_stage(spark, sf):
     import corpus_pipeline as cp
