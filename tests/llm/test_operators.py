@@ -409,6 +409,42 @@ def test_license_rules_match_their_cases(spark):
     assert spans == {"elastic-2.0": 3}
 
 
+def test_sentences_are_found(spark):
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(docs(spark, [f"x {shortest(t)} y" for _, _, t in licenses.SENTENCES])).collect()}
+    inner = {x[2]: got[i] for i, x in enumerate(licenses.SENTENCES) if x[0] not in got[i]}
+    # A phrase may lie inside one of a higher priority; that one's label stands for it.
+    assert all(any(p < 3 for _, p, _ in licenses.SENTENCES) and labels != [""] for labels in inner.values()) and len(inner) < 12, inner
+    assert len(licenses.SENTENCES) + len(licenses.CLAUSES) + sum(len(f[2]) for f in licenses.FAMILIES) > 300
+
+
+def test_licenses_by_hand(spark):
+    """Texts and the labels that a reader would give, not made from the rules."""
+    cases = [
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", {"mit"}),
+        ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", {"apache", "apache-2.0"}),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", {"gpl", "gpl-3.0"}),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted", {"bsd"}),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"cc", "cc-by-4.0"}),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", {"mpl", "mpl-2.0"}),
+        ("Copyright 2020 The Authors. All rights reserved.", {"copyright", "proprietary"}),
+        ("SPDX-License-Identifier: LGPL-2.1", {"lgpl-2.1"}),
+        ("the licence to drive a bus", set()), ("he was a licensed pilot", set()), ("the cc line of the mail", set()), ("an open source of water", set()), ("mit einem Freund", set()),
+        ("general practice, public license plates", set()), ("the apache people", set()), ("rights of way are reserved", set()), ("a domain of public interest", set()),
+    ]
+    got = {r["doc_id"]: {x for x in r["labels"].split(",") if x} for r in licenses.scan(docs(spark, [t for t, _ in cases])).collect()}
+    assert [(t, want, got[i]) for i, (t, want) in enumerate(cases) if not (want <= got[i] if want else not got[i])] == []
+
+
+def test_a_text_of_very_many_matches(spark):
+    import time
+
+    d = docs(spark, ["mit license " * 40_000, "all rights reserved, apache license 2.0. " * 10_000])
+    began = time.time()
+    got = {r["doc_id"]: (r["n_words"], r["n_base"], r["last_word"], len(r["detections"])) for r in licenses.scan(d).collect()}
+    assert got[0] == (80_000, 40_000, 79_998, 40_000) and got[1][:2] == (70_000, 10_000) and got[1][3] >= 20_000
+    assert time.time() - began < 60
+
+
 def test_inner_detections_are_suppressed(spark):
     got = licenses.scan(docs(spark, ["released under the terms of the mozilla public license version 2.0"])).first()
     assert [d["l"] for d in got["detections"]] == ["mpl-2.0"] and got["detections"][0]["p"] == 1
