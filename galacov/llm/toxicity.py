@@ -3,7 +3,8 @@
 Terms are the lower-cased words of a text and their leading 4, 5 and 6 letters, hashed into a fixed number of slots; a
 term counts once. A text's value is w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j, so a pair of terms (an insult
 beside a word that names a group) can weigh more than its two parts. It is trained here, with AdaGrad on mini-batches in
-numpy, from a sample of at most `max_rows` labelled rows picked by hash; scoring reads every whole text. Every slot seen
+numpy, from a sample of at most `max_rows` labelled rows picked by hash, whose terms are read up to `max_terms` in all;
+scoring reads every whole text. Every slot seen
 in MIN_ROWS training rows has a weight and factors. x_i is not 1 but grows with the evidence that the slot depends on the
 label, from FLOOR up: a slot of weak evidence learns slowly, which is the regularisation, and none is left out.
 

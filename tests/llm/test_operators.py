@@ -554,10 +554,40 @@ def test_toxicity_learns_many_pairs():
     assert found[y[8000:] == 1].mean() > 0.9 and found[y[8000:] == 0].mean() < 0.01
 
 
+def test_scores_by_brute_force(spark):
+    """The query's scores are those of the sum over all pairs of a text's terms."""
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(-1.5, rng.normal(0, 0.3, toxicity.SLOTS).astype(np.float32), rng.normal(0, 0.2, (toxicity.SLOTS, toxicity.FACTORS)).astype(np.float32))
+    d = docs(spark, ODD[:5] + ["One two, three", "two three TWO", "x" * 50 + " y", "word " * 100_000])
+    terms = {r["doc_id"]: r["t"] for r in d.select("doc_id", toxicity.terms_of(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    for r in toxicity.score(d, model).collect():
+        own = terms[r["doc_id"]]
+        z = model.bias + sum(float(model.linear[i]) for i in own)
+        z += sum(float(model.factors[i].astype(float) @ model.factors[j].astype(float)) for k, i in enumerate(own) for j in own[:k])
+        assert np.isclose(r["score"], 1 / (1 + np.exp(-z)), atol=1e-5), r
+    assert toxicity.score(d.where("doc_id < 0"), model).count() == 0
+    nothing = toxicity.train(d.where("doc_id < 0"), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(d, nothing).agg(F.max("score")).first()[0] < 0.3
+
+
+def test_weights_of_either_sign():
+    """A word that tells clean texts counts against toxicity."""
+    rng = np.random.default_rng(2)
+    rows, labels = [], []
+    for k in range(2000):
+        toxic = k % 3 == 0
+        rows.append(np.unique(np.concatenate([rng.integers(100, 900, 20), [1] if toxic or rng.random() < 0.3 else [], [2] if not toxic and rng.random() < 0.8 else []]).astype(np.int64)))
+        labels.append(float(toxic))
+    model = toxicity.fit(rows, np.array(labels))
+    assert model.linear[1] > 0 > model.linear[2]
+    both, one = model.logits(np.array([1, 2, 1]), np.array([0, 2, 3]))
+    assert both < one
+
+
 def test_toxicity_on_held_out_rows(spark, sf):
     found = queries.op8_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").toPandas()
     hit = (found.predicted == 1) & (found.toxic == 1)
-    assert hit.sum() / max(1, (found.toxic == 1).sum()) > 0.75 and hit.sum() / max(1, (found.predicted == 1).sum()) > 0.9
+    assert hit.sum() / max(1, (found.toxic == 1).sum()) > 0.9 and hit.sum() / max(1, (found.predicted == 1).sum()) > 0.9
 
 
 # ---- 9 -----------------------------------------------------------------------------------------------------------------
