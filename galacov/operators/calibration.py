@@ -95,13 +95,16 @@ def fit_alpha(target: np.ndarray, c2: np.ndarray, c3: np.ndarray, c4: np.ndarray
         p2, p3, p4 = parts
         return negative_likelihood(target, precision(p4 + alpha * p3 + alpha**2 * p2, full)[1])
 
-    grid = np.linspace(low, high, 161)
-    values = np.array([objective(a) for a in grid])
-    if not np.isfinite(values).any():
-        raise ValueError("no rescaling gives a positive precision")
-    k = int(np.nanargmin(np.where(np.isfinite(values), values, np.inf)))
-    if k == len(grid) - 1:
-        raise ValueError(f"the rescaling runs into its upper bound {high}")
+    while True:  # the range grows until the lowest point lies inside it
+        grid = np.linspace(low, high, 161)
+        values = np.array([objective(a) for a in grid])
+        values = np.where(np.isfinite(values), values, np.inf)
+        k = int(values.argmin())
+        if np.isfinite(values).any() and k < len(grid) - 1:
+            break
+        if high > 1e6:
+            raise ValueError("no rescaling gives a positive precision" if not np.isfinite(values).any() else "the likelihood rises without end")
+        high *= 4
     return golden(objective, grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)])
 
 

@@ -1,7 +1,7 @@
 """Pairs within a distance, counts in (s, µ) bins and correlation functions.
 
 The distance condition becomes an equi-join on cells: cells are as wide as the largest distance, one side is copied into
-its 27 neighbour cells, and the exact condition is checked on what meets. A cell that is too full for one task is a
+its 27 neighbour cells (14 where each pair is wanted once), and the exact condition is checked on what meets. A cell that is too full for one task is a
 skewed key of a sort-merge join, which Spark splits. The copies carry only id, position, weight and labels.
 """
 
@@ -40,33 +40,45 @@ class Bins:
             F.expr(f"cast(id div {self.n_mu} as int)").alias("r_bin"), (F.col("id") % self.n_mu).cast("int").alias("mu_bin"))
 
 
-def neighbours(points: DataFrame, periodic: int | None = None) -> DataFrame:
-    """Each point once for each of the 27 cells around its own; with few periodic cells, each distinct cell once."""
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    out = points.withColumn("__n", F.explode(steps))
+STEPS = tuple((a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1))
+
+
+def neighbours(points: DataFrame, periodic: int | None = None, half: bool = False) -> DataFrame:
+    """Each point once for each of the 27 cells around its own, or for its own and 13 that make up one of each two
+    opposite ones (half); home tells its own. With fewer than three periodic cells, each distinct cell once."""
+    chosen = [s for s in STEPS if not half or s >= (0, 0, 0)]
+    steps = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("abc", s, strict=True)]) for s in chosen])
+    home = F.expr("__n.a = 0 and __n.b = 0 and __n.c = 0")
+    if periodic and periodic < 3:
+        around = F.array_distinct(F.transform(steps, lambda s: F.struct(*[F.pmod(F.col(f"c{c}") + s[k], F.lit(periodic)).alias(k) for c, k in zip("xyz", "abc", strict=True)])))
+        return points.withColumn("__n", F.explode(around)).withColumns({f"c{c}": F.col(f"__n.{k}") for c, k in zip("xyz", "abc", strict=True)}).withColumn("home", F.lit(False)).drop("__n")
+    out = points.withColumn("__n", F.explode(steps)).withColumn("home", home)
     moved = {f"c{c}": F.col(f"c{c}") + F.col(f"__n.{k}") for c, k in zip("xyz", "abc", strict=True)}
-    if not periodic:
-        return out.withColumns(moved).drop("__n")
-    around = F.array_distinct(F.transform(steps, lambda s: F.struct(*[F.pmod(F.col(f"c{c}") + s[k], F.lit(periodic)).alias(k) for c, k in zip("xyz", "abc", strict=True)])))
-    return points.withColumn("__n", F.explode(around)).withColumns({f"c{c}": F.col(f"__n.{k}") for c, k in zip("xyz", "abc", strict=True)}).drop("__n")
+    if periodic:
+        moved = {c: F.pmod(x, F.lit(periodic)) for c, x in moved.items()}
+    return out.withColumns(moved).drop("__n")
 
 
 def pairs(left: DataFrame, right: DataFrame, r_max: float, r_min: float = 0.0, box: float | None = None, carry: Sequence[str] = ("w",),
           same: bool = False, ordered: bool = True) -> DataFrame:
     """id1, id2, s, mu and the carried columns of both (w1, w2, ...) of all pairs with r_min <= s < r_max and s > 0.
 
-    same: both sides are one table, a point is no pair with itself, and with ordered=False each pair comes once."""
+    same: both sides are one table, a point is no pair with itself, and with ordered=False each pair comes once, the
+    smaller id first: then half the neighbour cells do."""
     whole = int(box // r_max) if box else None
     if box and not whole:
         raise ValueError("the box is smaller than the largest distance")
     cell = box / whole if box else r_max
     cols = ["id", "x", "y", "z", *carry]
-    a = neighbours(catalog.cells(left.select(*cols), cell, periodic=whole), whole)
+    half = same and not ordered and not (whole and whole < 3)
+    a = neighbours(catalog.cells(left.select(*cols), cell, periodic=whole), whole, half)
     b = catalog.cells(right.select(*cols), cell, periodic=whole)
-    a = a.select("cx", "cy", "cz", *[F.col(c).alias(f"{c}1") for c in cols])
+    a = a.select("cx", "cy", "cz", "home", *[F.col(c).alias(f"{c}1") for c in cols])
     b = b.select("cx", "cy", "cz", *[F.col(c).alias(f"{c}2") for c in cols])
     met = a.join(b, ["cx", "cy", "cz"])
-    if same:
+    if half:
+        met = met.where("id1 < id2 or (id1 > id2 and not home)")
+    elif same:
         met = met.where("id1 != id2" if ordered else "id1 < id2")
     d = [F.col(f"{c}1") - F.col(f"{c}2") for c in "xyz"]
     if box:
@@ -78,7 +90,12 @@ def pairs(left: DataFrame, right: DataFrame, r_max: float, r_min: float = 0.0, b
         mu = geometry.mu_along_z(d[2], F.col("s"))
     else:
         mu = geometry.mu_to_observer([F.col(f"{c}1") for c in "xyz"], [F.col(f"{c}2") for c in "xyz"])
-    return met.select("id1", "id2", "s", mu.alias("mu"), *[f"{c}{k}" for c in carry for k in (1, 2)])
+    out = met.select("id1", "id2", "s", mu.alias("mu"), *[f"{c}{k}" for c in carry for k in (1, 2)])
+    if not half:
+        return out
+    turned = F.col("id1") > F.col("id2")
+    side = lambda c, k: F.when(turned, F.col(f"{c}{3 - k}")).otherwise(F.col(f"{c}{k}")).alias(f"{c}{k}")
+    return out.select(side("id", 1), side("id", 2), "s", "mu", *[side(c, k) for c in carry for k in (1, 2)])
 
 
 def binned(found: DataFrame, bins: Bins) -> DataFrame:

@@ -21,18 +21,22 @@ def triangles(points: DataFrame, bins: pairing.Bins) -> DataFrame:
     return p.join(q, "i").where("j < k").join(closing, ["j", "k"])
 
 
-def corners(found: DataFrame, bins: pairing.Bins) -> DataFrame:
-    """Each triangle three times: r1 <= r2 (bins of the sides that meet at a corner) and the bin of the angle's cosine,
-    which runs over [-1, 1]."""
+def in_bins(bins: pairing.Bins) -> Column:
+    """Of a triangle with sides ij, ik, jk: its corners (r1, r2, mu_bin), r1 <= r2 the bins of the sides that meet and mu_bin
+    that of the angle's cosine over [-1, 1]; corners outside the bins are left out."""
     def corner(a: str, b: str, opposite: str) -> Column:
-        return F.struct(F.col(a).alias("s1"), F.col(b).alias("s2"), geometry.triangle_cosine(F.col(opposite), F.col(a), F.col(b)).alias("c"))
+        x1, x2 = geometry.radial_bin(F.col(a), bins.edges), geometry.radial_bin(F.col(b), bins.edges)
+        cosine = F.greatest(F.least(geometry.triangle_cosine(F.col(opposite), F.col(a), F.col(b)), F.lit(1.0)), F.lit(-1.0))
+        mu = geometry.uniform_bin(cosine, bins.mu_low, bins.mu_high, bins.n_mu)
+        return F.when(x1.isNotNull() & x2.isNotNull() & mu.isNotNull(), F.struct(F.least(x1, x2).alias("r1"), F.greatest(x1, x2).alias("r2"), mu.alias("mu_bin")))
+
+    return F.array_compact(F.array(corner("ij", "ik", "jk"), corner("ij", "jk", "ik"), corner("ik", "jk", "ij")))
 
-    out = found.withColumn("t", F.explode(F.array(corner("ij", "ik", "jk"), corner("ij", "jk", "ik"), corner("ik", "jk", "ij"))))
-    x1, x2 = geometry.radial_bin(F.col("t.s1"), bins.edges), geometry.radial_bin(F.col("t.s2"), bins.edges)
-    cosine = F.greatest(F.least(F.col("t.c"), F.lit(1.0)), F.lit(-1.0))
-    out = out.withColumns({"x1": x1, "x2": x2, "mu_bin": geometry.uniform_bin(cosine, bins.mu_low, bins.mu_high, bins.n_mu)})
-    out = out.where("x1 is not null and x2 is not null and mu_bin is not null")
-    return out.withColumn("r1", F.least("x1", "x2")).withColumn("r2", F.greatest("x1", "x2")).drop("x1", "x2")
+
+def corners(found: DataFrame, bins: pairing.Bins) -> DataFrame:
+    """Each triangle up to three times, with r1, r2 and mu_bin of a corner."""
+    out = found.withColumn("t", F.explode(in_bins(bins)))
+    return out.withColumns({c: F.col(f"t.{c}") for c in ("r1", "r2", "mu_bin")}).drop("t")
 
 
 def counts(points: DataFrame, bins: pairing.Bins) -> DataFrame:
@@ -46,11 +50,11 @@ def three_point_term(points: DataFrame, bins: pairing.Bins, xi: Callable[[Column
     found = triangles(points, bins)
     none = F.lit(0.0)
     g = 9 * (xi(F.col("ij"), none) + xi(F.col("ik"), none) + xi(F.col("jk"), none)) + 9
-    found = corners(found.withColumn("g", g), bins)
     w = F.col("wi") * F.col("wi") * F.col("wj") * F.col("wj") * F.col("wk") * F.col("wk")
-    a = found.select("i", "j", "k", F.col("r1"), F.col("r2"), F.col("mu_bin").alias("mu_a"), (w * F.col("g")).alias("v"))
-    b = found.select("i", "j", "k", F.col("r1").alias("r3"), F.col("r2").alias("r4"), F.col("mu_bin").alias("mu_b"))
-    return a.join(b, ["i", "j", "k"]).groupBy("r1", "r2", "mu_a", "r3", "r4", "mu_b").agg(F.sum("v").alias("value"))
+    # All pairs of a triangle's corners come out of its own row.
+    rows = found.select((w * g).alias("v"), in_bins(bins).alias("t")).select("v", F.explode("t").alias("a"), "t").select("v", "a", F.explode("t").alias("b"))
+    places = [F.col("a.r1").alias("r1"), F.col("a.r2").alias("r2"), F.col("a.mu_bin").alias("mu_a"), F.col("b.r1").alias("r3"), F.col("b.r2").alias("r4"), F.col("b.mu_bin").alias("mu_b")]
+    return rows.select(*places, "v").groupBy("r1", "r2", "mu_a", "r3", "r4", "mu_b").agg(F.sum("v").alias("value"))
 
 
 def corrected_moments(rrr: DataFrame, model: DataFrame, n_mu: int, max_l: int) -> DataFrame:
@@ -68,10 +72,21 @@ def inverse_correction(cosine: Column, coef: Column) -> Column:
     return sum((coef[l] * geometry.legendre(l, cosine) for l in range(1, 7)), coef[0])
 
 
-def combined(terms: DataFrame, alpha: float) -> DataFrame:
-    """C6 + alpha C5 + alpha^2 C4 + alpha^3 C3 of (term, topology, row, col, value): C3 to C5 from both topologies, C6 from
-    the second only; symmetrised."""
-    from galacov.operators import covariance
+def images(terms: DataFrame, n_r: int, n_l: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, row, col, value) averaged over the eight places that stand for the same sum: the two radial bins of either
+    triangle swapped, and rows with columns. row = (r1 x n_r + r2) x n_l + l."""
+    def swapped(c: str) -> Column:
+        pair, l = F.expr(f"{c} div {n_l}"), F.col(c) % n_l
+        return ((pair % n_r * n_r + F.expr(f"({c} div {n_l}) div {n_r}")) * n_l + l).cast("int")
+
+    sides = F.array(*[F.struct(r.alias("row"), c.alias("col")) for r in (F.col("row").cast("int"), swapped("row")) for c in (F.col("col").cast("int"), swapped("col"))])
+    both = F.concat(sides, F.transform(sides, lambda p: F.struct(p["col"].alias("row"), p["row"].alias("col"))))
+    each = terms.select(*keys, F.explode(both).alias("p"), "value")
+    return each.groupBy(*keys, F.col("p.row").alias("row"), F.col("p.col").alias("col")).agg((F.sum("value") / 8).alias("value"))
 
+
+def combined(terms: DataFrame, alpha: float, n_r: int, n_l: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """C6 + alpha C5 + alpha^2 C4 + alpha^3 C3 of (term, topology, row, col, value): C3 to C5 from both topologies, C6 from
+    the second only; averaged over all images."""
     power = F.when(F.col("term") == "c6", F.when(F.col("topology") == 1, 1.0).otherwise(0.0)).when(F.col("term") == "c5", float(alpha)).when(F.col("term") == "c4", float(alpha) ** 2).when(F.col("term") == "c3", float(alpha) ** 3)
-    return covariance.symmetrised(terms.groupBy("row", "col").agg(F.sum(F.col("value") * power).alias("value")))
+    return images(terms.groupBy(*keys, "row", "col").agg(F.sum(F.col("value") * power).alias("value")), n_r, n_l, keys)

@@ -97,7 +97,7 @@ def threepcf_sampled(spark, sf_dir):
 def threepcf_covariance(spark, sf_dir):
     from galacov.operators import sampler3, triples
 
-    return triples.combined(sampler3.sample(fx.points(spark, sf_dir), fx.BINS, xi_table(), fx.XI_CUT, cell=20.0, max_l=1, draws=20, loops=4), 1.0)
+    return triples.combined(sampler3.sample(fx.points(spark, sf_dir), fx.BINS, xi_table(), fx.XI_CUT, cell=20.0, max_l=1, draws=20, loops=4), 1.0, len(fx.BINS.edges), 2)
 
 
 @query()
