@@ -20,6 +20,45 @@ def test_particles(spark, tmp_path):
         tables.particles(spark, str(f)).collect()
 
 
+def test_order_of_files_and_splits(spark, tmp_path):
+    """Files by name and lines from their beginning, in however many splits."""
+    for name, lo, n in (("b", 5, 400), ("a", 0, 5), ("c", 405, 20)):
+        (tmp_path / f"{name}.txt").write_text("# head\n" + "".join(f"{lo + i} 0 0 1\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = tables.particles(spark, str(tmp_path)).collect()
+        assert len(got) == 425 and all(r["x"] == r["id"] for r in got)
+        (tmp_path / "m").mkdir()
+        (tmp_path / "m" / "c4_n2_m1_11,11_3.txt").write_text("".join(" ".join(str(40 * r + c) for c in range(40)) + "\n" for r in range(40)))
+        cells = tables.text_matrices(spark, str(tmp_path / "m")).collect()
+        assert len(cells) == 1600 and all(r["value"] == 40 * r["row"] + r["col"] and r["subsample"] == 3 for r in cells)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_results_in_every_order(tmp_path):
+    cov = np.arange(144.0).reshape(12, 12)
+    np.savez(tmp_path / "r.npz", full_theory_covariance=cov, full_theory_D_matrix=np.eye(12) * 0.1, shot_noise_rescaling=np.array([1.1, 0.9]))
+    told = []
+    one = tables.load_result(str(tmp_path / "r.npz"), max_l=4, tell=told.append)
+    r, l = np.divmod(np.arange(12), 3)
+    want = np.zeros_like(cov)
+    for i in range(12):
+        for j in range(12):
+            want[l[i] * 4 + r[i], l[j] * 4 + r[j]] = cov[i, j]
+    assert np.array_equal(one, want) and "1.00e-01" in told[0]
+    tables.export_result(str(tmp_path / "r.npz"), str(tmp_path / "cross.txt"), tracers=2, cross=True, tell=told.append)
+    got, alphas = tables.read_covariance(str(tmp_path / "cross.txt"))
+    assert np.array_equal(got, cov[4:8, 4:8]) and alphas == (1.1, 0.9)
+    assert np.array_equal(tables.reordered(cov, 2, 2), cov[np.ix_(o := [0, 2, 1, 3, 4, 6, 5, 7, 8, 10, 9, 11], o)])
+    assert tables.counts_format(["a.npy", "b.npy"]) == "npy"
+    with pytest.raises(ValueError):
+        tables.counts_format(["a.npy", "b.txt"])
+    with pytest.raises(ValueError):
+        tables.reordered(cov, 4, 2)
+
+
 def test_bins(spark, tmp_path):
     binning.write(binning.hybrid(spark, 1, 100, 10, 3, 9), str(tmp_path / "b"))
     got = binning.edges(binning.read(spark, str(tmp_path / "b")))
