@@ -103,9 +103,22 @@ def half(points: DataFrame, key: str = "id", seed: str = "half") -> DataFrame:
     return points.withColumn("half", (hashed(F.col(key), seed) % 2).cast("int"))
 
 
-def subset(points: DataFrame, n: int, key: str = "id", seed: str = "subset") -> DataFrame:
-    """Exactly n rows (or all), those of the smallest hashes; a top-n in every task, then one of what these kept."""
-    return points.orderBy(hashed(F.col(key), seed), F.col(key)).limit(n)
+def subset(points: DataFrame, n: int, key: str = "id", seed: str = "subset", buckets: int = 4096) -> DataFrame:
+    """Exactly n rows (or all), those of the smallest hashes. Counts by hash range tell the range that the n-th row lies in:
+    rows below it all stay, and only its own are sorted."""
+    h = hashed(F.col(key), seed)
+    width = (1 << 32) // buckets
+    counts = points.groupBy(F.floor(h / width).cast("int").alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()  # `buckets` rows at most
+    left = n
+    for r in counts:
+        if r["n"] >= left:
+            break
+        left -= r["n"]
+    else:
+        return points
+    low, high = r["b"] * width, (r["b"] + 1) * width
+    last = points.where((h >= low) & (h < high)).orderBy(h, F.col(key)).limit(left)
+    return points.where(h < low).unionByName(last)
 
 
 def bounding_box(tables: list[DataFrame]) -> DataFrame:

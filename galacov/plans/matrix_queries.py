@@ -42,9 +42,10 @@ def symmetrize_terms(spark, sf_dir):
     return rounded(cov.symmetrised(both, ["term"]), "value", digits=9)
 
 
-@query(f'''WITH {ALL} SELECT "row", col, round(sum(CASE term WHEN 'c4' THEN value WHEN 'c3' THEN 1.25 * value ELSE 1.5625 * value END), 9) AS value FROM mean GROUP BY "row", col''')
+@query(f'''WITH {ALL} SELECT "row", col, round(sum(CASE term WHEN 'c4' THEN value WHEN 'c3' THEN 1.25 * value ELSE 1.5625 * value END) / 7, 9) AS value FROM mean GROUP BY "row", col''')
 def combine_terms_alpha(spark, sf_dir):
-    return rounded(cov.combined_alpha(cov.full(raw(spark, sf_dir)), 1.25), "value", digits=9)
+    found = cov.combined_alpha(cov.full(raw(spark, sf_dir)), 1.25)
+    return rounded(found.withColumn("value", F.col("value") / 7), "value", digits=9)  # over 7, so that no value ends in a half
 
 
 _T = ", ".join(f"(1 + (event_id // {2 ** k}) % 2)::INTEGER AS t{k + 1}" for k in range(4))

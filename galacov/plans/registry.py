@@ -20,7 +20,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> None:
-    from galacov.plans import catalog_queries, matrix_queries, pair_queries, sampling_queries, term_queries  # noqa: F401
+    from galacov.plans import calibration_queries, catalog_queries, matrix_queries, pair_queries, sampling_queries, source_queries, term_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -49,25 +49,31 @@ def sky_catalog(df: DataFrame, weight: str | None = "WEIGHT", fkp=False, mask: i
 
 
 # ---- correlation tables ----------------------------------------------------------------------------------------------
-def write_xi(path: str, r, mu, xi) -> None:
+def xi_text(r, mu, xi) -> str:
     """Two header lines of nodes, then a row for each r."""
+    return "".join(" ".join(f"{v:.8e}" for v in np.atleast_1d(row)) + "\n" for row in (r, mu, *np.asarray(xi)))
+
+
+def write_xi(path: str, r, mu, xi) -> None:
     with open(path, "w") as f:
-        for row in (r, mu, *np.asarray(xi)):
-            f.write(" ".join(f"{v:.8e}" for v in np.atleast_1d(row)) + "\n")
+        f.write(xi_text(r, mu, xi))
 
 
-def read_xi(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    with open(path) as f:
-        rows = [np.array(line.split(), float) for line in f if line.strip()]
+def xi_of(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     r, mu, xi = rows[0], rows[1], np.array(rows[2:])
     if xi.shape != (len(r), len(mu)):
         raise ValueError(f"{xi.shape} values for {len(r)} x {len(mu)} nodes")
     return r, mu, xi
 
 
+def read_xi(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    with open(path) as f:
+        return xi_of([np.array(line.split(), float) for line in f if line.strip()])
+
+
 def xi_table(spark, path: str) -> DataFrame:
-    """s, mu, xi in long form."""
-    r, mu, xi = read_xi(path)
+    """s, mu, xi in long form, from any file system that Spark knows."""
+    r, mu, xi = xi_of([np.array(x["values"], float) for x in rows_of(spark, path).orderBy("bin").collect()])  # a row a node
     return spark.createDataFrame([(float(a), float(b), float(xi[i, j])) for i, a in enumerate(r) for j, b in enumerate(mu)], "s double, mu double, xi double")
 
 
