@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galacov.llm import exact_dedup, mixing, near_dedup, sentencepiece_codec, toxicity
-from galacov.llm.common import staged, table
+from galacov.llm.common import private, quoted, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, carry=tuple(c for c in docs.columns if c != "doc_id"), out="__toxic")
-    return scored.where(F.col("__toxic") < toxicity.THRESHOLD).select(*docs.columns)
+    (own,) = private(docs, "toxic")
+    scored = toxicity.score(docs, model, carry=tuple(c for c in docs.columns if c != "doc_id"), out=own)
+    return scored.where(F.col(own) < toxicity.THRESHOLD).select(*[quoted(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
