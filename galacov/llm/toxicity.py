@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import quoted, text_or_empty
 
 #: Slots that terms are hashed into, and factors of each.
 SLOTS, FACTORS = 1 << 18, 4
@@ -188,4 +188,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         offsets = x.offsets.to_numpy()
         return pa.array(sigmoid(own.logits(x.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0])), pa.float64())
 
-    return docs.select(*[F.col(f"`{c}`") for c in (id_col, *carry)], scored(terms_of(text_or_empty(text_col))).alias(out))
+    return docs.select(*[F.col(quoted(c)) for c in (id_col, *carry)], scored(terms_of(text_or_empty(text_col))).alias(out))

@@ -498,13 +498,16 @@ def test_rows_are_found_through_the_index(spark):
     assert exact_dedup.look_up(rows, index, moved, base).count() == 0
 
 
-def test_clashing_names(spark):
+def test_clashing_names(spark, sf):
     """Columns that operators might use themselves, and names with dots, pass through."""
-    names = ["__id", "__key", "__sha", "__s", "__n", "__part", "__size", "__taken", "__gone", "__row", "__k1", "__times", "a.b", "ke`pt"]
+    names = ["__id", "__key", "__sha", "__s", "__n", "__part", "__size", "__taken", "__gone", "__row", "__k1", "__times", "__toxic", "a.b", "ke`pt"]
     d = docs(spark, ["x y z", "x y z", "u v"])
     for n in names:
         d = d.withColumn(n, F.lit(n))
-    for f in (exact_dedup.keep_first, near_dedup.keep_one, line_dedup.without_repeats, mixing.mixed):
+    import corpus_pipeline as cp
+
+    toxic = lambda x: cp.drop_toxic(spark, x, sf)
+    for f in (exact_dedup.keep_first, near_dedup.keep_one, line_dedup.without_repeats, mixing.mixed, toxic):
         out = f(d)
         assert out.columns == d.columns, f
         rows = out.collect()
