@@ -90,6 +90,16 @@ def survey_correction(mu: Column, coef: Column) -> Column:
     return F.when(mu < MU_JOIN, c[0] + mu * (c[1] + mu * c[2])).otherwise(c[3] + mu * (c[4] + mu * (c[5] + mu * c[6])))
 
 
+def inverse_phi(r: Column, mu: Column, coef: Column) -> Column:
+    """1 / Phi = sum over even l of P_l(mu) (c0 + c1 r + c2 r^2); coef: an array of three numbers for each l = 0, 2, 4."""
+    out = None
+    for k in range(3):
+        c = [coef[3 * k + i] for i in range(3)]
+        part = legendre(2 * k, mu) * (c[0] + r * (c[1] + r * c[2]))
+        out = part if out is None else out + part
+    return out
+
+
 def pair_window(r: Column, r0: float) -> Column:
     """Piecewise quartic that falls from 1 to 0 between r0 / 2 and r0; null beyond."""
     x = r / F.lit(float(r0))

@@ -77,28 +77,39 @@ def shell_kernel(l: int, k_low: float, k_high: float) -> Callable[[Column], Colu
     return column
 
 
-def two_point_term(leg: DataFrame, r0: float, shells: list[tuple[float, float]], max_l: int, norm: float = 1.0) -> DataFrame:
-    """k_a, p, k_b, q, value: 2 sum w_i^2 w_j^2 (1 + xi) [W K_ap P_p (2p + 1)] [W K_bq P_q (2q + 1)] over pairs inside the
-    window, / norm^2. leg: terms.legs."""
-    own = leg.withColumn("window", geometry.pair_window(F.col("s"), r0)).where("window is not null")
-    parts = F.array(*[F.struct(F.lit(a).alias("k"), F.lit(l).alias("l"), (F.col("window") * shell_kernel(l, *shells[a])(F.col("s")) * geometry.legendre(l, F.col("mu")) * (2 * l + 1)).alias("f"))
+def sides(s: str, mu: str, r0: float, shells: list[tuple[float, float]], max_l: int, coef: Column | None = None) -> Column:
+    """Of a pair inside the window: (k, l, f) for each shell and even multipole, f = W K_kl(s) P_l(mu) (2l + 1) / (1/Phi);
+    null outside. coef: of geometry.inverse_phi, none for Phi = 1."""
+    window = geometry.pair_window(F.col(s), r0)
+    if coef is not None:
+        window = window / geometry.inverse_phi(F.col(s), F.col(mu), coef)
+    parts = F.array(*[F.struct(F.lit(a).alias("k"), F.lit(l).alias("l"), (window * shell_kernel(l, *shells[a])(F.col(s)) * geometry.legendre(l, F.col(mu)) * (2 * l + 1)).alias("f"))
                       for a in range(len(shells)) for l in range(0, max_l + 1, 2)])
-    v = 2 * F.col("w_i") * F.col("w_i") * F.col("w_j") * F.col("w_j") * (1 + F.col("xi")) / norm**2
-    met = own.select(v.alias("v"), parts.alias("x")).select("v", F.explode("x").alias("a"), F.col("x").alias("y"))
-    met = met.select("v", "a", F.explode("y").alias("b"))
+    return F.when(geometry.pair_window(F.col(s), r0).isNotNull(), parts)
+
+
+def moments(tuples: DataFrame, value: Column, one: Column, two: Column) -> DataFrame:
+    """k_a, p, k_b, q, value: sums of value x f of the first pair x f of the second, over tuples whose pairs both lie inside
+    the window."""
+    met = tuples.select(value.alias("v"), one.alias("x"), two.alias("y")).where("x is not null and y is not null")
+    met = met.select("v", F.explode("x").alias("a"), "y").select("v", "a", F.explode("y").alias("b"))
     return met.groupBy(F.col("a.k").alias("k_a"), F.col("a.l").alias("p"), F.col("b.k").alias("k_b"), F.col("b.l").alias("q")).agg(F.sum(F.col("v") * F.col("a.f") * F.col("b.f")).alias("value"))
 
 
-def three_point_term(triple: DataFrame, r0: float, shells: list[tuple[float, float]], max_l: int, norm: float = 1.0) -> DataFrame:
-    """The 3-point term, 4 sum w_i w_j^2 w_k xi_ik with one pair's moment for each side. triple: terms.triples with s and
-    s_b."""
-    own = triple.withColumn("wa", geometry.pair_window(F.col("s"), r0)).withColumn("wb", geometry.pair_window(F.col("s_b"), r0)).where("wa is not null and wb is not null")
+def two_point_term(leg: DataFrame, r0: float, shells: list[tuple[float, float]], max_l: int, norm: float = 1.0, coef: Column | None = None) -> DataFrame:
+    """2 sum w_i^2 w_j^2 (1 + xi) / norm^2 with the pair's moments on either side. leg: terms.legs."""
+    v = 2 * F.col("w_i") * F.col("w_i") * F.col("w_j") * F.col("w_j") * (1 + F.col("xi")) / norm**2
+    own = sides("s", "mu", r0, shells, max_l, coef)
+    return moments(leg, v, own, own)
 
-    def side(w: str, s: str, mu: str) -> Column:
-        return F.array(*[F.struct(F.lit(a).alias("k"), F.lit(l).alias("l"), (F.col(w) * shell_kernel(l, *shells[a])(F.col(s)) * geometry.legendre(l, F.col(mu)) * (2 * l + 1)).alias("f"))
-                         for a in range(len(shells)) for l in range(0, max_l + 1, 2)])
 
-    v = 4 * F.col("w_i") * F.col("w_j") * F.col("w_j") * F.col("w_k") * F.col("x") / norm**2
-    met = own.select(v.alias("v"), side("wa", "s", "mu").alias("x"), side("wb", "s_b", "mu_b").alias("y"))
-    met = met.select("v", F.explode("x").alias("a"), "y").select("v", "a", F.explode("y").alias("b"))
-    return met.groupBy(F.col("a.k").alias("k_a"), F.col("a.l").alias("p"), F.col("b.k").alias("k_b"), F.col("b.l").alias("q")).agg(F.sum(F.col("v") * F.col("a.f") * F.col("b.f")).alias("value"))
+def three_point_term(triple: DataFrame, r0: float, shells: list[tuple[float, float]], max_l: int, norm: float = 1.0, coef: Column | None = None) -> DataFrame:
+    """4 sum w_i w_j^2 w_k xi_ik / norm^3 with the moments of ij and jk. triple: terms.triples."""
+    v = 4 * F.col("w_i") * F.col("w_j") * F.col("w_j") * F.col("w_k") * F.col("x") / norm**3
+    return moments(triple, v, sides("s", "mu", r0, shells, max_l, coef), sides("s_b", "mu_b", r0, shells, max_l, coef))
+
+
+def four_point_term(quad: DataFrame, r0: float, shells: list[tuple[float, float]], max_l: int, norm: float = 1.0, coef: Column | None = None) -> DataFrame:
+    """2 sum w_i w_j w_k w_l xi_ik xi_jl / norm^4 with the moments of ij and kl. quad: terms.quads."""
+    v = 2 * F.col("w_i") * F.col("w_j") * F.col("w_k") * F.col("w_l") * F.col("x") * F.col("y") / norm**4
+    return moments(quad, v, sides("s", "mu", r0, shells, max_l, coef), sides("s_b", "mu_b", r0, shells, max_l, coef))

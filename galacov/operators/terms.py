@@ -39,7 +39,7 @@ def c2(leg: DataFrame) -> DataFrame:
 
 def triples(leg: DataFrame, link: DataFrame, carry: tuple[str, ...] = ("w",)) -> DataFrame:
     """i, j, k with the bins a of ij and b of jk and x of ik."""
-    second = leg.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("a").alias("b"), F.col("mu").alias("mu_b"), F.col("r_bin").alias("r_b"), *[F.col(f"{c}_j").alias(f"{c}_k") for c in carry])
+    second = leg.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("a").alias("b"), F.col("mu").alias("mu_b"), F.col("s").alias("s_b"), F.col("r_bin").alias("r_b"), *[F.col(f"{c}_j").alias(f"{c}_k") for c in carry])
     return leg.join(link, "i").join(second, ["j", "k"]).where("i != k")
 
 
@@ -51,7 +51,7 @@ def c3(leg: DataFrame, link: DataFrame) -> DataFrame:
 
 def quads(leg: DataFrame, link: DataFrame, carry: tuple[str, ...] = ("w",)) -> DataFrame:
     """i, j, k, l with the bins a of ij and b of kl, x of ik and y of jl."""
-    other = leg.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("a").alias("b"), F.col("mu").alias("mu_b"), F.col("r_bin").alias("r_b"), *[F.col(f"{c}_{o}").alias(f"{c}_{n}") for c in carry for o, n in (("i", "k"), ("j", "l"))])
+    other = leg.select(F.col("i").alias("k"), F.col("j").alias("l"), F.col("a").alias("b"), F.col("mu").alias("mu_b"), F.col("s").alias("s_b"), F.col("r_bin").alias("r_b"), *[F.col(f"{c}_{o}").alias(f"{c}_{n}") for c in carry for o, n in (("i", "k"), ("j", "l"))])
     second = link.select(F.col("i").alias("j"), F.col("k").alias("l"), F.col("x").alias("y"))
     return leg.join(link, "i").where("k != j").join(second, "j").where("l != i and l != k").join(other, ["k", "l"])
 

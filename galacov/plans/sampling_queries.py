@@ -110,18 +110,14 @@ def power_c2(spark, sf_dir):
 
 @query()
 def survey_correction_fit(spark, sf_dir):
-    """Fitted to counts of a whole catalog; its volume is the hull of its points."""
-    from galacov.operators import correction, pairs
-
-    p = fx.points(spark, sf_dir)
-    counts = pairs.count(p, None, pairs.Bins(fx.BINS.edges, n_mu=6)).withColumn("rr", F.col("wpairs") + 1)
-    d = correction.density(p, float(p.count()))
-    # The catalog is concentrated in its middle; the volume that its pairs fill is what makes the mean correction 1.
-    total = counts.agg(F.sum("rr")).first()[0]
-    edges = fx.BINS.edges
-    expected = sum(4 * np.pi / 3 * (hi**3 - lo**3) for lo, hi in edges) * (d["n"] * d["w"]) ** 2 * d["volume"]
-    d["volume"], d["n"] = d["volume"] * expected / total, d["n"] * total / expected
-    return correction.fitted(counts, pairs.Bins(edges, n_mu=6), d)
+    """Of uniform points, as many as the catalog has: away from the edges the correction is near 1."""
+    from galacov.operators import catalog, correction, pairs
+
+    n = min(4000, 4 * fx.points(spark, sf_dir).count())
+    p = catalog.uniform_points(spark, n, 400.0).withColumn("w", F.lit(1.0))
+    bins = pairs.Bins(fx.BINS.edges, n_mu=6)
+    counts = pairs.count(p, None, bins).withColumnRenamed("wpairs", "rr")
+    return correction.fitted(counts, bins, correction.density(p, float(p.count())))
 
 
 @query()

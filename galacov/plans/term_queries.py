@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galacov.functions import geometry
-from galacov.operators import jackknife, multipoles, pairs, terms, triples
+from galacov.operators import jackknife, multipoles, pairs, power, terms, triples
 from galacov.plans import fixtures as fx
 from galacov.plans import pair_queries as pq
 from galacov.plans.catalog_queries import rounded
@@ -61,7 +61,7 @@ def q_sql(source: str, roles: tuple[str, str, str, str]) -> str:
 
 def jack_parts(spark, sf_dir):
     leg, link, _ = parts(spark, sf_dir, ("w", "jack"))
-    w = pq.weights(spark, sf_dir).select("jack", "bin", "weight").persist()
+    w = pq.weights(spark, sf_dir).select("jack", "bin", "weight")
     return leg, link, w, jackknife.product_weights(w)
 
 
@@ -166,6 +166,44 @@ def pair_window(spark, sf_dir):
     return rounded(leg.select("i", "j", geometry.pair_window(F.col("s"), 35.0).alias("weight")), "weight", digits=9)
 
 
+# ---- power -----------------------------------------------------------------------------------------------------------
+R0, SHELLS, INV_PHI = 40.0, [(0.05, 0.1), (0.1, 0.2)], (1.0, 0.015625, 0.0, 0.125, 0.0, 0.0, 0.0, 0.0, 0.00390625)
+_W = "(CASE WHEN {s} / 40 < 0.5 THEN 1 WHEN {s} / 40 < 0.75 THEN 1 - 8 * pow(2 * {s} / 40 - 1, 3) + 8 * pow(2 * {s} / 40 - 1, 4) WHEN {s} / 40 <= 1 THEN -64 * pow({s} / 40 - 1, 3) - 128 * pow({s} / 40 - 1, 4) END)"
+_IP = "(1 + {s} * 0.015625::DOUBLE + (1.5::DOUBLE * {m} * {m} - 0.5::DOUBLE) * 0.125::DOUBLE + (4.375::DOUBLE * pow({m}, 4) - 3.75::DOUBLE * {m} * {m} + 0.375::DOUBLE) * 0.00390625::DOUBLE * {s} * {s})"
+#: Means of j_0 over shells: 3 [F(hi r) - F(lo r)] / (r^3 (hi^3 - lo^3)), F(x) = sin x - x cos x.
+_K0 = "(3 * ((sin(hi{k} * {s}) - hi{k} * {s} * cos(hi{k} * {s})) - (sin(lo{k} * {s}) - lo{k} * {s} * cos(lo{k} * {s}))) / ({s} * {s} * {s} * (hi{k} * hi{k} * hi{k} - lo{k} * lo{k} * lo{k})))"
+_PLEG = LEG.replace("leg AS (SELECT id1 AS i", "leg AS (SELECT s, id1 AS i")
+_PTRI = TRI.replace("tri AS (SELECT p.a", "tri AS (SELECT p.s, q.s AS s_b, p.a")
+_PQUAD = QUAD.replace("quad AS (SELECT p.a", "quad AS (SELECT p.s, q.s AS s_b, p.a")
+
+
+def _power(source: str, value: str, s_b: str, mu_b: str) -> str:
+    f = lambda k, s, m: f"{_W.format(s=s)} / {_IP.format(s=s, m=m)} * {_K0.format(k=k, s=s)}"
+    shells = lambda n: f"(VALUES (0, 0.05::DOUBLE, 0.1::DOUBLE), (1, 0.1::DOUBLE, 0.2::DOUBLE)) t{n}(k{n}, lo{n}, hi{n})"
+    return f"SELECT k1::INTEGER AS k_a, 0 AS p, k2::INTEGER AS k_b, 0 AS q, round(sum({value} * {f(1, 's', 'mu')} * {f(2, s_b, mu_b)}), 6) AS value FROM {source}, {shells(1)}, {shells(2)} WHERE s <= 40 AND {s_b} <= 40 GROUP BY 1, 3"
+
+
+def _coef():
+    return F.array(*map(F.lit, INV_PHI))
+
+
+@query(f"WITH {fx.PTS}, {_PLEG} {_power('leg', '2 * wi * wi * wj * wj * (1 + xi)', 's', 'mu')}")
+def power_c2_monopole(spark, sf_dir):
+    return rounded(power.two_point_term(parts(spark, sf_dir)[0], R0, SHELLS, 0, coef=_coef()), "value")
+
+
+@query(f"WITH {fx.PTS}, {_PLEG}, {_PTRI} {_power('tri', '4 * wi * wj * wj * wk * x', 's_b', 'mu_b')}")
+def power_c3_monopole(spark, sf_dir):
+    leg, link, _ = parts(spark, sf_dir)
+    return rounded(power.three_point_term(terms.triples(leg, link), R0, SHELLS, 0, coef=_coef()), "value")
+
+
+@query(f"WITH {fx.PTS}, {_PLEG}, {_PQUAD} {_power('quad', '2 * wi * wj * wk * wl * x * y', 's_b', 'mu_b')}")
+def power_c4_monopole(spark, sf_dir):
+    leg, link, _ = parts(spark, sf_dir)
+    return rounded(power.four_point_term(terms.quads(leg, link), R0, SHELLS, 0, coef=_coef()), "value")
+
+
 # ---- triangles -------------------------------------------------------------------------------------------------------
 TRIANGLE_BINS = pairs.Bins(((10.0, 25.0), (25.0, 40.0)), n_mu=4, mu_low=-1.0, mu_high=1.0)
 
