@@ -131,7 +131,8 @@ def density(points: DataFrame, n_galaxies: float, box: float | None = None) -> d
 
 def fitted(counts: DataFrame, bins: pairs.Bins, first: dict[str, float], second: dict[str, float] | None = None, periodic: bool = False) -> DataFrame:
     """r_bin, coef (7) of 1 over RR's share of a uniform volume's; counts: (r_bin, mu_bin, rr). The curve is fitted by radial
-    bin; a periodic box has 1. Values that stray from 1 by more than an order of magnitude are an error."""
+    bin; a periodic box has 1. A mean that strays from 1 by more than two
+    orders of magnitude is an error."""
     second = second or first
     scale = first["n"] * second["n"] * first["w"] * second["w"] * math.sqrt(first["volume"] * second["volume"])
     spark = counts.sparkSession
@@ -143,12 +144,15 @@ def fitted(counts: DataFrame, bins: pairs.Bins, first: dict[str, float], second:
         rr = np.zeros((n_r, n_mu))
         for row in counts.select("r_bin", "mu_bin", "rr").collect():  # a row a bin
             rr[row["r_bin"], row["mu_bin"]] = row["rr"]
-        mu = (np.arange(n_mu) + 0.5) / n_mu
+        mu, means = (np.arange(n_mu) + 0.5) / n_mu, []
         for r, (lo, hi) in enumerate(bins.edges):
             phi = scale * 4 * math.pi / 3 * (hi**3 - lo**3) / n_mu / rr[r]
-            if not np.isfinite(phi).all() or not 0.1 < np.mean(phi) < 10:
-                raise ValueError(f"the correction of radial bin {r} is {np.mean(phi):.3g}: check counts, volume and weights")
+            if not np.isfinite(phi).all():
+                raise ValueError(f"radial bin {r} has bins without pairs")
+            means.append(np.mean(phi))
             rows.append((r, (calibration.fitted_correction(mu, phi) / scale).tolist()))
+        if not 1e-2 < np.mean(means) < 1e2:
+            raise ValueError(f"the mean correction is {np.mean(means):.3g}: check counts, volume and weights")
     return spark.createDataFrame([(r, list(map(float, c))) for r, c in rows], "r_bin int, coef array<double>")
 
 

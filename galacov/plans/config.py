@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 
 from galacov.operators.pairs import Bins
 
@@ -69,6 +69,11 @@ class RunConfig:
         return draws * (n_randoms[0] if self.tracers == 1 else 5 * n_randoms[0] + 2 * n_randoms[1])
 
 
+def replaced(c: RunConfig, edges: tuple[tuple[float, float], ...]) -> RunConfig:
+    """The same settings over other radial bins."""
+    return replace(c, bins=Bins(edges, c.bins.n_mu, c.bins.mu_low, c.bins.mu_high))
+
+
 def parse(args: list[str]) -> RunConfig:
     """From words like -n2 5 -boxsize 1000 -mode s_mu; -bins low high n makes linear bins."""
     kinds = {f.name: f for f in fields(RunConfig)}

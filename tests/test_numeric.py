@@ -390,6 +390,37 @@ def xi_col_small(s, mu):
     return F.lit(10.0) / (s * s)
 
 
+def test_refined_function_keeps_its_averages(spark):
+    """Averages over all pairs of the refined function are the target."""
+    from galacov.operators import refinement
+
+    xyz, w, j = small(300, box=80.0)
+    p = frame(spark, xyz, w, j)
+    target = np.array([[1.2, 1.0], [0.5, 0.4]])
+    found = refinement.refined(p, BINS, target, iterations=30)
+    s, a = tables(xyz)
+    d = xyz[:, None] - xyz[None]
+    m = xyz[:, None] + xyz[None]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mu = np.abs((d * m).sum(axis=2)) / (np.sqrt((d**2).sum(axis=2)) * np.sqrt((m**2).sum(axis=2)))
+    ww = w[:, None] * w[None]
+    means = [(ww * found(np.where(s > 0, s, 1), np.nan_to_num(mu)))[a == b].sum() / ww[a == b].sum() for b in range(4)]
+    assert np.allclose(means, target.ravel(), rtol=2e-3), means
+
+
+def test_survey_correction_of_uniform_points(spark):
+    """Close to 1 for separations that are small against the volume."""
+    from galacov.operators import correction
+
+    p = catalog.uniform_points(spark, 3000, 400.0).withColumn("w", F.lit(1.0))
+    bins = pairs.Bins(((10.0, 25.0), (25.0, 40.0)), n_mu=6)
+    d = correction.density(p, 3000.0)
+    got = correction.fitted(pairs.count(p, None, bins).withColumnRenamed("wpairs", "rr"), bins, d)
+    for r in got.collect():
+        c = [x * d["n"] ** 2 * d["volume"] for x in r["coef"]]
+        assert all(0.8 < c[0] + m * (c[1] + m * c[2]) < 1.4 for m in (0.0, 0.3, 0.6)), c
+
+
 def test_errors(spark):
     p = frame(spark, *small(5))
     with pytest.raises(Exception, match="both signs"):

@@ -120,3 +120,25 @@ def test_running_means(spark, tmp_path):
     assert got["value"] == 1.5 and got["n"] == 4
     assert covariance.full(df).first()["value"] == 1.5
     assert df.agg(F.count("*")).first()[0] == 4
+
+
+def test_command_line(spark, tmp_path):
+    """Catalog, binning and correlation function as files; a stored result and a log come out."""
+    from galacov.plans import command
+
+    rng = np.random.default_rng(3)
+    np.savetxt(tmp_path / "p.txt", np.column_stack([rng.uniform(100, 145, (90, 3)), 1 + rng.integers(0, 4, 90) / 8, rng.integers(0, 3, 90)]))
+    r = np.arange(1.0, 61.0)
+    tables.write_xi(str(tmp_path / "xi.txt"), r, [0.25, 0.75], np.repeat((0.5 / r**2)[:, None], 2, axis=1))
+    (tmp_path / "bins.txt").write_text("10 20\n20 30\n")
+    args = ["-in", str(tmp_path / "p.txt"), "-cor", str(tmp_path / "xi.txt"), "-binfile", str(tmp_path / "bins.txt"), "-output", str(tmp_path / "out"),
+            "-mode", "s_mu", "-xi_cut", "30", "-loops", "8", "-loops_per_sample", "2", "-n2", "10", "-n3", "4", "-n4", "4", "-nside", "9"]
+    path = command.main(args, spark)
+    with np.load(path) as f:
+        assert f["full_theory_covariance"].shape == (2, 2) and f["individual_theory_covariances"].shape == (4, 2, 2)
+    log = (tmp_path / "out" / "log.txt").read_text()
+    assert "90 points" in log and "sampling took" in log and "saved" in log
+    with pytest.raises(FileExistsError):
+        command.main(args, spark)
+    with pytest.raises(ValueError):
+        command.split_arguments(["-in", "x"])
