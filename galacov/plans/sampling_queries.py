@@ -30,6 +30,36 @@ def sampled_covariance(spark, sf_dir):
     return covariance.symmetrised(covariance.combined_alpha(terms, 1.0))
 
 
+@query()
+def sampled_jackknife_terms(spark, sf_dir):
+    """c2j, c3j, c4j and the halves' counts by region, beside the plain terms."""
+    from galacov.plans import pair_queries as pq
+
+    weight = pq.weights(spark, sf_dir).select("jack", "bin", "weight")
+    w, product = sampler.jack_arrays(weight, len(fx.BINS.edges) * fx.BINS.n_mu)
+    return sampler.sample(fx.points(spark, sf_dir), fx.BINS, xi_table(), fx.XI_CUT, cell=20.0, loops=16, loops_per_sample=4, jack={((1, 1), (1, 1)): (w, w, product)})
+
+
+@query()
+def sampled_two_tracers(spark, sf_dir):
+    """The seven combinations of two catalogs."""
+    p = fx.points(spark, sf_dir)
+    return sampler.sample(p.where("tracer = 1"), fx.BINS, {k: xi_table() for k in ((1, 1), (1, 2), (2, 2))}, fx.XI_CUT, cell=20.0, loops=8, loops_per_sample=2, second=p.where("tracer = 2"))
+
+
+@query()
+def sampled_moments(spark, sf_dir):
+    """Accumulated Legendre moments up to l = 4."""
+    volumes = [4 * np.pi / 3 * (hi**3 - lo**3) for lo, hi in fx.BINS.edges]
+    return sampler.sample(fx.points(spark, sf_dir), fx.BINS, xi_table(), fx.XI_CUT, cell=20.0, loops=16, loops_per_sample=4, legendre=(4, lambda r, mu: np.ones(len(mu)), volumes))
+
+
+@query()
+def sampled_by_blocks(spark, sf_dir):
+    """The plan for catalogs that are too large to be sent whole: blocks of cells with their halos."""
+    return sampler.sample(fx.points(spark, sf_dir), fx.BINS, xi_table(), fx.XI_CUT, cell=20.0, loops=4, loops_per_sample=2, side=8, sent=0)
+
+
 _K = sampler.inverse_square_kernel(1, 50.0)
 _EDGE = np.floor(np.cumsum(_K[1]) * 2**32).astype(np.int64)
 _EDGE[-1] = 2**32
