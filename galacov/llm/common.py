@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Whether Spark removes a query's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of whole texts, or of their words, that go to Python at once.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 #: Folder for sessions that name none (tests, a single machine); made once in a process.
 _own_root: list[str] = []
 
@@ -39,15 +41,29 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     the tasks that were reading it. The shuffle files behind the write go once it is done."""
     spark = df.sparkSession
     path = path or fresh_dir(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
+    before = {k: spark.conf.get(k, d) for k, d in ((CLEANUP, "false"), (BATCH, "10000"))}
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(BATCH, str(min(ROWS, int(before[BATCH])) if int(before[BATCH]) > 0 else ROWS))
     try:
         df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed() -> None:
+    """Give back what a task's arrays took: Python workers live on, beside the next stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc
+        trim(0)
+
+
 def quoted(name: str) -> str:
     """A column's name as an expression, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

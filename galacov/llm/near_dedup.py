@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import private, quoted, staged, text_or_empty
+from .common import private, quoted, staged, text_or_empty, trimmed
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -175,7 +175,7 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
 
 def picked(text: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, words) of the given nodes (staged), once each."""
+    """(node, words) of the given nodes, once each."""
     nodes = nodes.select("node", F.col("first").alias("id"), *KEY)
     if nodes.count() <= SENT:
         nodes = F.broadcast(nodes)
@@ -194,6 +194,7 @@ def bands_of(text: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                 some = pa.array(np.diff(own) > 0)
                 each = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo).filter(some) for i in range(4)), each.filter(some)], names=["id", *KEY, "buckets"])
+        trimmed()
 
     return text.mapInArrow(run, f"id {text.dtypes[0][1]}, k1 long, k2 int, k3 int, buckets array<long>")
 
@@ -233,6 +234,7 @@ def similarities(pairs: DataFrame, words: DataFrame, k: int, floor: float) -> Da
             for lo, hi in chunks_of(xo + yo):
                 sim = similarities_of(x[xo[lo] : xo[hi]], xo[lo : hi + 1] - xo[lo], y[yo[lo] : yo[hi]], yo[lo : hi + 1] - yo[lo], k, floor)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(sim, pa.float64())], names=["a", "b", "sim"])
+        trimmed()
 
     left = words.select(F.col("node").alias("a"), F.col("words").alias("wa"))
     right = words.select(F.col("node").alias("b"), F.col("words").alias("wb"))
@@ -276,7 +278,7 @@ def split_buckets(held: DataFrame, near: float, most: int) -> tuple[DataFrame, D
         F.sum("f").alias("n"), inner(F.col("c")).alias("close"), inner(F.col("f") - F.col("c")).alias("rest"), outer(F.col("f")).alias("out"),
         outer(F.col("m")).alias("mid"), outer(F.col("f") * F.col("f")).alias("ff"))
     pairs = F.expr("close * mid + rest * out + (out * out - ff) / 2")
-    open_ = staged(sums.select("bucket", "n", pairs.alias("pairs")).where("pairs > 0"), "open")
+    open_ = sums.select("bucket", "n", pairs.alias("pairs")).where("pairs > 0")
     return open_.where(F.col("pairs") <= most * F.col("n")).select("bucket"), open_.where(F.col("pairs") > most * F.col("n")).select("bucket")
 
 
@@ -378,7 +380,7 @@ def forest(h: np.ndarray, text: np.ndarray, weight: np.ndarray, left: np.ndarray
 
 def block_links(large: DataFrame, words: DataFrame, near: float, k: int, threshold: float, block: int, most_words: int) -> DataFrame:
     """(a, b): links of these buckets' open blocks, enough to connect what links. large: bucket, node, root, d, w."""
-    placed = staged(dealt(large, near, block, most_words), "placed")
+    placed = dealt(large, near, block, most_words)
     blocks = placed.groupBy("bucket", "c", "p").agg(F.min("d").alias("d0"), F.max("d").alias("d1"))
     x, y = blocks.alias("x"), blocks.alias("y")
     ordered = "(x.c < y.c or (x.c = y.c and x.p <= y.p)) and not (x.c = y.c and x.c >= 0)"
@@ -411,15 +413,14 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, threshold: float = T
     keys = staged(made.select("node", F.explode("buckets").alias("bucket")), "bands")
     sizes = keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     bucket = staged(keys.join(sizes, "bucket"), "buckets")
-    crowd = staged(nodes.join(bucket.select("node").distinct(), "node"), "crowd")
-    words = staged(picked(text, crowd), "words")
+    words = staged(picked(text, nodes.join(bucket.select("node").distinct(), "node")), "words")
 
     # Leaders. A text that the copies of a group were made from meets most of them.
     near = 1 - threshold + 1e-9
     scores = bucket.groupBy("node").agg(F.sum("n").alias("score"))
     lead = bucket.join(scores, "node").groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top"))
-    led = staged(bucket.join(lead.select("bucket", F.col("top.node").alias("leader")), "bucket").select("bucket", "node", "leader"), "led")
-    met = staged(led.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "met")
+    led = bucket.join(lead.select("bucket", F.col("top.node").alias("leader")), "bucket").select("bucket", "node", "leader")
+    met = led.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     known = staged(similarities(met, words, k, threshold - 1e-9), "sims")
     links = known.where(F.col("sim") >= 1 - near).select("a", "b")
     classes = components(links)
@@ -430,7 +431,7 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, threshold: float = T
     few, large = split_buckets(held, near, band_open)
     pairs = open_pairs(held.join(few, "bucket"), near)
     either = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    fresh = staged(pairs.join(either, ["a", "b"], "left_anti"), "fresh")
+    fresh = pairs.join(either, ["a", "b"], "left_anti")
     more = similarities(fresh, words, k, threshold - 1e-9).where(F.col("sim") >= 1 - near).select("a", "b")
     wide = held.join(large, "bucket").join(nodes.select("node", F.col("k3").alias("w")), "node")
     more = more.unionByName(block_links(wide, words, near, k, threshold - 1e-9, block, block_words))
@@ -441,7 +442,7 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, threshold: float = T
     whole = staged(rooted(nodes, classes), "whole")
     heads = whole.groupBy("root").agg(F.min(F.struct("first", *KEY)).alias("head"), F.sum("copies").alias("class_size"))
     own = whole.join(heads, "root").select(*KEY, F.col("head.first").alias("class_id"), "class_size", F.expr("head.k1 = k1 and head.k2 = k2 and head.k3 = k3").alias("heads"))
-    found = each.join(staged(own, "classes"), KEY)
+    found = each.join(own, KEY)
     return found.select("id", *KEY, "times", "class_id", "class_size", (F.col("heads") & (F.col("id") == F.col("class_id"))).alias("kept"))
 
 

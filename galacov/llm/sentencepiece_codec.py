@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, trimmed
 from .word_ids import WordIds, chunks_of, gathered
 
 MARK = "▁"
@@ -281,6 +281,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                     same[t] = want == flat[offsets[i] : offsets[i + 1]].tolist()
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), ids, pa.array(own.round_trips(column, flat, offsets)), pa.array([same[t] for t in part], pa.bool_())], names=["id", "ids", "round_trip", "parity"])
+        own.words.clear()
+        trimmed()
 
     read = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = read.dtypes[0][1]

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, staged, text_or_empty
+from .common import fresh_dir, staged, text_or_empty, trimmed
 from .word_ids import WordIds, chunks_of, gathered
 
 MAX_BITS, STRIDE = 18, 128
@@ -260,6 +260,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     ids = [np.array([*e.ids, end_id], kind) for e in whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
                     flat, offsets = np.concatenate(ids), np.cumsum([0, *map(len, ids)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), binary_of(flat, offsets)], names=["id", "raw"])
+        trimmed()
 
     read = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     return read.mapInArrow(run, "id long, raw binary")
