@@ -2,7 +2,8 @@
 
 Exact: every tuple of distinct points whose legs lie inside the cutoffs. A pair table `legs` has the binned pairs, `links`
 the pairs within the correlation function's cutoff with its value. The cost is that of the joins, so this form is for
-catalogs whose legs and links are few per point; operators.sampler draws the same sums for larger ones.
+catalogs whose legs and links are few per point; operators.sampler draws the same sums for larger ones. The plain terms
+sum over i first; jackknife weights and moments, which belong to whole tuples, are taken from the tables of tuples.
 """
 
 from __future__ import annotations
@@ -43,10 +44,18 @@ def triples(leg: DataFrame, link: DataFrame, carry: tuple[str, ...] = ("w",)) ->
     return leg.join(link, "i").join(second, ["j", "k"]).where("i != k")
 
 
+def bridges(leg: DataFrame, link: DataFrame) -> DataFrame:
+    """j, k, a, w_j and t = sum over i of w_i x_ik over the pairs ij in bin a: what the sums over three and four points have
+    in common. It is summed up before anything else is joined, so rows grow as points x legs x links and no further."""
+    met = leg.join(link, "i").where("k != j")
+    return met.groupBy("j", "k", "a").agg(F.max("w_j").alias("w_j"), F.sum(F.col("w_i") * F.col("x")).alias("t"))
+
+
 def c3(leg: DataFrame, link: DataFrame) -> DataFrame:
-    """a, b, value: 4 sum w_i w_j^2 w_k xi_ik."""
-    v = 4 * F.col("w_i") * F.col("w_j") * F.col("w_j") * F.col("w_k") * F.col("x")
-    return triples(leg, link).groupBy("a", "b").agg(F.sum(v).alias("value"))
+    """a, b, value: 4 sum w_i w_j^2 w_k xi_ik. leg and link: ordered pairs of one catalog."""
+    second = leg.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("a").alias("b"), F.col("w_j").alias("w_k"))
+    met = bridges(leg, link).join(second, ["j", "k"])
+    return met.groupBy("a", "b").agg(F.sum(4 * F.col("w_j") * F.col("w_j") * F.col("w_k") * F.col("t")).alias("value"))
 
 
 def quads(leg: DataFrame, link: DataFrame, carry: tuple[str, ...] = ("w",)) -> DataFrame:
@@ -57,9 +66,19 @@ def quads(leg: DataFrame, link: DataFrame, carry: tuple[str, ...] = ("w",)) -> D
 
 
 def c4(leg: DataFrame, link: DataFrame) -> DataFrame:
-    """a, b, value: 2 sum w_i w_j w_k w_l xi_ik xi_jl."""
-    v = 2 * F.col("w_i") * F.col("w_j") * F.col("w_k") * F.col("w_l") * F.col("x") * F.col("y")
-    return quads(leg, link).groupBy("a", "b").agg(F.sum(v).alias("value"))
+    """a, b, value: 2 sum w_i w_j w_k w_l xi_ik xi_jl. leg and link: ordered pairs of one catalog.
+
+    The sum over i and that over l are bridges from j to k and from k to j; their product over all j, k has the tuples in
+    which i is l as well, which are a sum over single points and are taken off again."""
+    own = bridges(leg, link)
+    back = own.select(F.col("j").alias("k"), F.col("k").alias("j"), F.col("a").alias("b"), F.col("w_j").alias("w_k"), F.col("t").alias("u"))
+    whole = own.join(back, ["j", "k"]).groupBy("a", "b").agg(F.sum(2 * F.col("w_j") * F.col("w_k") * F.col("t") * F.col("u")).alias("value"))
+    both = leg.join(link.withColumnRenamed("k", "j"), ["i", "j"]).select("i", "a", "w_i", (F.col("w_j") * F.col("x")).alias("v"))
+    at = both.groupBy("i", "a").agg(F.max("w_i").alias("w_i"), F.sum("v").alias("v"), F.sum(F.col("v") * F.col("v")).alias("vv"))
+    met = at.join(at.select("i", F.col("a").alias("b"), F.col("v").alias("u")), "i")
+    again = F.when(F.col("a") == F.col("b"), F.col("vv")).otherwise(0.0)  # j is k
+    same = met.groupBy("a", "b").agg((-F.sum(2 * F.col("w_i") * F.col("w_i") * (F.col("v") * F.col("u") - again))).alias("value"))
+    return whole.unionByName(same).groupBy("a", "b").agg(F.sum("value").alias("value"))
 
 
 def divided(term: DataFrame, rr: DataFrame, norm: float, points: int) -> DataFrame:
