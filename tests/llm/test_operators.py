@@ -610,6 +610,24 @@ def test_jpeg_round_trip(spark):
     assert {tuple(r) for r in two} == {tuple(r) for r in got.values()}
 
 
+def test_feature_by_brute_force():
+    """Dimensions, bits of neighbouring means and the checksum, area by area; images smaller than the grid too."""
+    rng = np.random.default_rng(4)
+    for high, wide in ((1, 64), (3, 64), (8, 9), (40, 64), (17, 23)):
+        parts = [rng.integers(0, 256, (high, wide), np.uint8), rng.integers(0, 256, (2, 5), np.uint8)]
+        bits = ""
+        for r in range(8):
+            means = []
+            for c in range(9):
+                top, left = min(r * high // 8, high - 1), min(c * wide // 9, wide - 1)
+                bottom, right = max((r + 1) * high // 8, top + 1), max((c + 1) * wide // 9, left + 1)
+                cells = [int(parts[0][y, x]) for y in range(top, bottom) for x in range(left, right)]
+                means.append(sum(cells) / len(cells))
+            bits += "".join("1" if a > b else "0" for a, b in zip(means, means[1:]))
+        crc = zlib.crc32(parts[1].tobytes(), zlib.crc32(parts[0].tobytes()))
+        assert jpeg.feature(parts) == f"{8 * wide}x{8 * high},40x16;{int(bits, 2):016x};{crc:08x}"
+
+
 def test_media_are_written_and_recovered_from_there(spark, sf, monkeypatch):
     written = []
     monkeypatch.setattr(queries, "staged", lambda df, name: written.append(common.staged(df, name)) or written[-1], raising=False)
