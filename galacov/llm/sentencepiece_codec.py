@@ -38,8 +38,8 @@ from .common import text_or_empty, trimmed
 from .word_ids import WordIds, chunks_of, gathered
 
 MARK = "▁"
-#: Bytes of texts that are encoded at once, words that a process keeps and words that go to the model in one call.
-CHUNK, KEPT, JOINED = 1 << 22, 400_000, 256
+#: Bytes of texts that are encoded at once, words that a task keeps and words that go to the model in one call.
+CHUNK, KEPT, JOINED = 1 << 22, 600_000, 256
 #: Ids that are spelled out at once.
 IDS = 1 << 18
 #: Characters that a tokenizer may take for a word's end.
