@@ -33,7 +33,7 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses."""
-    return f"{shared_root(spark)}/galacov-{uuid.uuid4().hex}/{name}"
+    return f"{shared_root(spark)}/galacov-{uuid.uuid4().hex}-{name}"
 
 
 def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -45,7 +45,8 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark.conf.set(CLEANUP, "true")
     spark.conf.set(BATCH, str(min(ROWS, int(before[BATCH])) if int(before[BATCH]) > 0 else ROWS))
     try:
-        df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
+        # Whoever reads the table got its path from a write that ended, so no file has to say so.
+        df.write.mode("errorifexists").option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
