@@ -17,7 +17,7 @@ block's offset follows inside its shard, so no task sees more than one shard.
 Ids are whole numbers. More than 2^MAX_BITS different tokens have no code of that length, which raises.
 
 Cases: a null text counts as empty and has the end id only. Null ids come first; rows that repeat an id are ordered by
-their ids' bytes. An empty table gives no rows (and no code). Only id and text are read.
+their first bytes, then by a hash of all. An empty table gives no rows (and no code). Only id and text are read.
 """
 
 from __future__ import annotations
@@ -329,7 +329,7 @@ def write_blocks(encoded: DataFrame, path: str, lengths: np.ndarray, shards: int
             yield made()
 
     # Rows of one id, or of none, are dealt by their bytes, and equal ones by where they were read: no key is too large a shard.
-    order = [F.col("id").asc_nulls_first(), F.col("raw"), F.col("m")]
+    order = [F.col("id").asc_nulls_first(), F.substring("raw", 1, 32), F.xxhash64("raw"), F.col("m")]
     ordered = encoded.withColumn("m", F.monotonically_increasing_id()).repartitionByRange(shards, *order)
     ordered.sortWithinPartitions(*order).select("id", "raw").mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
