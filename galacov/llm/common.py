@@ -65,6 +65,13 @@ def trimmed() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends at most ROWS rows to Python at once: whole texts are long."""
+    now = int(spark.conf.get(BATCH, "10000"))
+    if now <= 0 or now > ROWS:
+        spark.conf.set(BATCH, str(ROWS))
+
+
 def quoted(name: str) -> str:
     """A column's name as an expression, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

@@ -34,12 +34,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, trimmed
+from .common import small_batches, text_or_empty, trimmed
 from .word_ids import WordIds, chunks_of, gathered
 
 MARK = "▁"
-#: Bytes of texts that are encoded at once, words that a task keeps and words that go to the model in one call.
-CHUNK, KEPT, JOINED = 1 << 22, 600_000, 256
+#: Bytes of texts that are encoded at once, words that a task keeps at once and words that go to the model in one call.
+CHUNK, KEPT, JOINED = 1 << 22, 300_000, 256
 #: Ids that are spelled out at once.
 IDS = 1 << 18
 #: Characters that a tokenizer may take for a word's end.
@@ -284,6 +284,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         own.words.clear()
         trimmed()
 
+    small_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = read.dtypes[0][1]
     return read.mapInArrow(run, f"id {kind}, ids array<int>, round_trip boolean, parity boolean").withColumnRenamed("id", id_col)
