@@ -229,6 +229,38 @@ def test_line_dedup_by_brute_force(spark):
     assert kept[4] == "" and kept[0] is None and kept[2].split("\n")[0] == "a b c d"
 
 
+@pytest.mark.parametrize("pivots", [True, False])
+def test_lines_of_large_groups_are_linked_without_a_row_for_each_pair(spark, monkeypatch, pivots):
+    """Variants of two long lines, which differ in few words or in too many, and of one line of 9 words: the links that are
+    counted are brute force's, with pivots and without any; with them the join gets a small part of the pairs."""
+    rng, seen = random.Random(7), {}
+    lines = []
+    for at in range(2):
+        base = [f"b{at}x{i}" for i in range(60)]
+        for k in range(160):
+            line = list(base)
+            for i in rng.sample(range(60), rng.choice([0, 1, 1, 2, 2, 3, 4, 5])):
+                line[i] = f"c{rng.randrange(400)}"
+            lines.append(" ".join(line + [f"tail{k}"] * (k % 3 == 0)))
+    lines += ["d1 d2 d3 d4 d5 d6 d7 d8 e" + str(k) for k in range(40)] + ["d1 d2 d3 d4 d5 d6 d7 d8"] + [f"f{k} g h i" for k in range(5)]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[k : k + 9]) for k in range(0, len(lines), 9)] + [lines[0]]
+    rows = [(i, n, frozenset(x.split())) for i, t in enumerate(texts) for n, x in enumerate(t.split("\n"))]
+    first, size = {}, collections.Counter()
+    for i, n, s in rows:
+        first.setdefault(s, (i, n))
+        size[s] += 1
+    match = {s: [o for o in first if o != s and 9 * len(s & o) >= 4 * (len(s) + len(o))] for s in first}
+    want = {(i, n): (len(s), *first[s], size[s], len(match[s]), first[s] == (i, n) and not any(first[o] < first[s] for o in match[s])) for i, n, s in rows}
+    old = line_dedup.candidates
+    monkeypatch.setattr(line_dedup, "candidates", lambda sets: seen.setdefault("pairs", old(sets)))
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1 if pivots else 1 << 60, raising=False)
+    got = {(r["doc_id"], r["line"]): tuple(r)[2:] for r in line_dedup.line_dedup(docs(spark, texts)).collect()}
+    assert got == want
+    links = sum(map(len, match.values())) // 2
+    assert links > 10_000 and (not pivots or seen["pairs"].count() < links / 3)
+
+
 # ---- 4 -----------------------------------------------------------------------------------------------------------------
 def brute_classes(texts, threshold=0.8):
     sets = {}
