@@ -261,6 +261,18 @@ def test_lines_of_large_groups_are_linked_without_a_row_for_each_pair(spark, mon
     assert links > 10_000 and (not pivots or seen["pairs"].count() < links / 3)
 
 
+def test_long_lines_that_share_much_are_seldom_candidates(spark, monkeypatch):
+    """160 words, of which any two lines share 124: no links, and the parity bits tell so."""
+    texts, seen = [" ".join([f"s{i}" for i in range(124)] + [f"o{k}x{i}" for i in range(36)]) for k in range(30)], {}
+    texts.append(texts[0] + " more words")
+    old = line_dedup.candidates
+    monkeypatch.setattr(line_dedup, "candidates", lambda sets: seen.setdefault("pairs", old(sets)))
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1 << 60)
+    got = {r["doc_id"]: (r["n_links"], r["kept"]) for r in line_dedup.line_dedup(docs(spark, texts)).collect()}
+    assert got == {k: (int(k in (0, 30)), k != 30) for k in range(31)}
+    assert 1 <= seen["pairs"].count() < 110
+
+
 # ---- 4 -----------------------------------------------------------------------------------------------------------------
 def brute_classes(texts, threshold=0.8):
     sets = {}
