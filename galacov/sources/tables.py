@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,13 +40,13 @@ def particles(spark, path: str, rescale: float = 1.0, invert_after: int | None =
     return out if limit is None else out.where(F.col("id") < limit)
 
 
-def sky_catalog(df: DataFrame, weight: str | None = "WEIGHT", fkp=False, mask: int = 0) -> DataFrame:
-    """ra, dec, z, w of a survey table with columns RA, DEC, Z; status bits as asked."""
+def sky_catalog(df: DataFrame, weight: str | None = "WEIGHT", fkp=False, mask: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+    """ra, dec, z, w of a survey table with columns RA, DEC, Z, and the columns to keep; status bits as asked."""
     from galacov.operators import catalog
 
     out = catalog.status_mask(df, mask, "STATUS") if mask else df
     out = catalog.weighted(out, weight if weight in df.columns else None, fkp, "WEIGHT_FKP")
-    return out.select(F.col("RA").cast("double").alias("ra"), F.col("DEC").cast("double").alias("dec"), F.col("Z").cast("double").alias("z"), "w")
+    return out.select(*keep, F.col("RA").cast("double").alias("ra"), F.col("DEC").cast("double").alias("dec"), F.col("Z").cast("double").alias("z"), "w")
 
 
 # ---- correlation tables ----------------------------------------------------------------------------------------------

@@ -142,3 +142,19 @@ def test_command_line(spark, tmp_path):
         command.main(args, spark)
     with pytest.raises(ValueError):
         command.split_arguments(["-in", "x"])
+
+
+def test_sky_rows_at_one_place(spark, tmp_path):
+    """Two events at the same place, of which one has the status: the other is not taken for it, nor does either come twice."""
+    import duckdb
+
+    from galacov.plans import registry
+
+    rows = [(5, 7, 20.0, '{"k": 3}'), (5 + 121, 7, 20.0, '{"k": 4}'), (5 + 242, 367, 20.0, '{"k": 7}'), (8, 7, 20.0, '{"k": 3}')]
+    e = spark.createDataFrame(rows, "event_id long, user_id long, value double, props string")
+    e.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(registry.oracle_sql()["sky_catalog_scan"]).fetchall())
+    got = registry.queries()["sky_catalog_scan"](spark, str(tmp_path)).select("id", "ra", "dec", "z", "w")
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) == 3
