@@ -1,6 +1,6 @@
 """Pairs within a distance, counts in (s, µ) bins and correlation functions.
 
-The distance condition becomes an equi-join on cells: cells are as wide as the largest distance, one side is copied into
+Counts are added up by operators.blocks. Where the pairs themselves are wanted, the distance condition becomes an equi-join on cells: cells are as wide as the largest distance, one side is copied into
 its 27 neighbour cells (14 where each pair is wanted once), and the exact condition is checked on what meets. A cell that is too full for one task is a
 skewed key of a sort-merge join, which Spark splits. The copies carry only id, position, weight and labels.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galacov.functions import geometry
-from galacov.operators import catalog
+from galacov.operators import blocks, catalog
 
 
 @dataclass(frozen=True)
@@ -107,15 +107,20 @@ def binned(found: DataFrame, bins: Bins) -> DataFrame:
 
 def count(left: DataFrame, right: DataFrame | None, bins: Bins, box: float | None = None, value: str = "wpairs") -> DataFrame:
     """r_bin, mu_bin, npairs, and the sum of products of weights, for every bin; of ordered pairs of one table, or of
-    pairs between two. One table is joined by id1 < id2 and counted twice."""
-    auto = right is None
-    met = pairs(left, left if auto else right, bins.r_max, bins.r_min, box, same=auto, ordered=False)
-    times = 2 if auto else 1
-    found = binned(met, bins).groupBy("r_bin", "mu_bin").agg((F.count("*") * times).alias("npairs"), (F.sum(F.col("w1") * F.col("w2")) * times).alias(value))
+    pairs between two. Pairs of one table are met once and counted twice; none leaves its task."""
+    times, n = 2 if right is None else 1, len(bins.edges) * bins.n_mu
+    each = lambda a, i, b, j, s, mu: [([(blocks.flat_bins(bins, s, mu), n)], [a.w[i] * b.w[j]])]
+    found = blocks.pair_sums(left, right, bins.r_max, bins.r_min, each, ["bin"], ["v"], box)
+    found = unflat(found, bins.n_mu).select("r_bin", "mu_bin", (F.col("n") * times).alias("npairs"), (F.col("v") * times).alias(value))
     full = bins.grid(left.sparkSession).join(F.broadcast(found), ["r_bin", "mu_bin"], "left")  # as many rows as bins
     return full.select("r_bin", "mu_bin", F.coalesce("npairs", F.lit(0)).alias("npairs"), F.coalesce(value, F.lit(0.0)).alias(value))
 
 
+def unflat(table: DataFrame, n_mu: int) -> DataFrame:
+    """r_bin and mu_bin from bin = r_bin x n_mu + mu_bin."""
+    return table.withColumn("r_bin", F.expr(f"cast(bin div {n_mu} as int)")).withColumn("mu_bin", (F.col("bin") % n_mu).cast("int"))
+
+
 def analytic_rr(spark, bins: Bins, weight: float, box: float) -> DataFrame:
     """Expected pair weight in a periodic box: (sum of weights)^2 x shell volume / box volume / bins of µ."""
     out = bins.grid(spark)
