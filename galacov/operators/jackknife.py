@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galacov.operators import blocks
 from galacov.operators import pairs as pairing
 
 
@@ -15,15 +17,25 @@ def counts(found: DataFrame) -> DataFrame:
     return each.groupBy("jack", "r_bin", "mu_bin").agg(F.sum("v").alias("value"))
 
 
+def by_region(left: DataFrame, right: DataFrame | None, bins: pairing.Bins, box: float | None) -> DataFrame:
+    """jack, r_bin, mu_bin, value from pairs that are met once."""
+    n = len(bins.edges) * bins.n_mu
+
+    def each(a, i, b, j, s, mu):
+        at, v = (blocks.flat_bins(bins, s, mu), n), a.w[i] * b.w[j] * 0.5
+        return [([blocks.region("jack", a, b, c, p), at], [v]) for c, p in ((a, i), (b, j))]
+
+    found = blocks.pair_sums(left, right, bins.r_max, bins.r_min, each, ["jack", "bin"], ["value"], box, ("w", "jack"), {"jack": "jack"})
+    return pairing.unflat(found, bins.n_mu).select("jack", "r_bin", "mu_bin", "value")
+
+
 def pair_counts(points: DataFrame, bins: pairing.Bins, box: float | None = None) -> DataFrame:
     """Of ordered pairs of one table with a column jack."""
-    met = pairing.pairs(points, points, bins.r_max, bins.r_min, box, carry=("w", "jack"), same=True, ordered=False)
-    return counts(pairing.binned(met, bins)).withColumn("value", F.col("value") * 2)
+    return by_region(points, None, bins, box).withColumn("value", F.col("value") * 2)
 
 
 def cross_counts(left: DataFrame, right: DataFrame, bins: pairing.Bins, box: float | None = None) -> DataFrame:
-    met = pairing.pairs(left, right, bins.r_max, bins.r_min, box, carry=("w", "jack"))
-    return counts(pairing.binned(met, bins))
+    return by_region(left, right, bins, box)
 
 
 def weights(table: DataFrame) -> DataFrame:
@@ -73,9 +85,22 @@ def data_covariance(xi: DataFrame, weight: DataFrame) -> DataFrame:
     return sums.select("bin_a", "bin_b", (F.col("c") / (1 - F.col("p"))).alias("value"))
 
 
-def half_counts(points: DataFrame, bins: pairing.Bins, xi) -> DataFrame:
+def half_counts(points: DataFrame, bins: pairing.Bins, xi, arrays: bool = False) -> DataFrame:
     """half, jack, bin, rr, ee from pairs whose points fall into the same half: sums of w w and of w w xi, half to each
-    point's region. Pairs of one half are a quarter of all."""
+    point's region. Pairs of one half are a quarter of all. arrays: xi is a function of arrays, and no pair leaves its task;
+    otherwise of columns."""
+    if arrays:
+        n = len(bins.edges) * bins.n_mu
+
+        def each(a, i, b, j, s, mu):
+            half, many = blocks.region("half", a, b, a, i)
+            half = np.where((half == b.half[j]) & (half < many - 1), half, -1)
+            w = a.w[i] * b.w[j] * 0.5 / 0.25
+            values, at = [w, w * xi(s, mu)], (blocks.flat_bins(bins, s, mu), n)
+            return [([(half, many), blocks.region("jack", a, b, c, p), at], values) for c, p in ((a, i), (b, j))]
+
+        found = blocks.pair_sums(points, None, bins.r_max, bins.r_min, each, ["half", "jack", "bin"], ["rr", "ee"], None, ("w", "jack", "half"), {"half": "half", "jack": "jack"})
+        return found.select("half", "jack", "bin", (F.col("rr") * 2).alias("rr"), (F.col("ee") * 2).alias("ee"))
     met = pairing.pairs(points, points, bins.r_max, bins.r_min, carry=("w", "jack", "half"), same=True)
     met = pairing.binned(met, bins).where("half1 = half2")
     w = F.col("w1") * F.col("w2") * 0.5 / 0.25

@@ -35,8 +35,8 @@ def sky(spark, sf_dir: str) -> DataFrame:
 
 
 def xi(s, mu):
-    """A power law."""
-    return F.lit(XI_AMPLITUDE) / (s * s)
+    """A power law, of columns or arrays."""
+    return XI_AMPLITUDE / (s * s)
 
 
 PTS = """pts AS (

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from galacov.operators import covariance, jackknife, multipoles, pairs
+from galacov.operators import blocks, covariance, jackknife, multipoles, pairs
 from galacov.plans import fixtures as fx
 from galacov.plans.catalog_queries import rounded
 from galacov.plans.registry import query
@@ -118,10 +119,14 @@ _SIGNED = "CASE WHEN (id1 + id2) % 2 = 0 THEN mu_bin + 3 ELSE 2 - mu_bin END"
 
 def signed_counts(spark, sf_dir):
     """Counts in six bins of mu from -1 to 1, the sign by parity of the ids."""
-    p = fx.points(spark, sf_dir)
-    met = pairs.binned(pairs.pairs(p, p, B.r_max, B.r_min, same=True), B)
-    sign = F.when((F.col("id1") + F.col("id2")) % 2 == 0, F.col("mu_bin") + 3).otherwise(2 - F.col("mu_bin")).cast("int")
-    return met.groupBy("r_bin", sign.alias("mu_bin")).agg(F.sum(F.col("w1") * F.col("w2")).alias("wpairs"))
+    def each(a, i, b, j, s, mu):
+        flat = blocks.flat_bins(B, s, mu)
+        r, m = np.divmod(flat, B.n_mu)
+        m = np.where((a.id[i] + b.id[j]) % 2 == 0, m + B.n_mu, B.n_mu - 1 - m)
+        return [([(np.where(flat >= 0, r, -1), len(B.edges)), (m, 2 * B.n_mu)], [a.w[i] * b.w[j]])]
+
+    met = blocks.pair_sums(fx.points(spark, sf_dir), None, B.r_max, B.r_min, each, ["r_bin", "mu_bin"], ["wpairs"])
+    return met.select("r_bin", "mu_bin", (F.col("wpairs") * 2).alias("wpairs"))
 
 
 @query(f"WITH {fx.PTS}, {RR}, c AS (SELECT r_bin, {_SIGNED} AS m, sum(w1 * w2) AS wpairs FROM bp GROUP BY 1, 2) SELECT r_bin, CASE WHEN m >= 3 THEN m - 3 ELSE 2 - m END::INTEGER AS mu_bin, sum(wpairs) AS wpairs FROM c GROUP BY 1, 2")
@@ -212,7 +217,7 @@ SELECT c.bin_a, c.bin_b, round(c.c / (x.rr * y.rr * (1 - p.value)), 9) AS value
 def jack_disconnected(spark, sf_dir):
     p = fx.points(spark, sf_dir)
     rr = jackknife.flat(pairs.count(p, None, B), B.n_mu).select("bin", F.col("wpairs").alias("rr"))
-    found = jackknife.disconnected(jackknife.half_counts(p, B, fx.xi), rr, jackknife.product_weights(weights(spark, sf_dir)))
+    found = jackknife.disconnected(jackknife.half_counts(p, B, fx.xi, arrays=True), rr, jackknife.product_weights(weights(spark, sf_dir)))
     return rounded(found, "value", digits=9)
 
 
