@@ -1,10 +1,13 @@
 """Sums over pairs and tuples by blocks: brute force, both plans, and no row for a pair."""
 
+import itertools
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from galacov.operators import blocks, catalog, jackknife, pairs
-from galacov.plans import pair_queries
+from galacov.operators import blocks, catalog, jackknife, pairs, power, terms, triples, tuples
+from galacov.plans import pair_queries, term_queries
 
 BINS = pairs.Bins(((5.0, 15.0), (15.0, 30.0)), n_mu=2)
 
@@ -100,3 +103,107 @@ def test_a_crowd_at_one_place(spark):
     np.fill_diagonal(flat, -1)
     got = pairs.count(frame(spark, xyz, np.ones(3050), np.zeros(3050)), None, BINS).collect()
     assert {r["r_bin"] * 2 + r["mu_bin"]: r["npairs"] for r in got} == {k: (flat == k).sum() for k in range(4)}
+
+
+def xi_of(s, mu):
+    """Of columns or arrays; it has an angle, so that mu has to be right."""
+    return 40.0 / (s * s) * (1 + 0.5 * mu * mu)
+
+
+def close(got, want, rel=1e-9):
+    assert set(got) == set(want) and len(got)
+    scale = max(map(abs, want.values()))
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=rel, abs=rel * scale), k
+
+
+def values(df):
+    keys = [c for c in df.columns if c != "value"]
+    return {tuple(r[k] for k in keys): r["value"] for r in df.collect()}
+
+
+@pytest.mark.parametrize("sent", [blocks.SENT, 0])
+@pytest.mark.parametrize("n, side", [(60, 60.0), (24, 58.0)])
+def test_terms(spark, monkeypatch, sent, n, side):
+    """Three and four points as the joins of tables of tuples give them, in bins and moments, plain and with regions; with copies
+    at one place, a weight of 0, and so few points that groups stay empty."""
+    monkeypatch.setattr(blocks, "SENT", sent)
+    xyz, w, j = cloud(n, side=side)
+    w[2] = 0
+    p = frame(spark, xyz, w, j).cache()
+    leg, link = terms.legs(p, BINS, xi_of, carry=("w", "jack")), terms.links(p, 25.0, xi_of)
+    bins, volumes = tuples.binned(BINS), [2.0, 3.0]
+    small = dict(leaf=8)
+    three, four = tuples.sums(p, bins, 25.0, xi_of, False, **small), tuples.sums(p, bins, 25.0, xi_of, True, **small)
+    by_bin = lambda t, v: values(t.groupBy("a", "b").agg(F.sum(v).alias("value")))
+    w3, w4 = F.col("w_i") * F.col("w_j") * F.col("w_j") * F.col("w_k") * F.col("x"), F.col("w_i") * F.col("w_j") * F.col("w_k") * F.col("w_l") * F.col("x") * F.col("y")
+    t3, t4 = terms.triples(leg, link, ("w", "jack")).cache(), terms.quads(leg, link, ("w", "jack")).cache()
+    for got, t, v in ((three, t3, w3), (four, t4, w4)):
+        close(values(got.where("kind = 0 and n > 0").select("a", "b", "value")), by_bin(t, v))
+    weight = jackknife.flat(jackknife.weights(jackknife.pair_counts(p, BINS)), BINS.n_mu).select("jack", "bin", "weight")
+    weight = spark.createDataFrame(weight.collect(), weight.schema)
+    products = jackknife.product_weights(weight)
+    for is_four, join in ((False, terms.c3_jack), (True, terms.c4_jack)):
+        got = tuples.sums(p, bins, 25.0, xi_of, is_four, regions=True, **small)
+        close(values(tuples.jackknifed(got, weight, products, is_four)), values(join(leg, link, weight, products)))
+    phi = lambda r, mu: 1.0 + 0.25 * mu
+    moments = tuples.accumulated(BINS, 2, phi, volumes)
+    for is_four, t, v in ((False, t3, w3), (True, t4, w4)):
+        got = tuples.moments(tuples.sums(p, moments, 25.0, xi_of, is_four, **small).where("kind = 0 and n > 0"), 2)
+        close(values(got), values(terms.accumulated(t, v, 2, phi, volumes)))
+
+
+def test_two_points(spark):
+    xyz, w, j = cloud()
+    p = frame(spark, xyz, w, j)
+    leg = terms.legs(p, BINS, xi_of, carry=("w", "jack"))
+    close(values(tuples.two(p, tuples.binned(BINS), xi_of).select(F.col("g").alias("a"), F.col("v0").alias("value"))), values(terms.c2(leg)))
+    phi, volumes = (lambda r, mu: 1.0 + 0.25 * mu), [2.0, 3.0]
+    v = 2 * F.col("w_i") * F.col("w_i") * F.col("w_j") * F.col("w_j") * (1 + F.col("xi"))
+    got = tuples.moments(tuples.spread(tuples.two(p, tuples.accumulated(BINS, 2, phi, volumes), xi_of), 2), 2)
+    close(values(got), values(terms.accumulated(leg, v, 2, phi, volumes, ("r_bin", "mu"))))
+    shells, coef = [(0.05, 0.1), (0.1, 0.4)], (1.0, 0.01, 0.0, 0.125, 0.0, 0.0, 0.0, 0.0, 0.0001)
+    got = power.placed(tuples.spread(tuples.two(p, power.leg_of(BINS, 28.0, shells, 2, coef), xi_of), 4), 2)
+    close(values(got), values(power.two_point_term(leg, 28.0, shells, 2, coef=F.array(*map(F.lit, coef)))))
+
+
+def test_shell_table():
+    """The table is the quadrature's value, and that of l = 0 the closed form."""
+    r = np.linspace(0.01, 60, 777)
+    for l, lo, hi in ((0, 0.05, 0.1), (2, 0.1, 0.2), (4, 0.3, 0.5)):
+        assert np.abs(power.shell_table(l, lo, hi, 60.0)(r) - power.shell_mean(l, lo, hi, r)).max() < 1e-13
+    f = lambda x: np.sin(x) - x * np.cos(x)
+    assert np.abs(power.shell_table(0, 0.05, 0.1, 60.0)(r[99:]) - 3 * (f(0.1 * r) - f(0.05 * r))[99:] / (r[99:] ** 3 * (0.1**3 - 0.05**3))).max() < 1e-12
+
+
+@pytest.mark.parametrize("sent", [blocks.SENT, 0])
+def test_triangles(spark, monkeypatch, sent):
+    monkeypatch.setattr(blocks, "SENT", sent)
+    xyz, w, j = cloud(70, side=60.0)
+    p = frame(spark, xyz, w, j)
+    bins = pairs.Bins(BINS.edges, 4, -1.0, 1.0)
+    near = lambda s: 0 if 5 <= s < 15 else 1
+    want, two = {}, {}
+    for t in itertools.combinations(range(70), 3):
+        s = {frozenset(q): np.linalg.norm(xyz[q[0]] - xyz[q[1]]) for q in itertools.combinations(t, 2)}
+        if not all(5 <= v < 30 for v in s.values()):
+            continue
+        own, v = [], w[list(t)].prod()
+        for c in t:
+            o1, o2 = (q for q in t if q != c)
+            a, b, far = s[frozenset((c, o1))], s[frozenset((c, o2))], s[frozenset((o1, o2))]
+            own.append((*sorted((near(a), near(b))), min(int(((a * a + b * b - far * far) / (2 * a * b) + 1) / 0.5), 3)))
+        for c in own:
+            want[c] = (want.get(c, (0, 0))[0] + 1, want.get(c, (0, 0))[1] + 2 * v)
+            for c2 in own:
+                two[(*c, *c2)] = two.get((*c, *c2), 0) + v * v * (9 + 9 * sum(40 / x**2 for x in s.values()))
+    assert {(r["r1"], r["r2"], r["mu_bin"]): (r["n"], r["rrr"]) for r in triples.counts(p, bins).collect()} == want
+    got = triples.three_point_term(p, bins, lambda s, mu: 40.0 / (s * s))
+    close({(r["r1"], r["r2"], r["mu_a"], r["r3"], r["r4"], r["mu_b"]): r["value"] for r in got.collect()}, two)
+
+
+def test_no_row_for_a_tuple(spark, sf):
+    for name in ("c2_exact", "c2_legendre_projected", "c2_legendre_accumulated", "c3_exact", "c3_legendre_projected", "c3_legendre_accumulated", "c3_jack", "c4_exact",
+                 "c4_legendre_projected", "c4_legendre_accumulated", "c4_jack", "power_c2_monopole", "power_c3_monopole", "power_c4_monopole", "triple_counts", "c3_3pcf_exact"):
+        text = plan(term_queries.__dict__[name](spark, sf))
+        assert "MapInArrow" in text and "cx#" not in text and "ArrowEvalPython" not in text, name
