@@ -29,6 +29,8 @@ from galacov.operators.pairs import Bins
 SENT = 2_000_000
 #: Draws of fourth points that a task holds at once.
 DRAWS = 1 << 21
+#: First points of a block that one task takes, with draws of their own: a full block is shared by as many tasks as it needs.
+PIECE = 2048
 COLUMNS = ("id", "x", "y", "z", "w", "jack", "half", "tracer")
 
 
@@ -171,8 +173,8 @@ def arrays(t: pa.Table) -> dict[str, np.ndarray]:
 
 
 # ---- draws -----------------------------------------------------------------------------------------------------------
-def rng_of(seed: int, loop: int, block: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(key=[(seed << 32) ^ loop, block]))
+def rng_of(seed: int, loop: int, block: int, piece: int = 0) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(key=[(seed << 32) ^ loop, block], counter=[0, 0, 0, piece]))
 
 
 def geometry_of(g: Grid, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,16 +341,17 @@ def block_of(cells: np.ndarray, side: int, shape: tuple) -> np.ndarray:
     return (b[:, 0] * n[1] + b[:, 1]) * n[2] + b[:, 2]
 
 
-def run_block(plan: Terms, grids: dict[int, Grid], side: int, block: int, loops: list[int], loops_per_sample: int, seed: int) -> pa.RecordBatch:
-    """(combination, term, subsample, row, col, value) of one block and these loops."""
+def run_block(plan: Terms, grids: dict[int, Grid], side: int, block: int, loops: list[int], loops_per_sample: int, seed: int, piece: int = 0) -> pa.RecordBatch:
+    """(combination, term, subsample, row, col, value) of one piece of a block and these loops."""
     totals: dict[tuple, np.ndarray] = {}
     some = max(16, DRAWS // (plan.n2 * plan.n3 * plan.n4))
     for c, combination in enumerate(plan.combinations):
         g = grids[combination[0]]
         filled = np.flatnonzero(block_of(g.cells, side, g.shape) == block)
         own = np.concatenate([np.arange(g.start[f], g.start[f] + g.count[f]) for f in filled]) if len(filled) else np.zeros(0, np.int64)
+        own = own[piece * PIECE : (piece + 1) * PIECE]
         for loop in loops if len(own) else []:
-            rng = rng_of(seed, loop, block * len(plan.combinations) + c)
+            rng = rng_of(seed, loop, block * len(plan.combinations) + c, piece)
             for at in range(0, len(own), some):
                 for name, v in sampled_block(plan, grids, combination, rng, own[at : at + some]).items():
                     key = (c, name, loop // loops_per_sample)
@@ -367,9 +370,19 @@ def run_block(plan: Terms, grids: dict[int, Grid], side: int, block: int, loops:
 SUMS = "combination int, term string, subsample int, row int, col int, value double"
 
 
-def over_blocks(catalogs: dict[int, DataFrame], space: Space, halo: int, side: int, parts: list, state, run_part: Callable, schema: str, sent: int = SENT) -> DataFrame:
+def pieces_of(grids: dict[int, Grid], side: int, shape: tuple) -> dict[int, int]:
+    """How many pieces each filled block has, by the tracer that has most points there."""
+    most: dict[int, int] = {}
+    for g in grids.values():
+        number, at = np.unique(block_of(g.cells, side, shape), return_inverse=True)
+        for b, n in zip(number.tolist(), np.bincount(at, g.count, len(number)).tolist(), strict=True):
+            most[b] = max(most.get(b, 0), int(n))
+    return {b: max(1, -(-n // PIECE)) for b, n in most.items()}
+
+
+def over_blocks(catalogs: dict[int, DataFrame], space: Space, halo: int, side: int, parts: list, state, run_part: Callable, schema: str, sent: int = SENT, pieces: bool = False) -> DataFrame:
     """Rows of run_part(state, grids, block, part) -> RecordBatch for all blocks and parts. halo: the farthest cell, along
-    an axis, that a draw from a cell can reach; state goes to all executors."""
+    an axis, that a draw from a cell can reach; state goes to all executors. pieces: run_part takes the number of a piece too."""
     spark, tracers = next(iter(catalogs.values())).sparkSession, list(catalogs)
     points = None
     for t, p in catalogs.items():
@@ -379,16 +392,18 @@ def over_blocks(catalogs: dict[int, DataFrame], space: Space, halo: int, side: i
         got = arrays(points.toArrow())
         state = cloudpickle.dumps(state)  # it may hold functions
         whole = spark.sparkContext.broadcast((state, {t: vars(space.grid({c: v[got["tracer"] == t] for c, v in got.items()})) for t in catalogs}))
-        filled = np.unique(np.concatenate([block_of(g["cells"], side, space.shape) for g in whole.value[1].values()])) if len(got["id"]) else np.zeros(0, np.int64)
-        blocks = spark.createDataFrame([(int(b),) for b in filled], "block long").crossJoin(F.broadcast(spark.range(len(parts)).toDF("part")))
-        tasks = blocks.repartition(max(1, min(len(filled) * len(parts), 3 * spark.sparkContext.defaultParallelism)), "block", "part")
+        shares = pieces_of({t: Grid(**g) for t, g in whole.value[1].items()}, side, space.shape)
+        filled = [(b, n) for b, many in sorted(shares.items()) for n in (range(many) if pieces else (0,))]
+        blocks = spark.createDataFrame(filled, "block long, piece long").crossJoin(F.broadcast(spark.range(len(parts)).toDF("part")))
+        n_tasks = len(filled) * len(parts)
+        tasks = blocks.repartition(max(1, min(n_tasks, 3 * spark.sparkContext.defaultParallelism)), "block", "part", "piece")
 
         def run(batches):
             own, grids = whole.value
             own, grids = pickle.loads(own), {t: Grid(**g) for t, g in grids.items()}
             for batch in batches:
-                for block, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    yield run_part(own, grids, block, parts[part])
+                for block, piece, part in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    yield run_part(own, grids, block, parts[part], *((piece,) if pieces else ()))
 
         return tasks.mapInArrow(run, schema)
     alone = spark.sparkContext.broadcast(cloudpickle.dumps(state))
@@ -413,7 +428,8 @@ def over_blocks(catalogs: dict[int, DataFrame], space: Space, halo: int, side: i
         own, got = pickle.loads(alone.value), arrays(t)
         block = t.column("block")[0].as_py()
         grids = {k: space.grid({c: v[got["tracer"] == k] for c, v in got.items()}) for k in tracers}
-        return pa.Table.from_batches([run_part(own, grids, block, part) for part in parts])
+        many = range(pieces_of(grids, side, space.shape).get(block, 1)) if pieces else ()
+        return pa.Table.from_batches([run_part(own, grids, block, part, *piece) for part in parts for piece in ([(n,) for n in many] or [()])])
 
     return copies.groupBy("block").applyInArrow(run_group, schema)
 
@@ -440,8 +456,8 @@ def sample(points: DataFrame, bins: Bins, xi, xi_cut: float, cell: float, n2: in
     many = loops * int((-(-np.array(space.shape) // side)).prod()) // max(1, 4 * points.sparkSession.sparkContext.defaultParallelism)
     share = max(1, min(loops_per_sample, many))
     parts = [list(range(i, min(i + share, loops))) for i in range(0, loops, share)]
-    work = lambda own, grids, block, part: run_block(own, grids, side, block, part, loops_per_sample, seed)
-    sums = over_blocks(catalogs, space, halo, side, parts, plan, work, SUMS, sent)
+    work = lambda own, grids, block, part, piece: run_block(own, grids, side, block, part, loops_per_sample, seed, piece)
+    sums = over_blocks(catalogs, space, halo, side, parts, plan, work, SUMS, sent, pieces=True)
     sums = sums.groupBy("combination", "term", "subsample", "row", "col").agg(F.sum("value").alias("value"))
     per = F.when(F.col("term").isin("used", "drawn", "tried"), F.col("value")).otherwise(F.col("value") / loops_per_sample)
     sums = sums.withColumn("value", per)

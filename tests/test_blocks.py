@@ -207,3 +207,20 @@ def test_no_row_for_a_tuple(spark, sf):
                  "c4_legendre_projected", "c4_legendre_accumulated", "c4_jack", "power_c2_monopole", "power_c3_monopole", "power_c4_monopole", "triple_counts", "c3_3pcf_exact"):
         text = plan(term_queries.__dict__[name](spark, sf))
         assert "MapInArrow" in text and "cx#" not in text and "ArrowEvalPython" not in text, name
+
+
+def test_a_full_block_has_pieces(spark, monkeypatch):
+    """The sampler's tasks share a block with many points, with the same draws in either plan, and all points are tried."""
+    from galacov.operators import sampler
+    from galacov.plans import sampling_queries
+
+    monkeypatch.setattr(sampler, "PIECE", 16)
+    xyz, w, j = cloud(100)
+    p = frame(spark, xyz, w, j)
+    q = frame(spark, xyz + 1.0, w, j)
+    own = dict(bins=BINS, xi={k: sampling_queries.xi_table() for k in ((1, 1), (1, 2), (2, 2))}, xi_cut=25.0, cell=20.0, n2=2, n3=2, n4=2, loops=2, loops_per_sample=1, second=q)
+    one, two = (values(sampler.sample(p, **own, sent=sent)) for sent in (sampler.SENT, 0))
+    close(one, two)
+    assert sum(v for k, v in one.items() if "tried" in k) == 100 * 7 * 2 * 8
+    rng = [sampler.rng_of(1, 0, 0, n).random(4).tolist() for n in (0, 1)]
+    assert rng[0] != rng[1] and rng[0] == sampler.rng_of(1, 0, 0).random(4).tolist()
